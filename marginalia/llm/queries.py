@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .substrings import op7_substring_dedup
 
-QUERIES = {"op9_decontamination": op9_decontamination}
+QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
