@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .packing import op4_packing
 from .substrings import op7_substring_dedup
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op9_decontamination": op9_decontamination}
+QUERIES = {"op4_packing": op4_packing, "op7_substring_dedup": op7_substring_dedup, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
