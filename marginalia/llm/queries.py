@@ -5,6 +5,12 @@ from __future__ import annotations
 from .decontaminate import op9_decontamination
 from .packing import op4_packing
 from .substrings import op7_substring_dedup
+from .token_counts import op6_token_counts
 
-QUERIES = {"op4_packing": op4_packing, "op7_substring_dedup": op7_substring_dedup, "op9_decontamination": op9_decontamination}
+QUERIES = {
+    "op4_packing": op4_packing,
+    "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op9_decontamination": op9_decontamination,
+}
 ORACLE_SQL: dict[str, str] = {}
