@@ -6,8 +6,10 @@ from .decontaminate import op9_decontamination
 from .packing import op4_packing
 from .substrings import op7_substring_dedup
 from .token_counts import op6_token_counts
+from .url_filter import op1_url_filters
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
