@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontamination
 from .packing import op4_packing
+from .sharding import op10_sharding
 from .substrings import op7_substring_dedup
 from .token_counts import op6_token_counts
 from .url_filter import op1_url_filters
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
