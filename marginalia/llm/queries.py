@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .fingerprints import op8_fingerprints
 from .packing import op4_packing
 from .sharding import op10_sharding
 from .substrings import op7_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
