@@ -8,10 +8,12 @@ from .packing import op4_packing
 from .sharding import op10_sharding
 from .substrings import op7_substring_dedup
 from .token_counts import op6_token_counts
+from .toxicity import op3_toxicity
 from .url_filter import op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
