@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontamination
 from .fingerprints import op8_fingerprints
+from .near_duplicates import op5_jaccard_join
 from .packing import op4_packing
 from .sharding import op10_sharding
 from .substrings import op7_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_fingerprints": op8_fingerprints,
