@@ -127,37 +127,51 @@ def _found(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([out[x] if x in out else W.column(batch, x) for x in batch.schema.names], names=batch.schema.names)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """One row for each document: id_col, n_words, n_hit, spans (array of [first word, last word + 1], disjoint and
-    ascending) and items (the ids of items with a window in the document), and text_col if keep_text."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, n: int, item_col: str, item_text_col: str, block_bytes: int) -> list[Block]:
+    """The benchmark in blocks of about so many bytes, one at least."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("i is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    given = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.expr("cast(array() as array<array<bigint>>)").alias("__spans"), F.expr("cast(array() as array<bigint>)").alias("__items"))
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b).orderBy("i", "t").collect()
-        block = Block([r.i for r in rows], [r.t for r in rows], n)
+    count = max(1, -(-size // block_bytes))
+    out = []
+    for b in range(count):
+        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == b).orderBy("i", "t").collect()
+        out.append(Block([r.i for r in rows], [r.t for r in rows], n))
+    return out
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, as they are, in which no window of the benchmark occurs."""
+    for block in _blocks(benchmark, n, item_col, item_text_col, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in W.slices(batch):
-                    yield _found(block, part)
+                for part in W.slices(batch, text_col):
+                    w = W.words_of(*W.texts(W.column(part, text_col)), inside=W.ALNUM, lower=True)
+                    of, clean = w.text_of(), np.ones(part.num_rows, bool)
+                    for _, at, _ in block.hits(w):
+                        clean[of[at]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
-        last = b == n_blocks - 1 and not keep_text
-        if last:
-            names = ["__id", "__n_words", "__spans", "__items"]
 
-            def run_last(batches: Iterator[pa.RecordBatch], run=run) -> Iterator[pa.RecordBatch]:
-                for x in run(batches):
-                    yield x.select(names)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+    """One row for each document: id_col, n_words, n_hit, spans (array of [first word, last word + 1], disjoint and
+    ascending) and items (the ids of items with a window in the document), and text_col if keep_text."""
+    given = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.expr("cast(array() as array<array<bigint>>)").alias("__spans"), F.expr("cast(array() as array<bigint>)").alias("__items"))
+    blocks = _blocks(benchmark, n, item_col, item_text_col, block_bytes)
+    for b, block in enumerate(blocks):
+        schema = given.drop("__text").schema if b == len(blocks) - 1 and not keep_text else given.schema
+
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block, names: list[str] = schema.names) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in W.slices(batch):
+                    yield _found(block, part).select(names)
 
-            given = given.mapInArrow(run_last, given.select(*names).schema)
-        else:
-            given = given.mapInArrow(run, given.schema)
+        given = given.mapInArrow(run, schema)
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     text = [F.col("__text").alias(text_col)] if keep_text else []
-    del spark
     return given.select(F.col("__id").alias(id_col), *text, F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 

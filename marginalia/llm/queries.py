@@ -6,6 +6,7 @@ from .decontaminate import op9_decontamination
 from .fingerprints import op8_fingerprints
 from .near_duplicates import op5_jaccard_join
 from .packing import op4_packing
+from .pii import op2_pii
 from .sharding import op10_sharding
 from .substrings import op7_substring_dedup
 from .token_counts import op6_token_counts
@@ -14,6 +15,7 @@ from .url_filter import op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,

@@ -170,6 +170,20 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return out.withColumnRenamed("__id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, that score() doesn't call toxic."""
+    known = model.known()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, text_col):
+                texts, keys = model.present(*W.texts(W.column(part, text_col)), known)
+                margins = np.bincount(texts, model.weights[keys], part.num_rows) if len(texts) else np.zeros(part.num_rows)
+                yield part.filter(pa.array(model.at_least(margins)[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Severity of all documents by a model fitted to their labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
