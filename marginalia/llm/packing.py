@@ -18,18 +18,38 @@ each; a text of any length is cut into whole pieces; an empty table packs into n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_text, written
+from .shared import byte_letters, keyed_text, written
 
 MAX_LEN, SEPARATOR, MAX_OPEN, GROUP_PIECES, CACHED = 4096, 1, 256, 100_000, 400_000
 
 
+#: Runs whose ids need no more than the model's merges: Latin-1 letters, which are composed and lower-case one by one,
+#: then marks that are no letter, digit or apostrophe. They are two pre-tokens, or one.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+
+
+class _Numbers(dict):
+    """Numbers keys as they are asked for; what is new waits in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class Ids:
     """The tokenizer's ids of whole texts; keeps those of up to so many distinct runs between spaces."""
 
@@ -37,10 +57,14 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_str(tokenizer_json), cached
+        self.model = self.tokenizer.model
+        shown = {b: c for c, b in byte_letters().items()}
+        self.shown = {b: shown[b] for b in range(256)}
+        self.tails: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.words = _Numbers(), {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -48,27 +72,42 @@ class Ids:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    def _ids(self, run: str) -> list[int]:
+        plain = _PLAIN.fullmatch(run)
+        if plain is None:
+            return self.tokenizer.encode(run, add_special_tokens=False).ids
+        word, tail = plain.groups()
+        word = word.lower()
+        if (ids := self.words.get(word)) is None:
+            seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+            ids = self.words[word] = [x.id for x in self.model.tokenize(seen)] if word else []
+        if not tail:
+            return ids
+        if (more := self.tails.get(tail)) is None:
+            more = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            if len(self.tails) < 10_000:
+                self.tails[tail] = more
+        return ids + more
+
     def _learn(self, new: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        n = len(self.known)
+        ids = [self._ids(x) for x in new]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, total = len(self.known) - len(new), int(sizes.sum())
         self.at, self.size = self._room(self.at, n + len(new)), self._room(self.size, n + len(new))
-        sizes = np.array([len(x) for x in ids], np.int64)
-        total = int(sizes.sum())
         self.flat = self._room(self.flat, self.used + total)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.size[n : n + len(new)] = sizes
         self.at[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def of(self, text: str) -> np.ndarray:
         runs = text.replace("\n", " ").split(" ")
         if len(self.known) > self.cached:
             self._clear()
-        new = [x for x in dict.fromkeys(runs) if x not in self.known]
-        if new:
-            self._learn(new)
         k = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         sizes = self.size[k]
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.at[k] - ends + sizes, sizes) + np.arange(ends[-1])]

@@ -24,19 +24,11 @@ from pyspark.sql import DataFrame
 
 from . import words as W
 from .packing import default_tokenizer
-from .shared import keyed_text
+from .shared import byte_letters, keyed_text
 
 END, CACHED = 256, 500_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The usual printable stand-ins for bytes in byte-level vocabularies: a byte that is a printable Latin-1
-    character stands for itself, the others for the characters from 256 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def pieces_of(tokenizer_json: str, final: str = "</w>") -> list[tuple[int, ...]]:
     letters, out = byte_letters(), []
     for piece in json.loads(tokenizer_json)["model"]["vocab"]:
