@@ -1 +1,16 @@
-"""Part of marginalia, a Spark-native analytics engine for collections of notes and documents."""
+"""The engine's queries by subject; collected here for the driver."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+SUBJECTS = ("search", "store", "vectors", "graphs", "texts", "streams")
+
+
+def collected() -> tuple[dict, dict]:
+    queries, oracle = {}, {}
+    for subject in SUBJECTS:
+        module = import_module(f"{__name__}.{subject}")
+        queries |= module.QUERIES
+        oracle |= module.ORACLE_SQL
+    return queries, oracle
