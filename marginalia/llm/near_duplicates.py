@@ -14,9 +14,15 @@ link when 100 * |intersection| >= percent * |union|; an empty set links with not
    verify). A pair is a candidate once its prefixes share min(l, l') elements. Classes with over n - t unshared
    elements drop out here.
 4. Links. Members of one posting list are first verified along two chains (by size, by hash), one pair for each entry,
-   in parts of at most CHAIN entries. That joins groups of near copies into components at a linear cost. Then every
-   pair of a posting list that lies in different components is counted over all lists, against min(l, l'), and
-   verified, so no link between components is lost; links inside a component can't change it.
+   in parts of at most CHAIN entries. That joins groups of near copies into components at a linear cost. While the
+   entries outside their lists' largest components would still meet more than SPARE entries each on average, and
+   one try in WORTH links, each is verified against neighbours in the largest one, a few pairs an entry (ROUNDS times at
+   most). Then every pair of a list that lies in different components is considered (a list's largest component meets
+   the others only, not itself): it is a candidate if the elements that can still be shared before and after its
+   place in both orders are enough to link, so are those left when each bit of one's signature (the hashes of its
+   shared elements in SIGNATURE bits) that the other's lacks is taken off, and its place is at least the least number of elements that the two
+   prefixes must share: min(l, l'), or what is left when all beyond the longer prefix's end is taken as shared. So no
+   link between components is lost; links inside a component can't change it.
 
 Verification is exact on the shared elements: |union| = n + n' - |intersection|.
 
@@ -28,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +48,8 @@ from .shared import keyed_text, text_bytes, written
 
 K, PERCENT = 5, 80
 MOST_L, CHAIN = 8, 4096
+ROUNDS, SPARE, WORTH = 8, 4, 20
+SIGNATURE = 1024
 BUCKET_BYTES = 6 << 20  # of text, for each bucket: about a million elements
 _ROWS = 60_000  # documents of a batch are numbered in 2 bytes
 _SENT = np.dtype([("h", "u1", 5), ("d", "<u2")])
@@ -186,7 +195,7 @@ def shared_elements(docs: DataFrame, k: int, id_col: str, text_col: str, bucket_
 
 
 def prefix_of(n: int, dfs: np.ndarray, percent: int, weight: float = 4.0) -> tuple[int, int]:
-    """l and how many of the shared elements the prefix takes; (0, 0) if nothing can link."""
+    """l and how many of the shared elements (whose frequencies are dfs) the prefix takes; (0, 0) if nothing can link."""
     need = -(-percent * n // 100)
     spare = len(dfs) - need  # n - need less the unshared elements, which come first in the order
     if spare < 0 or need < 1:
@@ -201,7 +210,7 @@ def prefix_of(n: int, dfs: np.ndarray, percent: int, weight: float = 4.0) -> tup
 def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             tokens, dfs = W.column(batch, "tokens"), W.column(batch, "dfs")
             for i, (rep, n) in enumerate(zip(W.column(batch, "rep").to_pylist(), W.column(batch, "n").to_pylist(), strict=True)):
                 freq = dfs[i].values.to_numpy()
@@ -212,12 +221,25 @@ def _prefixes(percent: int):
                     out[2].append(np.full(m, rep))
                     out[3].append(np.full(m, n))
                     out[4].append(np.full(m, l))
+                    out[5].append(np.arange(m))
+                    out[6].append(np.full(m, len(freq)))
             cols = [np.concatenate([np.zeros(0, np.int64), *x]) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(np.int32))], names=["token", "df", "rep", "n", "l"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), *[pa.array(c.astype(np.int32)) for c in cols[4:]]], names=["token", "df", "rep", "n", "l", "k", "m"])
 
     return run
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each class the bits that its shared elements hash to."""
+    for batch in batches:
+        lists = W.column(batch, "tokens")
+        bits = np.zeros((batch.num_rows, SIGNATURE), np.uint8)
+        for i in range(batch.num_rows):
+            bits[i, (lists[i].values.to_numpy() >> _SHIFT) % SIGNATURE] = 1
+        packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([W.column(batch, "rep"), W.nested(packed.ravel(), np.full(batch.num_rows, SIGNATURE // 64), pa.int64())], names=["rep", "signature"])
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) that link."""
     side = classes.select("rep", "n", "tokens")
@@ -232,6 +254,17 @@ def _fits(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _placed(postings: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
+    """Entries of the posting lists that lie in several components, with the entry's component and whether that is
+    the list's largest; and how many pairs of entries an entry outside the largest would meet."""
+    placed = written(postings.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
+    parts = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most")).where("parts > 1")
+    main = written(main, "posting-lists")
+    waiting = main.agg(F.coalesce(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.lit(0))).first()[0]
+    return placed.join(main.select("token", "main"), "token").withColumn("main", F.col("comp") == F.col("main")), waiting
+
+
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """id_col, n_shingles, class_id (smallest id with the same set) and component_id (smallest id reachable by links)
     for every row."""
@@ -242,7 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     best = written(best.select("digest", F.col("m.id").alias("rep"), F.col("m.batch").alias("batch"), F.col("m.place").alias("place")), "classes")
     able = sets.where(F.size("tokens") * 100 >= F.col("n") * percent)
     classes = written(able.join(best.select("rep", "batch", "place"), ["batch", "place"]).select("rep", "n", "tokens", "dfs"), "class-sets")
-    postings = written(classes.mapInArrow(_prefixes(percent), "token long, df int, rep long, n int, l int"), "postings")
+    postings = written(classes.mapInArrow(_prefixes(percent), "token long, df int, rep long, n int, l int, k int, m int"), "postings")
 
     part = F.pmod(F.xxhash64("rep", "token"), F.ceil(F.col("df") / CHAIN).cast("long"))
     chains = []
@@ -253,16 +286,41 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     tried = written(chains[0].union(chains[1]).distinct(), "chains")
     links = written(_verified(tried, classes, percent), "chain-links")
 
-    comps = components(links)
-    placed = written(postings.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
-    here = placed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = here.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    here = here.join(mixed, "token")
-    x, y = (here.select("token", F.col("comp").alias(f"c{s}"), F.col("low").alias(f"low{s}"), F.col("high").alias(f"high{s}")) for s in "xy")
-    meet = x.join(y, "token").where((F.col("cx") < F.col("cy")) & (100 * F.col("highx") >= percent * F.col("lowy")) & (100 * F.col("highy") >= percent * F.col("lowx"))).select("token", "cx", "cy")
-    u, v = (placed.select("token", F.col("comp").alias(f"c{s}"), F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("l").alias(f"l{s}")) for s in "xy")
-    cross = meet.join(u, ["token", "cx"]).join(v, ["token", "cy"]).where(_fits(percent, "nx", "ny"))
-    cross = cross.groupBy(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("lx", "ly")).alias("l")).where("shared >= l").select("a", "b")
+    entries = postings.count()
+    for turn in range(ROUNDS + 1):
+        placed, waiting = _placed(postings, components(links))
+        if turn == ROUNDS or waiting <= SPARE * entries:
+            break
+        chains = []
+        for order in (("n", F.xxhash64("rep", F.lit(turn))), (F.xxhash64("rep", F.lit(-1 - turn)),)):
+            by = Window.partitionBy("token", "part").orderBy(*order)
+            for end, pick in ((by.rowsBetween(Window.unboundedPreceding, -1), F.last), (by.rowsBetween(1, Window.unboundedFollowing), F.first)):
+                near = pick(F.when(F.col("main"), F.struct("rep", "n")), ignorenulls=True).over(end)
+                step = placed.withColumn("part", part).withColumn("near", near).where("not main and near is not null").select("rep", "n", F.col("near.rep").alias("prev"), F.col("near.n").alias("m")).where(_fits(percent, "n", "m"))
+                chains.append(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")))
+        more = written(reduce(DataFrame.union, chains).distinct().join(tried, ["a", "b"], "left_anti"), "chains")
+        found = written(_verified(more, classes, percent), "chain-links")
+        tried = tried.union(more)
+        links = links.union(found)
+        if found.count() * WORTH < more.count():
+            placed, _ = _placed(postings, components(links))
+            break
+
+    signed = placed.join(classes.mapInArrow(_signatures, "rep long, signature array<bigint>"), "rep")
+    u, v = (signed.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "l", "k", "m", "comp", "main", "signature")]) for s in "xy")
+    least_shared = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
+    reach = F.least("kx", "ky") + F.least(F.col("mx") - F.col("kx"), F.col("my") - F.col("ky"))  # elements in common at most
+    after = F.greatest(*[F.ceil(percent * F.col(f"n{s}") / 100) - F.col(f"l{s}") for s in "xy"])  # elements beyond the longer prefix
+    matches = F.greatest(F.least("lx", "ly"), least_shared - after)  # what the prefixes must share
+
+    def alone(x: str, y: str):
+        """Elements of one that the other lacks, at least."""
+        return sum((F.bit_count(F.get(f"signature{x}", i).bitwiseAND(F.bitwise_not(F.get(f"signature{y}", i)))) for i in range(SIGNATURE // 64)), F.lit(0))
+
+    alike = (F.col("mx") - alone("x", "y") >= least_shared) & (F.col("my") - alone("y", "x") >= least_shared)
+    across = (F.col("compx") != F.col("compy")) & (F.col("mainy") | (F.col("compx") < F.col("compy")))
+    cross = u.where("not mainx").join(v, "token").where(across & _fits(percent, "nx", "ny") & (reach >= least_shared) & (F.least("kx", "ky") + 1 >= matches) & alike)
+    cross = cross.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b")).distinct()
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     links = links.unionByName(_verified(cross, classes, percent))
     comps = components(links)
