@@ -77,7 +77,7 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", me
 
 def semantic_edges(near: DataFrame, threshold: float) -> DataFrame:
     """Both directions of the neighbours above a threshold, without self and without repeats."""
-    kept = near.where((F.col("source") != F.col("target")) & (F.col("score") > threshold)).select("source", "target", F.round("score", 9).alias("weight"))
+    kept = near.where((F.col("source") != F.col("target")) & (F.col("score") > threshold)).select("source", "target", F.round("score", 12).alias("weight"))
     return kept.union(kept.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")).distinct()
 
 
