@@ -20,8 +20,9 @@ def _term(tf: Column, idf: Column, length: Column, mean: Column, k1: float, b: f
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "doc", k1: float = K1, b: float = B) -> DataFrame:
-    """(id_col, score > 0) of every document for the words of a query; terms match as substrings, a repeated word
-    counts twice. One pass sums lengths and document frequencies of all words, a scalar subquery brings them to the
+    """(id_col, score) of every document for the words of a query; terms match as substrings, a repeated word
+    counts twice. Those that match nothing score 0: top() drops them after its limit, since a filter here would be
+    pushed down and make every text anew for each term. One pass sums lengths and document frequencies of all words, a scalar subquery brings them to the
     second: no join and no shuffle beyond that one row."""
     k1, b = k1 or K1, b or B
     words = T.preprocess(F.lit(query))
@@ -36,7 +37,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "doc",
     length = T.word_count(F.col("__d"))
     parts = rows.select(id_col, "__s", length.alias("__n"), *[T.substring_count(F.col("__d"), t).alias(f"__tf{i}") for i, t in enumerate(unique)])
     score = sum((F.lit(terms.count(t)) * _term(F.col(f"__tf{i}"), _idf(F.col("__s.n"), F.col(f"__s.df{i}")), F.col("__n"), F.col("__s.mean"), k1, b) for i, t in enumerate(unique)), F.lit(0.0))
-    return parts.select(id_col, score.alias("score")).where("score > 0")
+    return parts.select(id_col, score.alias("score"))
 
 
 def bm25_tokens(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "doc", query_id: str = "query_id", query_col: str = "query", k1: float = K1, b: float = B) -> DataFrame:
@@ -87,22 +88,24 @@ def positional_search(index: DataFrame, query: str, id_col: str = "id", bonus: f
     return scored.groupBy(id_col).agg(F.sum("s").alias("score"))
 
 
-def top(scored: DataFrame, k: int, id_col: str = "id", order: list | None = None) -> DataFrame:
-    return scored.orderBy(*(order or [F.desc("score"), F.col(id_col)])).limit(k)
+def top(scored: DataFrame, k: int, id_col: str = "id", positive: bool = False) -> DataFrame:
+    """The k best by score, then id; only positive scores if asked for."""
+    best = scored.orderBy(F.desc("score"), F.col(id_col)).limit(k)
+    return best.where("score > 0") if positive else best
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, alpha: float = 0.5, limit: int = 10, id_col: str = "id") -> DataFrame:
     """Hybrid fusion: scores over their lists' largest (0 where that isn't positive), (1 - alpha) * sparse + alpha *
-    dense, a missing one 0. Each list is the top 3 * limit; several dense rows of a note count with their best."""
+    dense, a missing one 0. Each list is the top 3 * limit (sparse ones only if positive); several dense rows of a note count with their best."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be from 0 to 1")
 
-    def scaled(df: DataFrame, out: str) -> DataFrame:
+    def scaled(df: DataFrame, out: str, positive: bool) -> DataFrame:
         df = df.groupBy(id_col).agg(F.max("score").alias("score"))
-        df = top(df, 3 * limit, id_col)
+        df = top(df, 3 * limit, id_col, positive)
         high = F.max("score").over(Window.partitionBy(F.lit(0)))  # over 3 * limit rows
         return df.select(id_col, F.when(high > 0, F.col("score") / high).otherwise(0.0).alias(out))
 
-    both = scaled(sparse, "sparse_score").join(scaled(dense, "dense_score"), id_col, "full_outer")
+    both = scaled(sparse, "sparse_score", True).join(scaled(dense, "dense_score", False), id_col, "full_outer")
     score = (1 - alpha) * F.coalesce("sparse_score", F.lit(0.0)) + alpha * F.coalesce("dense_score", F.lit(0.0))
     return both.select(id_col, "sparse_score", "dense_score", score.alias("score")).orderBy(F.desc("score"), id_col).limit(limit)

@@ -20,7 +20,7 @@ def _corpus(spark, d):
 
 def bm25_topk(spark, d):
     c = _corpus(spark, d)
-    best = L.top(L.bm25(c, QUERY), 10)
+    best = L.top(L.bm25(c, QUERY), 10, positive=True)
     told = c.select("id", "title", T.snippet(F.col("content"), 200).alias("snippet"))
     return told.join(F.broadcast(best), "id").select("id", "title", "snippet", F.round("score", 6).alias("score"))
 
