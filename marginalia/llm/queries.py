@@ -25,4 +25,16 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": f"""with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark where text is not null), s as (select item_id, w, least(10, len(w)) as size from i where len(w) > 0),
+ip as (select item_id, w, size, unnest(range(1, len(w) - size + 2)) as pos from s), iw as (select distinct item_id, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') as win from ip),
+sizes as (select distinct size from iw), dp as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as pos from d, sizes where len(w) >= size),
+dw as (select doc_id, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') as win from dp),
+hits as (select dw.doc_id, dw.pos, dw.size, iw.item_id from dw join iw on dw.size = iw.size and dw.win = iw.win),
+spots as (select distinct doc_id, size, pos from hits), covered as (select distinct doc_id, unnest(range(pos, pos + size)) as at_word from spots), n as (select doc_id, count(*) as n_hit from covered group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n on n.doc_id = d.doc_id left join items on items.doc_id = d.doc_id""",
+}
