@@ -37,4 +37,11 @@ hits as (select dw.doc_id, dw.pos, dw.size, iw.item_id from dw join iw on dw.siz
 spots as (select distinct doc_id, size, pos from hits), covered as (select distinct doc_id, unnest(range(pos, pos + size)) as at_word from spots), n as (select doc_id, count(*) as n_hit from covered group by 1),
 items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by 1)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n on n.doc_id = d.doc_id left join items on items.doc_id = d.doc_id""",
+    "op7_substring_dedup": r"""with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as pos from d where len(w) >= 50),
+x as (select doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 49), ' ')) as h from p), m as (select h, min(doc_id) as low from x group by h),
+c as (select distinct x.doc_id, unnest(range(x.pos, x.pos + 50)) as at_word from x join m on x.h = m.h where x.doc_id > m.low), n as (select doc_id, count(*) as n_removed from c group by 1),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as idx from d),
+k as (select words.doc_id, string_agg(word, ' ' order by idx) as kept from words left join c on c.doc_id = words.doc_id and c.at_word = words.idx where c.at_word is null group by words.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join n on n.doc_id = d.doc_id left join k on k.doc_id = d.doc_id""",
 }
