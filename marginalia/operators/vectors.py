@@ -87,16 +87,20 @@ def sequential_edges(rows: DataFrame, partition: str, order: str, id_col: str) -
     return rows.select(F.col(id_col).alias("source"), after.alias("target"), F.lit(1.0).alias("weight")).where("target is not null")
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int, bits: int = 6, tables: int = 24, seed: int = 1, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """Approximate neighbours: random hyperplanes give each vector a code in each table, and vectors that share a
-    code with a query are scored exactly. (source, target, score, rank)."""
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int, bits: int = 6, tables: int = 24, seed: int = 1, id_col: str = "id", vec_col: str = "vec", flips: int = 2) -> DataFrame:
+    """Approximate neighbours: random hyperplanes give each vector a code in each table, and vectors that have a code
+    of a query, or one of its `flips` next likely codes, are scored exactly; those differ in one bit, of a plane that
+    the query is close to. A query that meets fewer than k is scored against all. (source, target, score, rank)."""
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
 
-    def coded(df: DataFrame) -> DataFrame:
+    def coded(df: DataFrame, flips: int = 0) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, dim)
-                code = ((np.einsum("nd,tbd->ntb", v, planes) > 0) @ (1 << np.arange(bits))).astype(np.int64) + (np.arange(tables) << bits)
+                side = np.einsum("nd,tbd->ntb", v, planes)
+                code = ((side > 0) @ (1 << np.arange(bits))).astype(np.int64) + (np.arange(tables) << bits)
+                near = code[:, :, None] ^ (1 << np.argsort(np.abs(side), axis=2)[:, :, :flips])
+                code = np.concatenate([code, near.reshape(len(v), -1)], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "codes"])
 
         given = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
@@ -104,10 +108,13 @@ def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int, bits: int
 
     from ..functions.vector import cosine
 
-    a = coded(queries).select(F.col("id").alias("source"), F.col("vec").alias("a"), F.explode("codes").alias("code"))
+    a = coded(queries, flips).select(F.col("id").alias("source"), F.col("vec").alias("a"), F.explode("codes").alias("code"))
     b = coded(vectors).select(F.col("id").alias("target"), F.col("vec").alias("b"), F.explode("codes").alias("code"))
     met = a.drop("a").join(b.drop("b"), "code").select("source", "target").distinct()
     va = queries.select(F.col(id_col).alias("source"), F.col(vec_col).alias("a"))
+    enough = met.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    few = va.select("source").join(enough, "source", "left_anti").distinct()
+    met = met.union(few.crossJoin(vectors.select(F.col(id_col).alias("target")))).distinct()
     vb = vectors.select(F.col(id_col).alias("target"), F.col(vec_col).alias("b"))
     scored = met.join(va, "source").join(vb, "target").select("source", "target", cosine(F.col("a"), F.col("b"), F.lit(0.0)).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ import pytest
 from compare import oracle
 
 from marginalia import plans
+from marginalia.operators.vectors import lsh_knn
 
 DIR = "/root/testdata/sf0.001"
 QUERIES, _ = plans.collected()
@@ -105,3 +106,15 @@ def test_clusters_see_every_part(spark, adjacent):
             done |= group
             want |= {(v, x) for x in group} if len(group) >= 3 else set()
     assert set(got(spark, "structural_clusters")) == want and want
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_neighbours_are_nine_of_ten(spark, size):
+    r = QUERIES["ann_lsh_recall"](spark, f"/root/testdata/{size}").first()
+    assert r.recall >= 0.9 and r.wanted >= 250
+
+
+def test_a_lonely_query_still_gets_k(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(8)], "id long, vec array<double>")
+    q = spark.createDataFrame([(99, [-1.0, -0.1])], "id long, vec array<double>")
+    assert [r["rank"] for r in lsh_knn(v, q, 5, 2, tables=2).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
