@@ -33,8 +33,8 @@ def sse_text(spark, d):
     """Server-sent lines made of conversations: data lines are read, [DONE] and broken ones skipped, texts joined in
     order."""
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    line = F.when(F.col("turn") % 5 == 4, "data: [DONE]").when(F.col("turn") % 5 == 3, "data: {oops").otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.substring("text", 1, 20).alias("t")))))
-    got = c.select("conv_id", "turn", line.alias("line")).where("startswith(line, 'data: ') and line <> 'data: [DONE]'").select("conv_id", "turn", F.get_json_object(F.substring("line", 7, 100000), "$.t").alias("t"))
+    line = F.when(F.col("turn") % 5 == 4, "data: [DONE]").when(F.col("turn") % 5 == 3, "data: {oops").otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.col("text").alias("t")))))
+    got = c.select("conv_id", "turn", line.alias("line")).where("startswith(line, 'data: ') and line <> 'data: [DONE]'").select("conv_id", "turn", F.get_json_object(F.substr("line", F.lit(7)), "$.t").alias("t"))
     return got.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("turn", "t")))), lambda x: x["t"]), "").alias("text"))
 
 

@@ -21,7 +21,7 @@ def sync_queue(spark, d):
 def legacy_import(spark, d):
     docs = table(spark, d, "documents").where("doc_id % 10 = 0")
     kind = F.when(F.col("doc_id") % 40 == 0, "folder").when(F.col("doc_id") % 40 == 10, "sketch").otherwise("note")
-    item = F.struct(F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.col("source").alias("title"), F.when(F.col("doc_id") % 40 != 20, F.substring("text", 1, 50)).alias("content"), F.col("lang").alias("parentId"))
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.col("source").alias("title"), F.when(F.col("doc_id") % 40 != 20, F.col("text")).alias("content"), F.col("lang").alias("parentId"))
     return S.imported(docs.select(F.when(F.col("doc_id") % 70 == 0, "{oops").otherwise(F.to_json(F.struct(F.array(item).alias("items")))).alias("raw")), "raw")
 
 

@@ -41,18 +41,17 @@ def semantic_chunks(spark, d):
 
 
 def delta_roundtrip(spark, d):
-    """Each document's first 2000 characters turned into those of the next by id on a conversation's scale."""
-    docs = _docs(spark, d).where("doc_id < 500").select("doc_id", F.substring("text", 1, 2000).alias("old"), F.substring(F.reverse("text"), 1, 1500).alias("new"))
+    """Each document's text turned into its reverse: the steps that takes, and whether they give it back."""
+    docs = _docs(spark, d).select("doc_id", F.col("text").alias("old"), F.reverse("text").alias("new"))
     fields = {"steps": pa.int32(), "exact": pa.bool_()}
     return X.mapped(docs, "doc_id", ["old", "new"], lambda a, b: [(len(s := X.delta(a, b)), X.applied(a, s) == b)], fields, "steps int, exact boolean")
 
 
 def doc_tree(spark, d):
     """Documents as rich text: a paragraph for the text, with a tag, a mention mark and an entity."""
-    t = F.substring("text", 1, 60)
     body = F.concat(
         F.lit('{"type":"doc","content":[{"type":"paragraph","content":['),
-        F.to_json(F.struct(F.lit("text").alias("type"), t.alias("text"))),
+        F.to_json(F.struct(F.lit("text").alias("type"), F.col("text"))),
         F.lit(',{"type":"tag","attrs":{"label":"'), F.col("lang"), F.lit('"}},{"type":"text","text":"x","marks":[{"type":"mention","attrs":{"label":"'), F.col("source"),
         F.lit('"}}]},{"type":"entity","attrs":{"kind":"LANG","label":"'), F.col("lang"), F.lit('"}}]}]}'),
     )

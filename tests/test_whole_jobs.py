@@ -6,6 +6,7 @@ import pytest
 from compare import oracle
 
 from marginalia import plans
+from marginalia.operators import texts
 from marginalia.operators.vectors import lsh_knn
 
 DIR = "/root/testdata/sf0.001"
@@ -118,3 +119,19 @@ def test_a_lonely_query_still_gets_k(spark):
     v = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(8)], "id long, vec array<double>")
     q = spark.createDataFrame([(99, [-1.0, -0.1])], "id long, vec array<double>")
     assert [r["rank"] for r in lsh_knn(v, q, 5, 2, tables=2).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_texts_are_whole(spark, con):
+    docs = dict(con.execute("select doc_id, text from documents").fetchall())
+    assert max(map(len, docs.values())) > 2000
+    trip = {i: (n, exact) for i, n, exact in got(spark, "delta_roundtrip")}
+    assert trip == {i: (len(texts.delta(t, t[::-1])), True) for i, t in docs.items()}
+    tree = {r.doc_id: r.text for r in QUERIES["doc_tree"](spark, DIR).collect()}
+    assert tree == {i: t + "x" if i % 9 else "" for i, t in docs.items()}
+    said = defaultdict(str)
+    for c, n, t in con.execute("select conv_id, turn, text from conversations order by conv_id, turn").fetchall():
+        if n % 5 != 4:
+            said[c] += t if n % 5 != 3 else ""
+    assert dict(got(spark, "sse_text")) == said
+    notes = {int(r.id): r.content for r in QUERIES["legacy_import"](spark, DIR).where("type = 'note' and content <> '{}'").collect()}
+    assert notes and notes == {i: docs[i] for i in notes}
