@@ -6,7 +6,7 @@ import pytest
 from compare import oracle
 
 from marginalia import plans
-from marginalia.operators import texts
+from marginalia.operators import sync, texts
 from marginalia.operators.vectors import lsh_knn
 
 DIR = "/root/testdata/sf0.001"
@@ -135,3 +135,23 @@ def test_texts_are_whole(spark, con):
     assert dict(got(spark, "sse_text")) == said
     notes = {int(r.id): r.content for r in QUERIES["legacy_import"](spark, DIR).where("type = 'note' and content <> '{}'").collect()}
     assert notes and notes == {i: docs[i] for i in notes}
+
+
+def test_every_row_passes_its_operator(spark, con):
+    docs = con.execute("select doc_id from documents where doc_id % 70 <> 0 and doc_id % 40 <> 10").fetchall()
+    assert {int(r.id) for r in QUERIES["legacy_import"](spark, DIR).collect()} == {i for (i,) in docs}
+    events = con.execute("select event_id, user_id, event_type, json_extract_string(props, '$.k') from events").fetchall()
+    of = defaultdict(dict)
+    for line in sync.REGISTRY:
+        kind, name, _, fallback, _ = line.split("|")
+        of[kind][name] = fallback
+    want = set()
+    for e, user, value, _ in events:
+        kind, own = "SCENE" if user % 2 else "ITEM", "colour" if e % 100 else "type"
+        want |= {(e, kind, own, value, "own" if own in of[kind] else "custom")} | {(e, kind, n, x, "default") for n, x in of[kind].items() if n != own}
+    assert set(got(spark, "attribute_defaults")) == want
+    made = {e: 0 if e % 70 == 0 else 1 if e % 30 == 0 else 2 for e, *_ in events}
+    assert {i: n for i, n, *_ in got(spark, "kg_process")} == {i: n for i, n in made.items()}
+    sheet = QUERIES["fact_sheet"](spark, DIR).collect()
+    assert {r.note_id for r in sheet} == {e for e, _, _, k in events if k == "1" and made[e] == 2} and sheet
+    assert {4, 2} <= {i for i, kind, _ in got(spark, "neighbors") if kind == "sequential"}
