@@ -3,14 +3,14 @@
 from collections import defaultdict
 
 import pytest
-from compare import oracle
+from compare import differ, oracle
 
 from marginalia import plans
 from marginalia.operators import sync, texts
 from marginalia.operators.vectors import lsh_knn
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, _ = plans.collected()
+QUERIES, SQL = plans.collected()
 
 
 @pytest.fixture(scope="module")
@@ -155,3 +155,11 @@ def test_every_row_passes_its_operator(spark, con):
     sheet = QUERIES["fact_sheet"](spark, DIR).collect()
     assert {r.note_id for r in sheet} == {e for e, _, _, k in events if k == "1" and made[e] == 2} and sheet
     assert {4, 2} <= {i for i, kind, _ in got(spark, "neighbors") if kind == "sequential"}
+
+
+def test_every_benchmark_text_is_a_whole_query(spark, con):
+    whole = SQL["bm25_multi_query"].replace(" from benchmark where item_id < 20", " from benchmark").replace("unnest(list_slice(", "unnest((").replace(r"'\\w+'), 1, 4))", r"'\\w+')))").replace(r"'\w+'), 1, 4))", r"'\w+')))")
+    assert "item_id < 20" not in whole and "list_slice" not in whole
+    df = QUERIES["bm25_multi_query"](spark, DIR)
+    assert differ(df, con, whole) is None
+    assert df.select("query_id").distinct().count() == 40
