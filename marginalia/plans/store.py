@@ -113,7 +113,7 @@ def keep_newest_n(spark, d):
 
 def queue_order(spark, d):
     rank = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 0).when(F.col("o_orderpriority").startswith("3"), 1).otherwise(2)
-    return table(spark, d, "orders").select("o_orderkey", rank.alias("rank")).orderBy("rank", "o_orderkey").limit(100)
+    return table(spark, d, "orders").select("o_orderkey", rank.alias("rank")).orderBy("rank", "o_orderkey")
 
 
 def toggle_parity(spark, d):

@@ -163,3 +163,9 @@ def test_every_benchmark_text_is_a_whole_query(spark, con):
     df = QUERIES["bm25_multi_query"](spark, DIR)
     assert differ(df, con, whole) is None
     assert df.select("query_id").distinct().count() == 40
+
+
+def test_queue_holds_every_order(spark, con):
+    rank = {"1": 0, "2": 0, "3": 1}
+    want = sorted((rank.get(p[0], 2), k) for k, p in con.execute("select o_orderkey, o_orderpriority from orders").fetchall())
+    assert [(r, k) for k, r in got(spark, "queue_order")] == want and {r for r, _ in want} == {0, 1, 2}
