@@ -11,8 +11,8 @@ The benchmark comes to the tasks in blocks of bounded size; each block is one na
 are never shuffled, and carries what earlier blocks found. One block holds some 30,000 items.
 
 Nulls and edge cases: a null text has no words and no hits; a null item text, or one without words, has no window;
-items that share an id count once; repeated documents are judged each by itself; an empty table gives no rows, an
-empty benchmark no hits.
+items that share an id count once; those without an id count as one item, null, whose windows hit like others';
+repeated documents are judged each by itself; an empty table gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Block:
 
     def __init__(self, ids: list, texts: list[str | None], n: int):
         self.n, self.k = n, min(K, n)
-        self.ids = sorted(set(ids))
+        self.ids = sorted(set(ids), key=str)
         rank = {x: i for i, x in enumerate(self.ids)}
         w = W.words_of(*W.texts(pa.array(texts, pa.large_string())), inside=W.ALNUM, lower=True)
         of, left, counts, sums = w.text_of(), w.left(), w.counts(), w.sums()
@@ -129,12 +129,12 @@ def _found(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _blocks(benchmark: DataFrame, n: int, item_col: str, item_text_col: str, block_bytes: int) -> list[Block]:
     """The benchmark in blocks of about so many bytes, one at least."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     count = max(1, -(-size // block_bytes))
     out = []
     for b in range(count):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == b).orderBy("i", "t").collect()
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b).orderBy("i", "t").collect()
         out.append(Block([r.i for r in rows], [r.t for r in rows], n))
     return out
 

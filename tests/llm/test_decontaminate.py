@@ -1,6 +1,9 @@
 import re
 
-from marginalia.llm.decontaminate import decontaminate
+from compare import differ, oracle
+
+from marginalia.llm.decontaminate import decontaminate, op9_decontamination, without_hits
+from marginalia.llm.queries import ORACLE_SQL
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -59,3 +62,22 @@ def test_clashing_names(spark):
     b = spark.createDataFrame([(2, "tiny item")], "item_id long, text string")
     r = decontaminate(d, b, id_col="n_words", text_col="items").toPandas()
     assert r.iloc[0, 2] == 2
+
+
+def test_items_without_an_id(spark):
+    docs = [(1, "x tiny item y"), (2, "other words here"), (3, "tiny item other words"), (4, "none")]
+    items = [(None, "tiny item"), (None, "other words"), (7, "tiny item")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert rows(decontaminate(d, b)) == want and (2, 3, 2, (None,)) in want
+    assert rows(decontaminate(d, b, block_bytes=8)) == want
+    assert [r.doc_id for r in without_hits(d, b).collect()] == [4]
+
+
+def test_query_and_sql_agree_on_items_without_an_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x tiny item y"), (2, "other words here"), (3, "tiny item other words"), (4, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "tiny item"), (None, "other words"), (7, "tiny item")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert differ(op9_decontamination(spark, str(tmp_path)), oracle(str(tmp_path)), ORACLE_SQL["op9_decontamination"]) is None
