@@ -1,6 +1,6 @@
 import re
 
-from marginalia.llm.substrings import FingerprintLog
+from marginalia.llm.substrings import FingerprintLog, op7_substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +65,27 @@ def test_empty_and_clashing_names(spark):
     log.append(df, "kept", "anchor")
     assert [r[1] for r in log.dedup(df, None, "kept", "anchor").collect()] == [2]
     assert log.dedup(df.limit(0), df, "kept", "anchor").count() == 0
+
+
+def test_batches_are_taken_one_after_another(spark):
+    import random
+
+    pick = random.Random(3)
+    passage = [pick.choice("abcdefgh") for _ in range(30)]
+    docs = [(i, " ".join([pick.choice("abcdefgh") for _ in range(pick.randrange(30))] + passage[pick.randrange(15) :])) for i in range(60)]
+    docs += [(None, docs[3][1]), (60, docs[5][1]), (60, docs[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    log = FingerprintLog(spark, size=8, k=3, max_runs=2)
+    found = rows(log.take(df.where("doc_id < 15 or doc_id is null")))
+    for low in (15, 30, 45):
+        found += rows(log.take(df.where(f"doc_id >= {low} and doc_id < {low + 15 + (low == 45)}"), df.where(f"doc_id < {low + 15 + (low == 45)}")))
+    assert sorted(found, key=str) == brute(docs, 8) and len(log.runs) <= 2
+
+
+def test_the_query_takes_batches(spark, monkeypatch):
+    taken, take = [], FingerprintLog.take
+    monkeypatch.setattr(FingerprintLog, "take", lambda self, docs, *a: taken.append({r[0] for r in docs.select("doc_id").collect()}) or take(self, docs, *a))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in op7_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {x[:3] for x in brute([tuple(r) for r in docs.collect()], 50)}
+    assert len(taken) == 2 and max(taken[0]) < min(taken[1])
