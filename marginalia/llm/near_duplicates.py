@@ -4,30 +4,34 @@ Words are runs of characters other than ASCII white space, with A-Z lower-cased.
 runs of k words (by 64-bit hashes); with fewer words, but some, the whole sequence is its one element. Two documents
 link when 100 * |intersection| >= percent * |union|; an empty set links with nothing.
 
-1. Frequencies. Every batch of texts sends its elements to hash buckets as packed arrays (5 bytes of hash, 2 of the
-   document's place in the batch), so one shuffle of about 7 bytes an element counts all of them. Elements that one
-   document alone has can't be shared: only the others go back to their batches, with their frequencies.
+1. Frequencies. Every batch of texts sends its elements to hash buckets as packed arrays (8 bytes of hash, 2 of the
+   document's place in the batch), so one shuffle of about 10 bytes an element counts all of them. An element that
+   several documents of a batch have is sent once, with their number, so one that all documents have sends its bucket
+   12 bytes for each 3 MB of text. Elements that one document alone has can't be shared: only the others go back to
+   their batches, with their frequencies.
 2. Classes. Documents with equal sets are one class under its smallest id; copies are not expanded.
 3. Prefixes. A class of n elements needs t = ceil(percent * n / 100) in common with any partner. Ordered by frequency
    (unshared ones first), two partners share at least l elements of their first n - t + l. Each class chooses l by
    estimated cost: the frequencies in its prefix (postings to read) and these over l times a weight (candidates to
-   verify). A pair is a candidate once its prefixes share min(l, l') elements. Classes with over n - t unshared
-   elements drop out here.
-4. Links. Members of one posting list are first verified along two chains (by size, by hash), one pair for each entry,
-   in parts of at most CHAIN entries. That joins groups of near copies into components at a linear cost. While the
-   entries outside their lists' largest components would still meet more than SPARE entries each on average, and
-   one try in WORTH links, each is verified against neighbours in the largest one, a few pairs an entry (ROUNDS times at
-   most). Then every pair of a list that lies in different components is considered (a list's largest component meets
-   the others only, not itself): it is a candidate if the elements that can still be shared before and after its
-   place in both orders are enough to link, so are those left when each bit of one's signature (the hashes of its
-   shared elements in SIGNATURE bits) that the other's lacks is taken off, and its place is at least the least number of elements that the two
-   prefixes must share: min(l, l'), or what is left when all beyond the longer prefix's end is taken as shared. So no
-   link between components is lost; links inside a component can't change it.
-
-Verification is exact on the shared elements: |union| = n + n' - |intersection|.
+   verify). Classes with over n - t unshared elements drop out here.
+4. Links. A pair is verified once its prefixes share enough elements: min(l, l'), or what is left of the elements that
+   they must share when all beyond the longer prefix's end are taken as shared, if that is more. Members of one posting
+   list first meet along two chains (by size, by hash), one pair for each entry, in parts of at most CHAIN entries, and
+   the elements that their prefixes share are counted. That joins groups of near copies into components at a linear
+   cost. While the entries outside their lists' largest components would still meet more than SPARE entries each on
+   average, and one try in WORTH links, each meets neighbours in the largest one, a few pairs an entry (ROUNDS times at
+   most). Then every pair of a list that lies in different components is met (a list's largest component meets the others
+   only, not itself), if its sizes fit, if the elements that can still be shared before and after its place in both
+   orders are enough to link, and so are those left when each bit of one's signature (the hashes of its shared elements
+   in SIGNATURE bits) that the other's lacks is taken off; a pair's meetings over all lists are counted, and those that
+   met often enough are verified. So no link between components is lost; links inside a component can't change it.
+
+Verification compares the whole sets of hashes: |union| = n + n' - |intersection|. Among n distinct elements of a corpus
+about n * n / 2**65 pairs have one hash; such a pair counts as one shared element, which decides a link only where the
+similarity is at the threshold, or where both sets are that one element (of m such sets, m * m / 2**65 pairs).
 
 Nulls and edge cases: a null or empty text has an empty set and is its own component; a null id links with nothing
-and its component is null; repeated rows are in one class; an empty table gives no rows.
+and its component is null; ids are longs (or cast to longs); repeated rows are in one class; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import keyed_text, text_bytes, written
+from .shared import Scratch, keyed_text, text_bytes, written
 
 K, PERCENT = 5, 80
 MOST_L, CHAIN = 8, 4096
@@ -52,22 +56,23 @@ ROUNDS, SPARE, WORTH = 8, 4, 20
 SIGNATURE = 1024
 BUCKET_BYTES = 6 << 20  # of text, for each bucket: about a million elements
 _ROWS = 60_000  # documents of a batch are numbered in 2 bytes
-_SENT = np.dtype([("h", "u1", 5), ("d", "<u2")])
+_SUMMED = 0xFFFF  # stands for all documents of a batch that have an element
+_SENT = np.dtype([("h", "<u8"), ("d", "<u2")])
+_SUMS = np.dtype([("h", "<u8"), ("c", "<u4")])
 _BACK = np.dtype([("token", "<u8"), ("df", "<u4"), ("d", "<u2")])
-_SHIFT = 24  # a token is 40 bits of hash over its bucket's number
 
 
 def sets_of(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, element), distinct and sorted."""
-    left, counts, sums = w.left(), w.counts(), w.sums()
+    left, counts = w.left(), w.counts()
     of = w.text_of()
     at = np.flatnonzero(left >= k)
-    texts, hashes = [of[at]], [w.windows(k, sums)[at]]
+    texts, hashes = [of[at]], [w.windows(k)[at]]
     for size in range(1, k):
         short = np.flatnonzero(counts == size)
         if len(short):
             texts.append(short)
-            hashes.append(w.windows(size, sums)[w.first[short]])
+            hashes.append(w.windows(size)[w.first[short]])
     texts, hashes = np.concatenate(texts), np.concatenate(hashes)
     order = np.lexsort((hashes, texts))
     texts, hashes = texts[order], hashes[order]
@@ -75,12 +80,20 @@ def sets_of(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return texts[keep], hashes[keep]
 
 
-_SENT_SCHEMA = "bucket int, batch long, sent binary, ids array<bigint>, digests array<binary>, sizes array<int>, first array<int>"
-_BACK_SCHEMA = "batch long, back binary, ids array<bigint>, digests array<binary>, sizes array<int>, first array<int>"
+_HOME = "own binary, ids array<bigint>, digests array<binary>, sizes array<int>, first array<int>"
+_SENT_SCHEMA = f"bucket bigint, batch long, sent binary, sums binary, {_HOME}"
+_BACK_SCHEMA = f"batch long, back binary, {_HOME}"
+_HOME_TYPES = [("own", pa.binary()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("first", pa.list_(pa.int32()))]
+
+
+def _cut(rows: np.ndarray, bucket: np.ndarray, used: np.ndarray) -> pa.Array:
+    """The rows of each used bucket, packed; bucket is ascending."""
+    offsets = np.searchsorted(bucket, np.append(used, np.iinfo(np.int64).max)) * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
 
 
 def _sender(k: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("sent", pa.binary()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("first", pa.list_(pa.int32()))])
+    schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("sent", pa.binary()), ("sums", pa.binary()), *_HOME_TYPES])
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         w = W.words_of(*W.texts(W.column(part, "__text")), lower=True)
@@ -98,25 +111,31 @@ def _sender(k: int, buckets: int):
         batch = int.from_bytes(hashlib.blake2b(b"".join(digests) + repr(ids).encode(), digest_size=8).digest(), "little", signed=True)
         go = stands[texts]
         texts, hashes = texts[go], hashes[go]
-        bucket = (hashes % W.U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        out = np.zeros(len(order), _SENT)
-        out["d"] = texts[order]
-        out["h"] = (hashes[order] >> W.U(_SHIFT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        used, counts = np.unique(bucket, return_counts=True)
-        offsets = np.append(0, np.cumsum(counts) * _SENT.itemsize).astype(np.int32)
+        bucket = (hashes % W.U(buckets)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        texts, hashes, bucket = texts[order], hashes[order], bucket[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(hashes)))
+        lone, many = at[count == 1], at[count > 1]
+        sent, sums = np.zeros(len(lone), _SENT), np.zeros(len(many), _SUMS)
+        sent["h"], sent["d"] = hashes[lone], texts[lone]
+        sums["h"], sums["c"] = hashes[many], count[count > 1]
+        within = np.repeat(count > 1, count)  # what several documents of the batch have is sent once, and stays here
+        own = np.zeros(int(within.sum()), _SENT)
+        own["h"], own["d"] = hashes[within], texts[within]
+        used = np.unique(bucket)
         n = len(used) + 1
-        sent = pa.Array.from_buffers(pa.binary(), n - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
         none = [None] * (n - 1)
+        home = [own.tobytes(), ids, digests, sizes.tolist(), np.flatnonzero(stands).tolist()]
+        nothing = pa.array([None], pa.binary())
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.append(used, batch % buckets).astype(np.int32)),
+                pa.array(np.append(used, batch % buckets), pa.int64()),
                 pa.array(np.full(n, batch), pa.int64()),
-                pa.concat_arrays([sent, pa.array([None], pa.binary())]),
-                pa.array([*none, ids], pa.list_(pa.int64())),
-                pa.array([*none, digests], pa.list_(pa.binary())),
-                pa.array([*none, sizes.tolist()], pa.list_(pa.int32())),
-                pa.array([*none, np.flatnonzero(stands).tolist()], pa.list_(pa.int32())),
+                pa.concat_arrays([_cut(sent, bucket[lone], used), nothing]),
+                pa.concat_arrays([_cut(sums, bucket[many], used), nothing]),
+                *[pa.array([*none, x], t) for x, (_, t) in zip(home, _HOME_TYPES, strict=True)],
             ],
             schema=schema,
         )
@@ -133,30 +152,29 @@ def _sender(k: int, buckets: int):
 def _counter(table: pa.Table) -> pa.Table:
     """Frequencies of a bucket's elements; what more than one document has goes back, with the batches' own rows."""
     homes = table.filter(table["ids"].is_valid())
-    sent = table.filter(table["sent"].is_valid())
-    blobs = sent["sent"].to_pylist()
-    rows = np.frombuffer(b"".join(blobs), _SENT)
-    wide = np.zeros((len(rows), 8), np.uint8)
-    wide[:, :5] = rows["h"]
-    h = wide.view("<u8").ravel()
+    table = table.filter(table["sent"].is_valid())
+    sent, sums = table["sent"].to_pylist(), table["sums"].to_pylist()
+    rows, more = np.frombuffer(b"".join(sent), _SENT), np.frombuffer(b"".join(sums), _SUMS)
+    h = np.concatenate([rows["h"], more["h"]])
+    weight = np.concatenate([np.ones(len(rows), np.int64), more["c"].astype(np.int64)])
     order = np.argsort(h, kind="stable")
     edge = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
     group = np.cumsum(edge) - 1
-    df = np.zeros(len(h), np.uint32)
-    df[order] = np.bincount(group)[group] if len(h) else 0
-    back, out = [], {"batch": [], "back": []}
-    ends = np.cumsum([len(b) // _SENT.itemsize for b in blobs])
-    bucket = W.U(table["bucket"][0].as_py())
-    for batch, a, b in zip(sent["batch"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
-        at = a + np.flatnonzero(df[a:b] > 1)
-        if len(at):
-            back = np.zeros(len(at), _BACK)
-            back["token"], back["df"], back["d"] = h[at] << W.U(_SHIFT) | bucket, df[at], rows["d"][at]
+    df = np.zeros(len(h), np.int64)
+    df[order] = np.bincount(group, weight[order])[group].astype(np.int64) if len(h) else 0
+    df = np.minimum(df, np.iinfo(np.int32).max)
+    back = np.zeros(len(h), _BACK)
+    back["token"], back["df"], back["d"] = h, df, np.append(rows["d"], np.full(len(more), _SUMMED, np.uint16))
+    out = {"batch": [], "back": []}
+    ends, ends_more = (np.append(0, np.cumsum([len(x) for x in blobs]) // kind.itemsize) for blobs, kind in ((sent, _SENT), (sums, _SUMS)))
+    for i, batch in enumerate(table["batch"].to_pylist()):
+        mine = back[ends[i] : ends[i + 1]], back[len(rows) + ends_more[i] : len(rows) + ends_more[i + 1]]
+        found = mine[0][mine[0]["df"] > 1].tobytes() + mine[1].tobytes()
+        if found:
             out["batch"].append(batch)
-            out["back"].append(back.tobytes())
-    n = len(out["batch"])
-    names = ["ids", "digests", "sizes", "first"]
-    shared = pa.table({"batch": pa.array(out["batch"], pa.int64()), "back": pa.array(out["back"], pa.binary())} | {x: pa.nulls(n, homes[x].type) for x in names})
+            out["back"].append(found)
+    n, names = len(out["batch"]), [x for x, _ in _HOME_TYPES]
+    shared = pa.table({"batch": pa.array(out["batch"], pa.int64()), "back": pa.array(out["back"], pa.binary())} | {x: pa.nulls(n, t) for x, t in _HOME_TYPES})
     own = pa.table({"batch": homes["batch"], "back": pa.nulls(homes.num_rows, pa.binary())} | {x: homes[x] for x in names})
     return pa.concat_tables([shared, own])
 
@@ -168,8 +186,15 @@ def _assembler(table: pa.Table) -> pa.Table:
     """A batch's documents with their shared elements, rare ones first (only for the first of equal sets)."""
     homes = table.filter(table["ids"].is_valid()).to_pylist()
     rows = np.frombuffer(b"".join(x for x in table["back"].to_pylist() if x), _BACK)
-    rows = rows[np.lexsort((rows["token"], rows["df"], rows["d"]))]
     home = homes[0]  # a batch that occurs twice, row for row, comes with its elements twice
+    summed = rows[rows["d"] == _SUMMED]
+    own = np.frombuffer(home["own"], _SENT)
+    if len(own):
+        summed = summed[np.argsort(summed["token"], kind="stable")]
+        shared = np.zeros(len(own), _BACK)
+        shared["token"], shared["d"], shared["df"] = own["h"], own["d"], summed["df"][np.searchsorted(summed["token"], own["h"])]
+        rows = np.concatenate([rows[rows["d"] != _SUMMED], shared])
+    rows = rows[np.lexsort((rows["token"], rows["df"], rows["d"]))]
     if len(homes) > 1:
         rows = rows[np.append(True, (rows["d"][1:] != rows["d"][:-1]) | (rows["token"][1:] != rows["token"][:-1]))[: len(rows)]]
     n = len(home["ids"])
@@ -187,11 +212,11 @@ def _assembler(table: pa.Table) -> pa.Table:
 
 
 def shared_elements(docs: DataFrame, k: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
-    buckets = min(1 << _SHIFT, max(1, -(-text_bytes(docs, text_col) // bucket_bytes)))
+    buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
     mine = keyed_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("long"))
     sent = mine.mapInArrow(_sender(k, buckets), _SENT_SCHEMA)
     back = sent.groupBy("bucket").applyInArrow(_counter, _BACK_SCHEMA)
-    return written(back.groupBy("batch").applyInArrow(_assembler, _SETS_SCHEMA), "sets")
+    return back.groupBy("batch").applyInArrow(_assembler, _SETS_SCHEMA)
 
 
 def prefix_of(n: int, dfs: np.ndarray, percent: int, weight: float = 4.0) -> tuple[int, int]:
@@ -208,23 +233,15 @@ def prefix_of(n: int, dfs: np.ndarray, percent: int, weight: float = 4.0) -> tup
 
 
 def _prefixes(percent: int):
+    """Adds l and how many of the tokens the prefix takes; classes that can't link go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            tokens, dfs = W.column(batch, "tokens"), W.column(batch, "dfs")
-            for i, (rep, n) in enumerate(zip(W.column(batch, "rep").to_pylist(), W.column(batch, "n").to_pylist(), strict=True)):
-                freq = dfs[i].values.to_numpy()
-                l, m = prefix_of(n, freq, percent)
-                if m:
-                    out[0].append(tokens[i].values.to_numpy()[:m])
-                    out[1].append(freq[:m])
-                    out[2].append(np.full(m, rep))
-                    out[3].append(np.full(m, n))
-                    out[4].append(np.full(m, l))
-                    out[5].append(np.arange(m))
-                    out[6].append(np.full(m, len(freq)))
-            cols = [np.concatenate([np.zeros(0, np.int64), *x]) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), *[pa.array(c.astype(np.int32)) for c in cols[4:]]], names=["token", "df", "rep", "n", "l", "k", "m"])
+            dfs = W.column(batch, "dfs")
+            found = [prefix_of(n, dfs[i].values.to_numpy(), percent) for i, n in enumerate(W.column(batch, "n").to_pylist())]
+            l, take = (pa.array([x[j] for x in found], pa.int32()) for j in (0, 1))
+            out = pa.RecordBatch.from_arrays([*batch.columns, l, take], names=[*batch.schema.names, "l", "take"])
+            yield out.filter(pc.greater(take, 0))
 
     return run
 
@@ -235,18 +252,34 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = W.column(batch, "tokens")
         bits = np.zeros((batch.num_rows, SIGNATURE), np.uint8)
         for i in range(batch.num_rows):
-            bits[i, (lists[i].values.to_numpy() >> _SHIFT) % SIGNATURE] = 1
+            bits[i, lists[i].values.to_numpy() % SIGNATURE] = 1
         packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
         yield pa.RecordBatch.from_arrays([W.column(batch, "rep"), W.nested(packed.ravel(), np.full(batch.num_rows, SIGNATURE // 64), pa.int64())], names=["rep", "signature"])
 
 
+def _least_shared(percent: int, x: str, y: str):
+    """Elements that two sets must have in common to link."""
+    return F.ceil(percent * (F.col(f"n{x}") + F.col(f"n{y}")) / (100 + percent))
+
+
+def _matches(percent: int, x: str, y: str):
+    """How many elements the prefixes of two linked sets share at least: min(l, l'), or what is left of the elements
+    that they must share when all those beyond the longer prefix's end are taken as shared."""
+    after = F.greatest(*[F.ceil(percent * F.col(f"n{s}") / 100) - F.col(f"l{s}") for s in (x, y)])
+    return F.greatest(F.least(f"l{x}", f"l{y}"), _least_shared(percent, x, y) - after)
+
+
+def _counted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with both sides' sets and `met`, how many elements their prefixes share, where that is enough."""
+    side = classes.select("rep", "n", "l", "take", "tokens")
+    a, b = (side.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}{x}") for c in side.columns[1:]]) for x in "ab")
+    met = F.size(F.array_intersect(F.slice("tokensa", F.lit(1), F.col("takea")), F.slice("tokensb", F.lit(1), F.col("takeb"))))
+    return pairs.join(a, "a").join(b, "b").withColumn("met", met).where(F.col("met") >= _matches(percent, "a", "b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that link."""
-    side = classes.select("rep", "n", "tokens")
-    a, b = (side.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = both.select("a", "b", "na", "nb", shared.alias("i"))
+    """Those pairs (a, b) that share enough of their prefixes and then link."""
+    both = _counted(pairs, classes, percent).withColumn("i", F.size(F.array_intersect("tokensa", "tokensb")))
     return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
@@ -254,28 +287,52 @@ def _fits(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _placed(postings: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
-    """Entries of the posting lists that lie in several components, with the entry's component and whether that is
-    the list's largest; and how many pairs of entries an entry outside the largest would meet."""
-    placed = written(postings.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
+def _placed(postings: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Entries of the posting lists with their components; of the lists that lie in several, the largest one; and how
+    many pairs of entries an entry outside the largest would meet."""
+    placed = scratch.write(postings.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
     parts = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most")).where("parts > 1")
-    main = written(main, "posting-lists")
+    main = scratch.write(main, "posting-lists")
     waiting = main.agg(F.coalesce(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.lit(0))).first()[0]
-    return placed.join(main.select("token", "main"), "token").withColumn("main", F.col("comp") == F.col("main")), waiting
+    return placed, main, waiting
+
+
+def _met(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough of their prefixes: every posting list that both are on
+    counts one. Entries (token, k, main, comp) of one component's class don't meet one another."""
+    signed = placed.join(classes.mapInArrow(_signatures, "rep long, signature array<bigint>"), "rep")
+    u, v = (signed.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "l", "k", "m", "comp", "main", "signature")]) for s in "xy")
+    least_shared = _least_shared(percent, "x", "y")
+    reach = F.least("kx", "ky") + F.least(F.col("mx") - F.col("kx"), F.col("my") - F.col("ky"))  # elements in common at most
+
+    def alone(x: str, y: str):
+        """Elements of one that the other lacks, at least."""
+        return sum((F.bit_count(F.get(f"signature{x}", i).bitwiseAND(F.bitwise_not(F.get(f"signature{y}", i)))) for i in range(SIGNATURE // 64)), F.lit(0))
+
+    alike = (F.col("mx") - alone("x", "y") >= least_shared) & (F.col("my") - alone("y", "x") >= least_shared)
+    across = (F.col("compx") != F.col("compy")) & (F.col("mainy") | (F.col("compx") < F.col("compy")))
+    rows = u.where("not mainx").join(v, "token").where(across & _fits(percent, "nx", "ny") & (reach >= least_shared) & alike)
+    rows = rows.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"), _matches(percent, "x", "y").alias("needed"))
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed")).where("met >= needed")
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """id_col, n_shingles, class_id (smallest id with the same set) and component_id (smallest id reachable by links)
-    for every row."""
+    for every row, as a table in the shared folder; all other tables are deleted."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
-    sets = shared_elements(docs, k, id_col, text_col, bucket_bytes)
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.write(shared_elements(docs, k, id_col, text_col, bucket_bytes), "sets")
     best = sets.where("id is not null and n > 0 and tokens is not null").groupBy("digest").agg(F.min(F.struct("id", "batch", "place")).alias("m"))
-    best = written(best.select("digest", F.col("m.id").alias("rep"), F.col("m.batch").alias("batch"), F.col("m.place").alias("place")), "classes")
+    best = scratch.write(best.select("digest", F.col("m.id").alias("rep"), F.col("m.batch").alias("batch"), F.col("m.place").alias("place")), "classes")
     able = sets.where(F.size("tokens") * 100 >= F.col("n") * percent)
-    classes = written(able.join(best.select("rep", "batch", "place"), ["batch", "place"]).select("rep", "n", "tokens", "dfs"), "class-sets")
-    postings = written(classes.mapInArrow(_prefixes(percent), "token long, df int, rep long, n int, l int, k int, m int"), "postings")
+    able = able.join(best.select("rep", "batch", "place"), ["batch", "place"]).select("rep", "n", "tokens", "dfs")
+    classes = scratch.write(able.mapInArrow(_prefixes(percent), "rep long, n int, tokens array<bigint>, dfs array<int>, l int, take int"), "class-sets")
+    named = scratch.write(sets.select("id", "digest", "n"), "named")
+    scratch.drop(sets)
+    postings = classes.select("rep", "n", "l", F.size("tokens").alias("m"), "dfs", F.posexplode(F.slice("tokens", F.lit(1), F.col("take"))).alias("k", "token"))
+    postings = scratch.write(postings.select("token", F.get("dfs", F.col("k")).alias("df"), "rep", "n", "l", "k", "m"), "postings")
 
     part = F.pmod(F.xxhash64("rep", "token"), F.ceil(F.col("df") / CHAIN).cast("long"))
     chains = []
@@ -283,53 +340,43 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
         by = Window.partitionBy("token", "part").orderBy(*order)
         step = postings.withColumn("part", part).select("rep", "n", F.lag("rep").over(by).alias("prev"), F.lag("n").over(by).alias("m")).where(F.col("prev").isNotNull() & _fits(percent, "n", "m"))
         chains.append(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")))
-    tried = written(chains[0].union(chains[1]).distinct(), "chains")
-    links = written(_verified(tried, classes, percent), "chain-links")
+    tried = scratch.write(chains[0].union(chains[1]).distinct(), "chains")
+    links = scratch.write(_verified(tried, classes, percent), "chain-links")
 
     entries = postings.count()
+    comps, giving_up = None, False
     for turn in range(ROUNDS + 1):
-        placed, waiting = _placed(postings, components(links))
-        if turn == ROUNDS or waiting <= SPARE * entries:
+        if comps is not None:
+            scratch.drop(comps, placed, lists)
+        comps = components(links, scratch)
+        placed, lists, waiting = _placed(postings, comps, scratch)
+        mixed = placed.join(lists.select("token", "main"), "token").withColumn("main", F.col("comp") == F.col("main"))
+        if giving_up or turn == ROUNDS or waiting <= SPARE * entries:
             break
         chains = []
         for order in (("n", F.xxhash64("rep", F.lit(turn))), (F.xxhash64("rep", F.lit(-1 - turn)),)):
             by = Window.partitionBy("token", "part").orderBy(*order)
             for end, pick in ((by.rowsBetween(Window.unboundedPreceding, -1), F.last), (by.rowsBetween(1, Window.unboundedFollowing), F.first)):
                 near = pick(F.when(F.col("main"), F.struct("rep", "n")), ignorenulls=True).over(end)
-                step = placed.withColumn("part", part).withColumn("near", near).where("not main and near is not null").select("rep", "n", F.col("near.rep").alias("prev"), F.col("near.n").alias("m")).where(_fits(percent, "n", "m"))
+                step = mixed.withColumn("part", part).withColumn("near", near).where("not main and near is not null").select("rep", "n", F.col("near.rep").alias("prev"), F.col("near.n").alias("m")).where(_fits(percent, "n", "m"))
                 chains.append(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")))
-        more = written(reduce(DataFrame.union, chains).distinct().join(tried, ["a", "b"], "left_anti"), "chains")
-        found = written(_verified(more, classes, percent), "chain-links")
+        more = scratch.write(reduce(DataFrame.union, chains).distinct().join(tried, ["a", "b"], "left_anti"), "chains")
+        found = scratch.write(_verified(more, classes, percent), "chain-links")
         tried = tried.union(more)
         links = links.union(found)
-        if found.count() * WORTH < more.count():
-            placed, _ = _placed(postings, components(links))
-            break
-
-    signed = placed.join(classes.mapInArrow(_signatures, "rep long, signature array<bigint>"), "rep")
-    u, v = (signed.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "l", "k", "m", "comp", "main", "signature")]) for s in "xy")
-    least_shared = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
-    reach = F.least("kx", "ky") + F.least(F.col("mx") - F.col("kx"), F.col("my") - F.col("ky"))  # elements in common at most
-    after = F.greatest(*[F.ceil(percent * F.col(f"n{s}") / 100) - F.col(f"l{s}") for s in "xy"])  # elements beyond the longer prefix
-    matches = F.greatest(F.least("lx", "ly"), least_shared - after)  # what the prefixes must share
+        giving_up = found.count() * WORTH < more.count()
 
-    def alone(x: str, y: str):
-        """Elements of one that the other lacks, at least."""
-        return sum((F.bit_count(F.get(f"signature{x}", i).bitwiseAND(F.bitwise_not(F.get(f"signature{y}", i)))) for i in range(SIGNATURE // 64)), F.lit(0))
+    cross = scratch.write(_met(mixed, classes, percent).join(tried, ["a", "b"], "left_anti"), "cross")
+    links = scratch.write(links.unionByName(_verified(cross.select("a", "b"), classes, percent)), "all-links")
+    comps = components(links, scratch)
 
-    alike = (F.col("mx") - alone("x", "y") >= least_shared) & (F.col("my") - alone("y", "x") >= least_shared)
-    across = (F.col("compx") != F.col("compy")) & (F.col("mainy") | (F.col("compx") < F.col("compy")))
-    cross = u.where("not mainx").join(v, "token").where(across & _fits(percent, "nx", "ny") & (reach >= least_shared) & (F.least("kx", "ky") + 1 >= matches) & alike)
-    cross = cross.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b")).distinct()
-    cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross")
-    links = links.unionByName(_verified(cross, classes, percent))
-    comps = components(links)
-
-    named = best.select("digest", "rep").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rows = sets.select("id", "digest", "n").join(named, "digest", "left")
+    named = named.join(best.select("digest", "rep"), "digest", "left").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("id", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
     alone = F.col("n") == 0
     known = F.col("id").isNotNull()
-    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("rep"))).alias("class_id"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("comp"))).alias("component_id"))
+    out = named.select(F.col("id").alias("__id"), F.col("n").cast("long").alias("n_shingles"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("rep"))).alias("class_id"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("comp"))).alias("component_id"))
+    out = written(out, "near-duplicates")
+    scratch.close()
+    return out.select(F.col("__id").alias(id_col), "n_shingles", "class_id", "component_id")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,22 +1,28 @@
 """Words, their hashes and the hashes of word windows for whole Arrow batches, in numpy.
 
-A word's hash is a polynomial in its bytes modulo 2**64, cut out of one running sum over the batch, then mixed
-with the word's length; a window's hash is the same over its words' hashes. Equal sequences have equal hashes
-wherever they stand. Two different sequences among n share a hash with a chance of about n * n / 2**65.
+A word's hash takes in its bytes eight at a time, mixing after each step; words of over LONG bytes are hashed by BLAKE2b.
+Words of up to eight bytes have different hashes for certain if they are of one length. A window's hash is built by
+doubling: hashes of two neighbouring windows are mixed to that of the window of both, so no sum of powers is involved that
+texts of regular structure could bring to the same value. Equal sequences have equal hashes wherever they stand; two
+different ones share a hash with a chance of about 1 in 2**64. Where that is too much for what is decided by it, the words
+themselves are compared, or digests(), a cryptographic hash of them, in addition.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+LONG = 128
+_ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LAST = U(2**64 - 1)
+_TAIL = np.array([0, *[(1 << 8 * i) - 1 for i in range(1, 9)]], U)  # the first i bytes of a little-endian long
 
 #: Which bytes belong to words. Bytes from 0x80 on are parts of longer UTF-8 characters.
 NOT_SPACE = np.ones(256, bool)
@@ -26,22 +32,6 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or of its inverse; kept for the worker's life, doubled when too short."""
-    have = _powers.get((base, inverse))
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n else 1)
-        b = pow(base, -1, 1 << 64) if inverse else base
-        have = np.ones(size, U)
-        have[1:] = U(b)
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 25:
-            _powers[base, inverse] = have
-    return have[:n]
-
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(30))) * U(_MIX[0])
@@ -49,14 +39,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _cut(sums: np.ndarray, at: np.ndarray, to: np.ndarray, base: int) -> np.ndarray:
-    return (sums[to] - sums[at]) * powers(base, len(sums), True)[at]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a and b are hashes of, a first."""
+    return mixed(mixed(a + U(_ODD[0])) * U(_ODD[1]) ^ b)
 
 
-def _sums(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
+def _later(h: np.ndarray, by: int) -> np.ndarray:
+    return np.concatenate([h[by:], np.zeros(min(by, len(h)), U)])
 
 
 @dataclass
@@ -69,6 +58,8 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # word index at which each text starts; one more at the end
     hash: np.ndarray
+    _doubled: list[np.ndarray] = field(default_factory=list, repr=False)
+    _plain: tuple[bytes, np.ndarray] | None = field(default=None, repr=False)
 
     @property
     def n_texts(self) -> int:
@@ -85,14 +76,54 @@ class Words:
         """For each word how many words of its text start there or later."""
         return np.repeat(self.first[1:], self.counts()) - np.arange(len(self.start))
 
-    def sums(self) -> np.ndarray:
-        return _sums(self.hash, _WORD_BASE)
-
-    def windows(self, size: int, sums: np.ndarray | None = None) -> np.ndarray:
+    def windows(self, size: int) -> np.ndarray:
         """For each word the hash of the size words from it; without meaning where the text has fewer left."""
-        sums = self.sums() if sums is None else sums
-        at = np.arange(len(self.hash))
-        return mixed(_cut(sums, at, np.minimum(at + size, len(self.hash)), _WORD_BASE) + U(size))
+        chain, out, done = self._doubled or [self.hash], None, 0
+        self._doubled = chain
+        for i in range(size.bit_length()):
+            if i == len(chain):
+                chain.append(joined(chain[-1], _later(chain[-1], 1 << i - 1)))
+            if size >> i & 1:
+                out = chain[i] if out is None else joined(out, _later(chain[i], done))
+                done += 1 << i
+        return mixed(out + U(size))
+
+    def plain(self) -> tuple[bytes, np.ndarray]:
+        """All words with a space after each, and where each word starts there; one more at the end."""
+        if self._plain is None:
+            sizes = self.end - self.start + 1
+            at = np.append(0, np.cumsum(sizes))
+            out = np.full(at[-1], 0x20, np.uint8)
+            inside = np.ones(at[-1], bool)
+            inside[at[1:] - 1] = False
+            taken = np.zeros(len(self.raw) + 1, np.int8)
+            taken[self.start] += 1
+            taken[self.end] -= 1
+            out[inside] = self.raw[np.cumsum(taken[:-1], dtype=np.int8).view(bool)]
+            self._plain = out.tobytes(), at
+        return self._plain
+
+    def digests(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """64 bits of BLAKE2b of the words from each of at up to each of to."""
+        data, starts = self.plain()
+        view, blake = memoryview(data), hashlib.blake2b
+        return np.frombuffer(b"".join([blake(view[a:b], digest_size=8).digest() for a, b in zip(starts[at].tolist(), starts[to].tolist(), strict=True)]), "<u8")
+
+
+def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    lanes = np.ndarray((len(raw) + 1,), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))  # the eight bytes from each one
+    size = end - start
+    h = mixed(lanes[start] & _TAIL[np.minimum(size, 8)] ^ U(_ODD[0])) ^ size.astype(U) * U(_ODD[1])
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    step = 8
+    while len(at):
+        h[at] = joined(h[at], lanes[start[at] + step] & _TAIL[np.minimum(size[at] - step, 8)])
+        step += 8
+        at = at[size[at] > step]
+    h = mixed(h)
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE, lower: bool = False) -> Words:
@@ -104,9 +135,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPAC
     begins[1:] &= ~at[:-1] | edge[1:-1]
     ends[:-1] &= ~at[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = _sums(raw + U(1), _BYTE_BASE)
-    h = mixed(_cut(sums, start, end, _BYTE_BASE) + (end - start).astype(U) * U(_WORD_BASE))
-    return Words(raw, offsets, start, end, np.searchsorted(start, offsets), h)
+    return Words(raw, offsets, start, end, np.searchsorted(start, offsets), _hashes(raw, start, end))
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +183,7 @@ def winnowed(hashes: np.ndarray, left: np.ndarray, k: int, window: int) -> tuple
     """
     n = len(hashes)
     best, chosen = hashes.copy(), np.arange(n)
-    for j in range(1, window):
+    for j in range(1, min(window, n)):
         later = hashes[j:]
         take = later <= best[: n - j]
         best[: n - j][take] = later[take]

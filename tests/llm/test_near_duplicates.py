@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from marginalia.llm import near_duplicates as nd
 from marginalia.llm.components import components
 from marginalia.llm.near_duplicates import near_duplicates, prefix_of
 
@@ -65,6 +66,84 @@ def test_groups_chains_and_edges(spark):
     assert near_duplicates(odd, id_col="n_shingles", text_col="digest").count() == 30
 
 
+def thue_morse(a, b, n):
+    x, y = [a], [b]
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_different_words_stay_different(spark):
+    """Words and sequences that sums of powers confuse, and words that agree in the first 40 bits of such hashes."""
+    x, y = thue_morse("a", "b", 4096)
+    docs = [(1, "".join(x)), (2, "".join(y)), (3, " ".join(x)), (4, " ".join(y)), (5, "k1d0df4"), (6, "k2137fc"), (7, "".join(x) + " t u v w"), (8, "".join(y) + " t u v w")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(near_duplicates(df))
+    assert got == brute(docs)
+    assert [c for d, _, c in got if d in (1, 2, 5, 6, 7, 8)] == [1, 2, 5, 6, 7, 8]
+
+
+def test_no_pair_is_verified_below_its_count(spark, monkeypatch):
+    """What comes to verification, from chains and from posting lists, shares min(l, l') elements of its prefixes."""
+    pick = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        w = list(base[: pick.randrange(30, 120)])
+        for _ in range(pick.randrange(6)):
+            w[pick.randrange(len(w))] = f"x{pick.randrange(9)}"
+        docs.append((i, " ".join(w)))
+    seen, counted = [], nd._counted
+
+    def noted(pairs, classes, percent):
+        out = counted(pairs, classes, percent)
+        known = {r.rep: r for r in classes.collect()}
+        for r in out.select("a", "b", "met").collect():
+            a, b = known[r.a], known[r.b]
+            met = len(set(a.tokens[: a["take"]]) & set(b.tokens[: b["take"]]))
+            seen.append((met == r.met, met, min(a.l, b.l)))
+        return out
+
+    monkeypatch.setattr(nd, "_counted", noted)
+    assert rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert seen and all(same and met >= least for same, met, least in seen) and any(least > 1 for _, _, least in seen)
+
+
+def test_meetings_are_counted_over_all_lists(spark):
+    pick = random.Random(9)
+    sets = {i: sorted(pick.sample(range(1, 40), 12)) for i in range(60)}
+    df = {x: sum(x in s for s in sets.values()) for x in range(40)}
+    lines = [(r, 12, sorted(s, key=lambda x: (df[x], x)), [df[x] for x in sorted(s, key=lambda x: (df[x], x))]) for r, s in sets.items()]
+    classes = spark.createDataFrame([(*line, *prefix_of(12, np.array(line[3]), 50)) for line in lines], "rep long, n int, tokens array<bigint>, dfs array<int>, l int, take int")
+    placed = [(t, r, n, l, k, n, r, False) for r, n, ts, _, l, m in classes.collect() for k, t in enumerate(ts[:m])]
+    placed = spark.createDataFrame(placed, "token long, rep long, n int, l int, k int, m int, comp long, main boolean")
+    got = {(r.a, r.b): (r.met, r.needed) for r in nd._met(placed, classes, 50).collect()}
+    lead = {r.rep: set(r.tokens[: r["take"]]) for r in classes.collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 50 * len(set(sets[a]) | set(sets[b]))}
+    assert linked and linked <= set(got)
+    assert all(met == len(lead[a] & lead[b]) and met >= needed for (a, b), (met, needed) in got.items() if (a, b) in linked)
+
+
+def test_a_hot_element_is_summed_before_it_is_sent(spark):
+    """A million documents with one element in common: a bucket gets a few bytes for each batch of texts."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50_000), pa.int64()), pa.array([f"a b c d e {i}" for i in range(50_000)])], names=["__id", "__text"])
+    sent = list(nd._sender(5, 1)(iter([batch])))
+    hot = sum(len(x) for part in sent for x in part.column(3).to_pylist() if x)
+    assert hot == 12 * len(sent) and sum(part.num_rows for part in sent) == 2 * len(sent)
+    back = nd._counter(pa.Table.from_batches(sent))
+    assert back.filter(back["back"].is_valid())["back"].to_pylist()[0][8:12] == (50_000).to_bytes(4, "little")
+
+
+def test_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from marginalia.llm import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = near_duplicates(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string"))
+    assert found.count() == 2 and [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["near", "duplicates"]]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=25, unique=True), st.lists(st.integers(0, 40), min_size=1, max_size=25, unique=True), st.integers(50, 100), st.lists(st.integers(2, 30), min_size=41, max_size=41))
 def test_prefixes_lose_nothing(a, b, percent, df):

@@ -84,8 +84,40 @@ def test_batches_are_taken_one_after_another(spark):
 
 def test_the_query_takes_batches(spark, monkeypatch):
     taken, take = [], FingerprintLog.take
+    compacted, compact = [], FingerprintLog.compact
+    monkeypatch.setattr(FingerprintLog, "compact", lambda self: compacted.append(len(self.runs)) or compact(self))
     monkeypatch.setattr(FingerprintLog, "take", lambda self, docs, *a: taken.append({r[0] for r in docs.select("doc_id").collect()}) or take(self, docs, *a))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {(r.doc_id, r.n_words, r.n_removed) for r in op7_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {x[:3] for x in brute([tuple(r) for r in docs.collect()], 50)}
-    assert len(taken) == 2 and max(taken[0]) < min(taken[1])
+    assert len(taken) == 6 and all(max(a) < min(b) for a, b in zip(taken[:-1], taken[1:], strict=True)) and compacted == [5]
+
+
+def test_windows_that_regular_words_could_confuse(spark):
+    from test_near_duplicates import thue_morse
+
+    x, y = thue_morse("a", "b", 2048)
+    words = [f"w{i}" for i in range(49)]
+    docs = [(1, " ".join([*words, "".join(x)])), (2, " ".join([*words, "".join(y)])), (3, " ".join(x)), (4, " ".join(y)), (5, " ".join(["".join(y), *words]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    log = FingerprintLog(spark)
+    want = brute(docs, 50)
+    assert rows(log.take(df)) == want and want[1][2] == 0
+
+
+def test_a_batch_reads_only_documents_with_its_anchors_again(spark, monkeypatch):
+    """Of the history, the window by window part sees the documents that had the anchors of new segments first."""
+    import random
+
+    from marginalia.llm import substrings
+
+    pick = random.Random(4)
+    docs = [(i, " ".join(pick.choice("abcdefghijklmnopqrstuvwxyz") + str(pick.randrange(99)) for _ in range(40))) for i in range(50)]
+    docs += [(50, " ".join(docs[7][1].split()[5:30]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    log = FingerprintLog(spark, size=8, k=3)
+    log.take(df.where("doc_id < 50"))
+    read, write = [], substrings.Scratch.write
+    monkeypatch.setattr(substrings.Scratch, "write", lambda self, d, name: read.append((name, out := write(self, d, name), out.count())) or out)
+    assert rows(log.take(df.where("doc_id = 50"), df)) == [x for x in brute(docs, 8) if x[0] == 50]
+    assert {name: n for name, _, n in read}["wanted"] <= 2
