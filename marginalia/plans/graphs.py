@@ -140,7 +140,7 @@ QUERIES = {f.__name__: f for f in (graph_vertices, graph_edges, graph_metadata,
 
 _VX = "vx as (select 'n' || n_nationkey as id, 'folder' as type, n_name as label from nation union all select 'c' || c_custkey, 'note', c_name from customer union all select distinct 't' || o_orderpriority[1], 'tag', o_orderpriority from orders)"
 _EX = "ex as (select 'n' || c_nationkey as source, 'c' || c_custkey as target, 'contains' as type from customer union all select distinct 'c' || o_custkey, 't' || o_orderpriority[1], 'mentions' from orders)"
-_PE = "pe as (select distinct 'p' || l_partkey as source, 's' || l_suppkey as target from lineitem where l_partkey <= 60 union all select 'p' || p_partkey, 'p' || (p_partkey % 60 + 1) from part where p_partkey <= 60)"
+_PE = "pe as (select distinct 'p' || l_partkey as source, 's' || l_suppkey as target from lineitem union all select 'p' || p_partkey, 'p' || ((p_partkey - (select min(p_partkey) from part) + 1) % (select count(*) from part) + (select min(p_partkey) from part)) from part)"
 _UN = "un as (select source, target from pe where source <> target union select target, source from pe where source <> target)"
 
 
@@ -162,7 +162,7 @@ ORACLE_SQL = {
     "degree": f"with {_PE} select id, count(*) as degree from (select source as id from pe where source <> target union all select target from pe where source <> target) group by id",
     "common_neighbor_ratio": f"with {_PE}, {_UN}, d as (select source, count(*) as d from un group by 1), c as (select a.source as a, b.source as b, count(*) as c from un a join un b on a.target = b.target group by 1, 2) select un.source as a, un.target as b, round(coalesce(c, 0) / cast(greatest(da.d, db.d) as double), 6) as ratio from un left join c on c.a = un.source and c.b = un.target join d da on da.source = un.source join d db on db.source = un.target where un.source < un.target",
     "pagerank_fixed": f"{_rank_sql(4)} select id, round(rank, 8) as rank from r4",
-    "influential_notes": f"{_rank_sql(4)} select id, round(rank, 8) as rank from r4 where id like 'p%' and rank >= 0.008",
+    "influential_notes": f"{_rank_sql(4)} select id, round(rank, 8) as rank from r4, n where id like 'p%' and rank >= 0.568 / n",
     "shortest_path": f"with recursive {_PE}, {_UN}, t(id, depth) as (select 'p1', 0 union select un.target, t.depth + 1 from t join un on t.id = un.source where t.depth < 8) select id, min(depth) as depth from t group by id",
     "type_communities": f"with {_VX} select type, count(*) as n, min(id) as first, max(id) as last from vx group by 1",
     "ner_postprocess": f"with {_NER} select note_id, value, type, start, \"end\", round(cast(confidence as double), 6) as confidence from h",

@@ -149,7 +149,7 @@ postings as (select id, token, count(*) as freq, cast(bit_or(cast(1 as integer)
 ORACLE_SQL = {
     "bm25_topk": f"with {_bm25_sql()} select id, title, substring(content, 1, 200) || '...' as snippet, round(score, 6) as score from scored where score > 0 order by scored.score desc, id limit 10",
     "bm25_multi_query": f"""with {_CORPUS}, lens as (select id, len(regexp_extract_all(doc, '\\w+')) as len from corpus), stats as (select count(*) as n, avg(len) as mean from lens),
-q as (select item_id as query_id, unnest(list_slice(regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '\\w+'), 1, 4)) as token from benchmark where item_id < 20),
+q as (select item_id as query_id, unnest(regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '\\w+')) as token from benchmark),
 wanted as (select query_id, token, count(*) as times from q group by 1, 2),
 tok as (select id, unnest(regexp_extract_all(doc, '\\w+')) as token from corpus), freq as (select id, token, count(*) as tf from tok where token in (select token from q) group by 1, 2),
 dfs as (select token, count(*) as df from freq group by 1)

@@ -191,7 +191,7 @@ ORACLE_SQL = {
     "snapshot_gc": f"with {_SNAPS} select file_name, user_id from s where rank > 2",
     "snapshot_info": f"with {_SNAPS} select count(*) as n, max(file_name) as last_name, cast(sum(size) as bigint) as total_size from s",
     "keep_newest_n": f"with {_SNAPS} select user_id, file_name, rank from s where rank <= 10",
-    "queue_order": "with t as (select o_orderkey, case when o_orderpriority[1] in ('1', '2') then 0 when o_orderpriority[1] = '3' then 1 else 2 end as rank from orders) select o_orderkey, rank from t order by rank, o_orderkey limit 100",
+    "queue_order": "with t as (select o_orderkey, case when o_orderpriority[1] in ('1', '2') then 0 when o_orderpriority[1] = '3' then 1 else 2 end as rank from orders) select o_orderkey, rank from t order by rank, o_orderkey",
     "toggle_parity": "select user_id, count(*) % 2 = 1 as selected from events where event_type = 'view' group by 1",
     "toggle_all": "select bool_and(s) as every, count(*) as n from (select user_id, count(*) % 2 = 1 as s from events where event_type = 'view' group by 1)",
     "descendants": f"{_down("id in ('r1', 'r2')")} select id, root, depth from t",

@@ -45,5 +45,5 @@ from .store import ORACLE_SQL as _STORE  # noqa: E402
 ORACLE_SQL = {
     "stream_fold": _STORE["event_fold_state"],
     "stream_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
-    "sse_text": "select conv_id, coalesce(string_agg(substring(text, 1, 20), '' order by turn) filter (turn % 5 not in (3, 4)), '') as text from conversations where turn % 5 <> 4 group by 1",
+    "sse_text": "select conv_id, coalesce(string_agg(text, '' order by turn) filter (turn % 5 not in (3, 4)), '') as text from conversations where turn % 5 <> 4 group by 1",
 }

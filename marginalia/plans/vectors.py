@@ -132,7 +132,7 @@ ORACLE_SQL = {
     "semantic_edges_knn": f"with {_V}, {_ALL}, t as (select source, target, round(score, 6) as weight from k where rank <= 10 and source <> target and score > 0.3) select source, target, weight from t union select target, source, weight from t",
     "sequential_edges": "with t as (select conv_id || '_' || turn as source, lead(conv_id || '_' || turn) over (partition by conv_id order by turn) as target from conversations) select source, target, cast(1 as double) as weight from t where target is not null",
     "hierarchical_edges": "select r_name as source, n_name as target, cast(1 as double) as weight from nation join region on n_regionkey = r_regionkey",
-    "neighbors": f"with {_V}, {_PAIRS}, a as (select source, target, 'semantic' as type, weight from e union all select id, id + 1, 'sequential', 1.0 from v where (id + 1) % 5 = 4), b as (select target as id, type, weight from a where source = 3 union all select source, type, weight from a where target = 3), r as (select *, row_number() over (partition by id order by type, weight) as r from b) select id, type, round(cast(weight as double), 6) as weight from r where r = 1",
+    "neighbors": f"with {_V}, {_PAIRS}, a as (select source, target, 'semantic' as type, weight from e union all select id, id + 1, 'sequential', 1.0 from v), b as (select target as id, type, weight from a where source = 3 union all select source, type, weight from a where target = 3), r as (select *, row_number() over (partition by id order by type, weight) as r from b) select id, type, round(cast(weight as double), 6) as weight from r where r = 1",
     "sentence_lookahead_similarity": f"with {_V}, {_AHEAD} select id, round(s, 6) as similarity from s",
     "dynamic_threshold": f"with {_V}, {_AHEAD} select round(avg(s), 6) as mean, round(var_pop(s), 6) as variance, round(greatest(0.4, least(0.8, 0.5 + var_pop(s) / 2)), 6) as threshold from s",
     "walk_expected_fixed": _walk_sql(4),
