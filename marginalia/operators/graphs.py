@@ -88,20 +88,32 @@ def walk(seeds: DataFrame, edges: DataFrame, steps: int = 100, restart: float =
     return state.select("id", (F.col("spent") / steps).alias("score"))
 
 
-def shortest_paths(edges: DataFrame, start, max_depth: int = 100) -> DataFrame:
-    """(id, depth, parent): breadth-first from a vertex over undirected edges; of several parents the smallest."""
+def shortest_paths(edges: DataFrame, start) -> DataFrame:
+    """(id, depth, parent): breadth-first from a vertex over undirected edges, until no vertex is new; of several parents
+    the smallest."""
     u = written(undirected(edges), "path-edges")
-    seen = written(u.select(F.lit(start).cast(u.schema["source"].dataType).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(u.schema["source"].dataType).alias("parent")).limit(1), "path")
-    front = seen
-    for depth in range(1, max_depth + 1):
+    kind = u.schema["source"].dataType
+    seen = front = written(u.select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).limit(1), "path")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         step = front.select(F.col("id").alias("source")).join(u, "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
         front = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "path-front")
-        if front.isEmpty():
-            break
         seen = written(seen.union(front), "path")
     return seen
 
 
+def path_nodes(paths: DataFrame, target) -> DataFrame:
+    """(step, id) of the way that shortest_paths() found to a vertex, from its start on; no rows if there is none."""
+    at = paths.where(F.col("id") == target).select("depth", "id", "parent").first()
+    spark, kind = paths.sparkSession, paths.schema["id"].dataType.simpleString()
+    steps = []
+    while at is not None:  # one row a step: as many as the path is long
+        steps.append((at.depth, at.id))
+        at = None if at.parent is None else paths.where(F.col("id") == at.parent).select("depth", "id", "parent").first()
+    return spark.createDataFrame(steps[::-1], f"step int, id {kind}")
+
+
 def centralities(edges: DataFrame) -> DataFrame:
     """(id, betweenness, closeness, harmonic) of an undirected graph, by one breadth-first search from each vertex
     (Brandes). The adjacency must fit in a task: meant for a subgraph of up to a few 100,000 edges, checked here; the

@@ -22,14 +22,20 @@ def guarded(vectors: DataFrame, dim: int, id_col: str = "id", vec_col: str = "ve
     return ok.groupBy(id_col).agg(F.min(vec_col).alias(vec_col))
 
 
-def _pairs(vectors: DataFrame, block: int, id_col: str, vec_col: str, ordered: bool) -> DataFrame:
+def _blocks(vectors: DataFrame, block: int, id_col: str) -> int:
+    return max(1, -(-vectors.count() // block))
+
+
+def _pairs(left: DataFrame, right: DataFrame, nx: int, ny: int, id_col: str, vec_col: str, ordered: bool) -> DataFrame:
     """Both blocks of each block pair, as rows (x, y, side, id, vec); x <= y if ordered."""
-    n = max(1, -(-vectors.count() // block))
-    at = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("b"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    left = at.select(F.col("b").alias("x"), F.explode(F.filter(every, lambda o: o >= F.col("b")) if ordered else every).alias("y"), F.lit(0).alias("side"), "id", "vec")
-    right = at.select(F.explode(F.filter(every, lambda o: o <= F.col("b")) if ordered else every).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "id", "vec")
-    return left.union(right)
+
+    def at(vectors: DataFrame, n: int) -> DataFrame:
+        return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("b"))
+
+    over, under = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (ny, nx))
+    a = at(left, nx).select(F.col("b").alias("x"), F.explode(F.filter(over, lambda o: o >= F.col("b")) if ordered else over).alias("y"), F.lit(0).alias("side"), "id", "vec")
+    b = at(right, ny).select(F.explode(F.filter(under, lambda o: o <= F.col("b")) if ordered else under).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "id", "vec")
+    return a.union(b)
 
 
 def _similar(table: pa.Table, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,12 +61,13 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vec_
         i, j = i[once], j[once]
         return pa.table({"source": np.minimum(a[i], b[j]), "target": np.maximum(a[i], b[j]), "weight": s[i, j]})
 
-    return _pairs(vectors, block, id_col, vec_col, True).groupBy("x", "y").applyInArrow(run, "source long, target long, weight double")
+    n = _blocks(vectors, block, id_col)
+    return _pairs(vectors, vectors, n, n, id_col, vec_col, True).groupBy("x", "y").applyInArrow(run, "source long, target long, weight double")
 
 
-def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", metric: str = "cosine", block: int = BLOCK) -> DataFrame:
-    """(source, target, score, rank): each vector's k nearest, itself included; ties by id. Exact: each block pair
-    keeps its k best a row, and those are ranked."""
+def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", metric: str = "cosine", block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """(source, target, score, rank): the k nearest vectors of each query (default: of each vector), itself included; ties
+    by id. Exact: each block pair keeps its k best a row, and those are ranked."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b, s = _similar(table, metric)
@@ -68,10 +75,18 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", me
             return pa.table({"source": np.zeros(0, np.int64), "target": np.zeros(0, np.int64), "score": np.zeros(0)})
         o = np.argsort(b, kind="stable")
         b, s = b[o], s[:, o]
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pa.table({"source": np.repeat(a, best.shape[1]), "target": b[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
-
-    near = _pairs(vectors, block, id_col, vec_col, False).groupBy("x", "y").applyInArrow(run, "source long, target long, score double")
+        least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]  # a row's k-th best
+        i, j = np.nonzero(s >= least[:, None])
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pa.table({"source": a[i], "target": b[j], "score": s[i, j]})
+
+    asked = vectors if queries is None else queries
+    n = _blocks(vectors, block, id_col)
+    near = _pairs(asked, vectors, n if queries is None else _blocks(asked, block, id_col), n, id_col, vec_col, False)
+    near = near.groupBy("x", "y").applyInArrow(run, "source long, target long, score double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))).where(F.col("rank") <= k)
 
 

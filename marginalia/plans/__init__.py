@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("search", "store", "vectors", "graphs", "texts", "sync", "streams")
+SUBJECTS = ("search", "store", "vectors", "graphs", "model", "texts", "retrieval", "forms", "sync", "streams")
 
 
 def collected() -> tuple[dict, dict]:

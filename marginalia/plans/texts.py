@@ -75,31 +75,16 @@ def attribute_defaults_merge(spark, d):
     return j.select("event_id", F.coalesce("saved", "inline", "fallback").alias("value"), F.when(F.col("saved").isNotNull(), "saved").when(F.col("inline").isNotNull(), "inline").when(F.col("fallback").isNotNull(), "default").otherwise("custom").alias("origin"))
 
 
-def attribute_type_detect(spark, d):
-    k = F.col("k")
-    kind = F.when(k % 4 == 0, "Number").when(k % 4 == 1, "Boolean").when(k % 4 == 2, "Date").otherwise("Text")
-    raw = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, "true").when(k % 4 == 2, "2024-01-02").otherwise(F.concat(F.lit("v"), k.cast("string")))
-    a = _attributes(spark, d).select("event_id", raw.alias("raw"), kind.alias("made"))
-    found = F.when(F.col("raw").isin("true", "false"), "Boolean").when(F.col("raw").rlike(r"^-?\d+(\.\d+)?$"), "Number").when(F.col("raw").rlike(r"^\d{4}-\d{2}-\d{2}"), "Date").when(F.col("raw").rlike("^https?://"), "URL").otherwise("Text")
-    return a.select("event_id", "made", found.alias("found"))
-
-
 def attribute_format(spark, d):
     k = F.col("k")
     p = F.round(k / 100 * 100).cast("int")
     return _attributes(spark, d).select("event_id", T.slug(F.concat(F.col("event_type"), F.lit("  Kind "), k.cast("string"))).alias("slug"), F.concat(F.least(p, F.lit(100)).cast("string"), F.lit("%")).alias("progress"), F.when(p > 66, "green").when(p > 33, "yellow").otherwise("red").alias("band"), F.concat(k.cast("string"), F.lit(" items")).alias("listed"))
 
 
-def highest_stat(spark, d):
-    return table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") >= F.greatest(F.lit(0.0), F.col("c_acctbal"))).alias("top"))
-
-
-QUERIES = {f.__name__: f for f in (sentence_chunks, fixed_chunks, packed_chunks, semantic_chunks, delta_roundtrip, doc_tree, attribute_defaults_merge, attribute_type_detect, attribute_format, highest_stat)}
+QUERIES = {f.__name__: f for f in (sentence_chunks, fixed_chunks, packed_chunks, semantic_chunks, delta_roundtrip, doc_tree, attribute_defaults_merge, attribute_format)}
 
 ORACLE_SQL = {
     "sentence_chunks": "with t as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as s from documents), u as (select doc_id, unnest(s) as s, generate_subscripts(s, 1) - 1 as chunk from t) select doc_id, cast(chunk as integer) as chunk, sha256(s) as sha from u",
     "attribute_defaults_merge": "with a as (select event_id, event_type, cast(json_extract(props, '$.k') as integer) as k from events), b as (select event_id, case when event_id % 5 = 0 then k + 100 end as saved, case when event_id % 3 = 0 then k end as inl, case event_type when 'click' then 1 when 'view' then 2 when 'purchase' then 3 when 'signup' then 4 end as def from a) select event_id, coalesce(saved, inl, def) as value, case when saved is not null then 'saved' when inl is not null then 'inline' when def is not null then 'default' else 'custom' end as origin from b",
-    "attribute_type_detect": "with a as (select event_id, case cast(json_extract(props, '$.k') as integer) % 4 when 0 then 'Number' when 1 then 'Boolean' when 2 then 'Date' else 'Text' end as made from events) select event_id, made, made as found from a",
     "attribute_format": "with a as (select event_id, event_type, cast(json_extract(props, '$.k') as integer) as k from events) select event_id, 'entity-' || event_type || '-kind-' || k as slug, least(k, 100) || '%' as progress, case when k > 66 then 'green' when k > 33 then 'yellow' else 'red' end as band, k || ' items' as listed from a",
-    "highest_stat": "select c_custkey, c_acctbal >= greatest(0.0, c_acctbal) as top from customer",
 }

@@ -31,7 +31,8 @@ def knn_euclidean(spark, d):
 
 def knn_all(spark, d):
     """Ten neighbours of every twentieth vector among all."""
-    return X.knn(_vectors(spark, d), 10).where("source % 20 = 0").select("source", "target", F.round("score", 6).alias("score"), "rank")
+    v = _vectors(spark, d)
+    return X.knn(v, 10, queries=v.where("id % 20 = 0")).select("source", "target", F.round("score", 6).alias("score"), "rank")
 
 
 def knn_dim_guard(spark, d):
@@ -102,7 +103,7 @@ def ann_lsh_recall(spark, d):
     v = _vectors(spark, d)
     q = v.where("id % 20 = 0")
     found = X.lsh_knn(v, q, 10, 64).select("source", "target")
-    true = X.knn(v, 10).where("source % 20 = 0").select("source", "target")
+    true = X.knn(v, 10, queries=q).select("source", "target")
     return true.join(found.withColumn("hit", F.lit(1)), ["source", "target"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
 
 
