@@ -167,4 +167,6 @@ ORACLE_SQL = {
     "type_communities": f"with {_VX} select type, count(*) as n, min(id) as first, max(id) as last from vx group by 1",
     "ner_postprocess": f"with {_NER} select note_id, value, type, start, \"end\", round(cast(confidence as double), 6) as confidence from h",
     "entity_type_counts": f"with {_NER} select note_id, type, count(*) as n from h group by 1, 2",
+    "kg_process": "with e as (select event_id as note_id, json_extract_string(props, '$.k') as k, case when event_id % 70 = 0 then 0 when event_id % 30 = 0 then 1 else 2 end as kind from events) select note_id, cast(kind as integer) as entities, cast(case when kind = 2 then 1 else 0 end as integer) as triples, case kind when 0 then '' when 1 then 'z' || k || '|T3|0.8' else 'a' || k || '|T1|0.8,b' || k || '|T2|0.25' end as listed from e",
+    "fact_sheet": "select event_id as note_id, 'subject' as role, 'knows' as predicate, 'b1' as other from events where json_extract_string(props, '$.k') = '1' and event_id % 70 <> 0 and event_id % 30 <> 0",
 }

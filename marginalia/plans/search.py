@@ -43,6 +43,14 @@ def text_filter(spark, d):
     return n.where(F.contains(F.lower("title"), F.lit(q)) | F.contains(F.lower("content"), F.lit(q))).select("id", "title", T.snippet(F.col("content"), 80).alias("preview"))
 
 
+def search_roots(spark, d):
+    """Root items whose title has the words, or that are notes whose content has them; half the notes lie in folders."""
+    n = notes(table(spark, d, "documents")).select("id", "title", "content", F.when(F.col("ordinal") % 2 == 0, F.col("parent_id")).alias("parent_id"), F.lit("note").alias("type"))
+    f = table(spark, d, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("id"), F.initcap("n_name").alias("title"), F.lit("THE CONTENT").alias("content"), F.lit(None).cast("string").alias("parent_id"), F.lit("folder").alias("type"))
+    q = F.lit("The".lower())
+    return n.union(f).where("parent_id is null").where(F.contains(F.lower("title"), q) | ((F.col("type") == "note") & F.contains(F.lower("content"), q))).select("id", "title", "type")
+
+
 def _index(spark, d):
     return L.postings(_corpus(spark, d).select("id", F.col("content").alias("doc")))
 
@@ -109,7 +117,7 @@ def strip_html_text(spark, d):
 
 def sha256_checksum(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha"), F.left(F.base64(F.encode(F.left(t, F.lit(30)), "utf-8")), F.lit(16)).alias("short"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha"), F.left(F.base64(F.encode(t, "utf-8")), F.lit(16)).alias("short"))
 
 
 def title_extraction(spark, d):
@@ -121,12 +129,12 @@ def title_extraction(spark, d):
 
 def size_labels(spark, d):
     n = F.octet_length("text")
-    p = F.least(F.lit(100.0), n / 50000 * 100)
+    p = F.least(F.lit(100.0), n / (5 * 1024 * 1024) * 100)
     band = F.when(p > 66, "high").when(p > 33, "middle").otherwise("low")
     return table(spark, d, "documents").select("doc_id", T.format_bytes(n).alias("size"), F.round(p, 6).alias("percent"), band.alias("band"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_query, bm25_index_status, text_filter, qps_postings, qps_topk, qps_status, hybrid_topk, text_preprocess, token_counts, text_confidence, extract_syntax, extract_tags, extract_mentions, page_links, strip_html_text, sha256_checksum, title_extraction, size_labels)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_query, bm25_index_status, text_filter, search_roots, qps_postings, qps_topk, qps_status, hybrid_topk, text_preprocess, token_counts, text_confidence, extract_syntax, extract_tags, extract_mentions, page_links, strip_html_text, sha256_checksum, title_extraction, size_labels)}
 
 _CORPUS = "corpus as (select doc_id as id, source || '-' || doc_id as title, text as content, trim(regexp_replace(lower(source || '-' || doc_id || ' ' || text), '\\s+', ' ', 'g')) as doc from documents)"
 _TERMS = ("the", "thing", "with", "that", "other")
@@ -174,6 +182,9 @@ select id, round(sparse_score, 6) as sparse_score, round(dense_score, 6) as dens
     "extract_mentions": "select distinct doc_id, unnest(regexp_extract_all(text, '@(\\w+)', 1)) as mention from documents",
     "page_links": "with t as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select page_id, href, count(*) as times from t group by 1, 2",
     "strip_html_text": "select page_id, sha256(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) as text_sha, cast(length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) as integer) as length from pages",
-    "sha256_checksum": "select doc_id, sha256(text) as sha, substring(base64(encode(substring(text, 1, 30))), 1, 16) as short from documents",
+    "sha256_checksum": "select doc_id, sha256(text) as sha, substring(base64(encode(text)), 1, 16) as short from documents",
     "title_extraction": "with t as (select doc_id, text, trim(split_part(text, chr(10), 1)) as f from documents) select doc_id, case when length(f) between 1 and 100 then f else trim(substring(text, 1, 50)) || case when length(text) > 50 then '...' else '' end end as title from t",
+    "search_roots": "select cast(doc_id as varchar) as id, source || '-' || doc_id as title, 'note' as type from documents where doc_id % 2 = 1 and (contains(lower(source || '-' || doc_id), 'the') or contains(lower(text), 'the')) union all select 'f' || n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' '), 'folder' from nation where contains(lower(n_name), 'the')",
+    "size_labels": "with t as (select doc_id, strlen(text) as n from documents), u as (select *, case when n > 0 then cast(floor(ln(n) / ln(1024)) as integer) else 0 end as i from t) select doc_id, case when n = 0 then '0 Bytes' else regexp_replace(cast(round(n / pow(1024, i), 2) as varchar), '\\.0$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][i + 1] end as size, round(least(100.0, n / 5242880.0 * 100), 6) as percent, case when n / 5242880.0 * 100 > 66 then 'high' when n / 5242880.0 * 100 > 33 then 'middle' else 'low' end as band from u",
+    "extract_syntax": "with a as (select doc_id, regexp_replace(text, '#(\\w+)', ' ', 'g') as no_tags, array_to_string(regexp_extract_all(text, '#(\\w+)', 1), ',') as tags from documents), b as (select *, array_to_string(regexp_extract_all(no_tags, '@(\\w+)', 1), ',') as mentions, regexp_replace(no_tags, '@(\\w+)', ' ', 'g') as rest from a) select doc_id, tags, mentions, cast(len(regexp_extract_all(rest, '\\[\\[([^\\]]+)\\]\\]')) as integer) as wiki, cast(len(regexp_extract_all(rest, '<<([^>]+)>>')) as integer) as cross from b",
 }

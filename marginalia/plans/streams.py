@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import log as G
 from ..streaming import events as E
 
@@ -38,7 +39,15 @@ def sse_text(spark, d):
     return got.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("turn", "t")))), lambda x: x["t"]), "").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (stream_fold, stream_windows, stream_sessions, sse_text)}
+def live_connections(spark, d):
+    """Notes arrive as a stream; each is parsed as it comes, and what it is connected with is appended."""
+    docs = E.files(spark, f"{d}/documents*.parquet")
+    n = docs.select(F.col("doc_id").alias("id"), "text")
+    found = n.select("id", *[F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1)))).alias(k) for k, p in (("tags", T.TAG), ("mentions", T.MENTION), ("links", T.WIKI), ("crosses", T.CROSS))])
+    return E.run_to_end(found, "connections", "append")
+
+
+QUERIES = {f.__name__: f for f in (stream_fold, stream_windows, stream_sessions, sse_text, live_connections)}
 
 from .store import ORACLE_SQL as _STORE  # noqa: E402
 
@@ -46,4 +55,6 @@ ORACLE_SQL = {
     "stream_fold": _STORE["event_fold_state"],
     "stream_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "sse_text": "select conv_id, coalesce(string_agg(text, '' order by turn) filter (turn % 5 not in (3, 4)), '') as text from conversations where turn % 5 <> 4 group by 1",
+    "stream_sessions": "with a as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a), g as (select user_id, min(ts) as begin, max(ts) + interval 30 minutes as ending, count(*) as n from b group by user_id, s) select user_id, begin, n from g where ending <= (select max(ts) - interval 1 hour from events)",
+    "live_connections": "select doc_id as id, " + ", ".join(f"cast(len(list_distinct(regexp_extract_all(text, '{p}', 1))) as integer) as {k}" for k, p in (("tags", "#(\\w+)"), ("mentions", "@(\\w+)"), ("links", "\\[\\[([^\\]]+)\\]\\]"), ("crosses", "<<([^>]+)>>"))) + " from documents",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import commands as C
 from ..operators import sync as S
 from ..sources.tables import table
 
@@ -37,7 +38,35 @@ def attribute_defaults(spark, d):
     return S.with_defaults(v, spark)
 
 
-QUERIES = {f.__name__: f for f in (command_history, sync_queue, legacy_import, attribute_registry, attribute_defaults)}
+def command_events(spark, d):
+    """Events as commands on notes: what each writes to the log, and what takes it back."""
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "create").when(t == "click", "rename").when(t == "view", "write").when(t == "error", "delete").otherwise("select")
+    c = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.get_json_object("props", "$.k").alias("value"))
+    return C.event_pairs(c)
+
+
+def _canned(prompts):
+    """A provider without a model: answers from the prompt alone, and fails on batches with a prompt about number 13."""
+    if any(p.endswith(" 13") for p in prompts):
+        raise ConnectionError("no answer")
+    return [None if p.endswith(" 7") else '[{"value":"' + p.split()[-1] + '","type":"CARDINAL"}]' for p in prompts]
+
+
+def model_answers(spark, d):
+    """Prompts answered one at a time by a provider: a failure or no answer is an empty list."""
+    asked = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("about "), (F.col("c_custkey") % 20).cast("string")).alias("prompt"))
+    return C.answered(asked, "c_custkey", "prompt", _canned, batch=1)
+
+
+def graph_file_stats(spark, d):
+    """Saved graphs, one for each customer with orders, and the system's own: how many, their elements, the newest."""
+    files = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nodes"), F.max("o_orderdate").cast("string").alias("created"))
+    system = table(spark, d, "nation").agg(F.lit(None).cast("long").alias("o_custkey"), F.count(F.lit(1)).alias("nodes"), F.lit("1990-01-01").alias("created"))
+    return files.union(system).agg(F.count(F.lit(1)).alias("files"), F.sum("nodes").alias("nodes"), F.sum(F.col("nodes") - 1).alias("edges"), F.max("created").alias("newest"))
+
+
+QUERIES = {f.__name__: f for f in (command_history, sync_queue, legacy_import, attribute_registry, attribute_defaults, command_events, model_answers, graph_file_stats)}
 
 _ROWS = ", ".join("('" + "', '".join(x.split("|")) + "')" for x in S.REGISTRY)
 
@@ -46,4 +75,10 @@ ORACLE_SQL = {
     "legacy_import": "with t as (select doc_id, case when doc_id % 40 = 0 then 'folder' when doc_id % 40 = 10 then 'sketch' else 'note' end as type, source, lang, text from documents where doc_id % 70 <> 0) select cast(doc_id as varchar) as id, type, source as title, case when type = 'folder' then '' when doc_id % 40 = 20 then '{}' else text end as content, lang as parent_id from t where type <> 'sketch'",
     "attribute_registry": f"select kind, type, count(*) as n from (values {_ROWS}) r(kind, name, type, fallback, unit) group by 1, 2",
     "attribute_defaults": f"with r(kind, name, type, fallback, unit) as (values {_ROWS}), v as (select event_id as entity, case when user_id % 2 = 0 then 'ITEM' else 'SCENE' end as kind, case when event_id % 100 = 0 then 'type' else 'colour' end as name, event_type as value from events), w as (select entity, r.kind, r.name, fallback from v join r using (kind)) select coalesce(v.entity, w.entity) as entity, coalesce(v.kind, w.kind) as kind, coalesce(v.name, w.name) as name, coalesce(value, fallback) as value, case when fallback is null then 'custom' when value is null then 'default' else 'own' end as origin from v full outer join w on v.entity = w.entity and v.kind = w.kind and v.name = w.name",
+    "command_events": """with c as (select user_id as id, event_id as seq, case event_type when 'signup' then 'create' when 'click' then 'rename' when 'view' then 'write' when 'error' then 'delete' else 'select' end as kind, json_extract_string(props, '$.k') as value from events),
+l as (select *, sum(case when kind in ('create', 'delete') then 1 else 0 end) over (partition by id order by seq rows unbounded preceding) as life from c)
+select id, seq, case kind when 'create' then 'NoteCreated' when 'delete' then 'NoteDeleted' when 'select' then 'UiStateSet' else 'NoteUpdated' end as event, case kind when 'rename' then 'title' when 'write' then 'content' end as field, case when kind in ('rename', 'write') then value end as value,
+case kind when 'create' then 'NoteDeleted' when 'delete' then 'NoteCreated' when 'select' then null else 'NoteUpdated' end as undo, case when kind in ('rename', 'write') then (select arg_max(p.value, p.seq) from l p where p.id = l.id and p.life = l.life and p.kind = l.kind and p.seq < l.seq) end as undo_value from l""",
+    "model_answers": """select c_custkey, case when c_custkey % 20 in (7, 13) then '[]' else '[{"value":"' || c_custkey % 20 || '","type":"CARDINAL"}]' end as json from customer""",
+    "graph_file_stats": "with f as (select count(*) as n, cast(max(o_orderdate) as varchar) as created from orders group by o_custkey union all select count(*), '1990-01-01' from nation) select count(*) as files, cast(sum(n) as bigint) as nodes, cast(sum(n - 1) as bigint) as edges, max(created) as newest from f",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import texts as X
 from ..sources.tables import table
+from .retrieval import windows_sql
 
 
 def _docs(spark, d):
@@ -83,8 +84,15 @@ def attribute_format(spark, d):
 
 QUERIES = {f.__name__: f for f in (sentence_chunks, fixed_chunks, packed_chunks, semantic_chunks, delta_roundtrip, doc_tree, attribute_defaults_merge, attribute_format)}
 
+_TRIMMED = "select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents"
+
 ORACLE_SQL = {
     "sentence_chunks": "with t as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as s from documents), u as (select doc_id, unnest(s) as s, generate_subscripts(s, 1) - 1 as chunk from t) select doc_id, cast(chunk as integer) as chunk, sha256(s) as sha from u",
     "attribute_defaults_merge": "with a as (select event_id, event_type, cast(json_extract(props, '$.k') as integer) as k from events), b as (select event_id, case when event_id % 5 = 0 then k + 100 end as saved, case when event_id % 3 = 0 then k end as inl, case event_type when 'click' then 1 when 'view' then 2 when 'purchase' then 3 when 'signup' then 4 end as def from a) select event_id, coalesce(saved, inl, def) as value, case when saved is not null then 'saved' when inl is not null then 'inline' when def is not null then 'default' else 'custom' end as origin from b",
     "attribute_format": "with a as (select event_id, event_type, cast(json_extract(props, '$.k') as integer) as k from events) select event_id, 'entity-' || event_type || '-kind-' || k as slug, least(k, 100) || '%' as progress, case when k > 66 then 'green' when k > 33 then 'yellow' else 'red' end as band, k || ' items' as listed from a",
+    "fixed_chunks": f"with recursive {windows_sql(_TRIMMED, 'doc_id')} select doc_id, chunk, start, \"end\", sha256(text) as sha from w",
+    "packed_chunks": """with recursive t as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as s from documents),
+r(doc_id, i, chunk, size) as (select doc_id, 1, 0, length(s[1]) from t where len(s) > 0 union all select r.doc_id, i + 1, case when ceil(size / 4.0) + ceil(length(s[i + 1]) / 4.0) <= 500 then chunk else chunk + 1 end, case when ceil(size / 4.0) + ceil(length(s[i + 1]) / 4.0) <= 500 then size + 1 + length(s[i + 1]) else length(s[i + 1]) end from r join t on t.doc_id = r.doc_id where i < len(s)),
+c as (select r.doc_id, chunk, string_agg(s[i], ' ' order by i) as text from r join t on t.doc_id = r.doc_id group by 1, 2) select doc_id, cast(chunk as integer) as chunk, cast(ceil(length(text) / 4.0) as integer) as tokens, sha256(text) as sha from c""",
+    "doc_tree": "select doc_id, case when doc_id % 9 = 0 then '' else text || 'x' end as text, case when doc_id % 9 = 0 then '' else lang end as tags, case when doc_id % 9 = 0 then '' else source end as mentions, cast(case when doc_id % 9 = 0 then 0 else 1 end as integer) as entities from documents",
 }

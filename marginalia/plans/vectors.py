@@ -124,7 +124,16 @@ def _walk_sql(steps: int) -> str:
     return f"{out} select id, round(sum(p) / {steps}, 6) as score from ({union}) group by id"
 
 
+def _long_walk_sql(steps: int) -> str:
+    """_walk_sql() as a recursion, whose seeds come anew in each step."""
+    head = _walk_sql(1).split(", p0 as")[0].replace("with ", "with recursive ", 1)
+    return f"""{head}, w(step, id, p) as (select 0, id, p from seeds union all select step + 1, id, sum(p) from (select w.step, m.target as id, 0.85 * w.p * m.p as p from w join m on w.id = m.source
+union all select step, id, 0.85 * p from w where id in (select id from alone) union all select s.step, seeds.id, 0.15 * seeds.p from seeds, (select distinct step from w) s) where step < {steps - 1} group by step, id),
+f as (select id, sum(p) / {steps} as score from w group by id) select id, round(score, 6) as score from f order by f.score desc, id limit 10"""
+
+
 ORACLE_SQL = {
+    "graphrag_query": _long_walk_sql(100),
     "knn_cosine": f"with {_V}, q as (select vec as qv from v where id = 0), s as (select id, {_COS.format(a='vec', b='qv')} as s from v, q) select id, round(s, 6) as score, round(1 - s, 6) as distance from s order by s desc, id limit 10",
     "knn_euclidean": f"with {_V}, q as (select vec as qv from v where id = 0), s as (select id, 1 / (1 + list_distance(vec, qv)) as s from v, q) select id, round(s, 6) as score from s order by s desc, id limit 10",
     "knn_all": f"with {_V}, {_ALL} select source, target, round(score, 6) as score, cast(rank as integer) as rank from k where rank <= 10 and source % 20 = 0",

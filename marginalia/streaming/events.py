@@ -6,10 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..sources.tables import shared_dir
 
 
+class Changes(StreamingQueryListener):
+    """Tells subscribers what streams do: each is called with (kind, query id, rows of the batch) when a stream starts
+    (kind `started`), has done a batch (`progress`) or ends (`ended`). subscribe() returns a call that takes one off; a
+    subscriber that fails doesn't keep others from being told."""
+
+    def __init__(self, spark: SparkSession):
+        self.subscribers: list[Callable[[str, str, int], None]] = []
+        spark.streams.addListener(self)
+
+    def subscribe(self, each: Callable[[str, str, int], None]) -> Callable[[], None]:
+        self.subscribers.append(each)
+        return lambda: self.subscribers.remove(each) if each in self.subscribers else None
+
+    def _tell(self, kind: str, query: str, rows: int = 0) -> None:
+        for each in list(self.subscribers):
+            try:
+                each(kind, query, rows)
+            except Exception:  # noqa: BLE001, S112: a subscriber's own trouble
+                continue
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._tell("started", str(event.id))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self._tell("progress", str(event.progress.id), event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._tell("ended", str(event.id))
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files as a stream, as they are."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
 def source(spark: SparkSession, path: str) -> DataFrame:
     """Event files as a stream; ts becomes an event time with a watermark of an hour."""
     schema = spark.read.parquet(path).schema
