@@ -44,20 +44,21 @@ def bm25_tokens(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_co
     """Many queries at once: (query_id, id_col, score), terms match as whole tokens. Postings are counted by document
     and token before any shuffle, and only query tokens are joined with."""
     wanted = queries.select(F.col(query_id), F.explode(T.words(T.preprocess(F.col(query_col)))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times"))
-    tokens = docs.select(F.col(id_col), F.explode(T.words(F.col(text_col))).alias("token"))
-    freq = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select(F.col(id_col), T.word_count(F.col(text_col)).alias("len"))
-    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).alias("s"))
+    split = docs.select(F.col(id_col), T.words(F.col(text_col)).alias("__w"))
+    tokens = split.select(id_col, F.size("__w").alias("len"), F.explode("__w").alias("token"))
+    freq = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    stats = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(T.word_count(F.col(text_col))).alias("mean")).alias("s"))
     df = freq.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = freq.join(df, "token").join(wanted, "token").join(lengths, id_col).withColumn("__s", stats.scalar())
+    scored = freq.join(df, "token").join(wanted, "token").withColumn("__s", stats.scalar())
     term = F.col("times") * _term(F.col("tf"), _idf(F.col("__s.n"), F.col("df")), F.col("len"), F.col("__s.mean"), k1, b)
     return scored.groupBy(query_id, id_col).agg(F.sum(term).alias("score"))
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "doc", segments: int = SEGMENTS) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "doc", segments: int = SEGMENTS, only: list[str] | None = None) -> DataFrame:
     """(id_col, token, freq, mask, tokens): occurrences of a token in a document, the sentences it is in as bits
     (all from the last bit's on share it), and how many tokens the document has. The sentence number goes up only
-    after sentences of more than one token. A document's positions are an array, so no row order is shuffled for."""
+    after sentences of more than one token. A document's positions are an array, so no row order is shuffled for. only: the
+    tokens wanted; others are dropped within the arrays, before they become rows."""
     if not 0 < segments <= 31:
         raise ValueError("segments must be from 1 to 31")
     split = F.filter(F.transform(F.split(F.col(text_col), r"[.!?]+"), T.query_tokens), lambda x: F.size(x) > 0)
@@ -69,7 +70,11 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "doc", segment
         lambda s: s["out"],
     )
     total = F.aggregate("__s", F.lit(0), lambda n, x: n + F.size(x))
-    each = rows.select(id_col, total.alias("tokens"), F.explode(F.arrays_zip(F.col("__s").alias("words"), step.alias("seg"))).alias("p"))
+    places = F.arrays_zip(F.col("__s").alias("words"), step.alias("seg"))
+    if only is not None:
+        wanted = F.array(*[F.lit(w) for w in dict.fromkeys(only)]).cast("array<string>")
+        places = F.filter(F.transform(places, lambda p: F.struct(F.filter(p["words"], lambda w: F.array_contains(wanted, w)).alias("words"), p["seg"].alias("seg"))), lambda p: F.size(p["words"]) > 0)
+    each = rows.select(id_col, total.alias("tokens"), F.explode(places).alias("p"))
     each = each.select(id_col, "tokens", F.expr("shiftleft(1, p.seg)").alias("bit"), F.explode("p.words").alias("token"))
     return each.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("freq"), F.bit_or("bit").alias("mask"), F.max("tokens").alias("tokens"))
 

@@ -19,7 +19,7 @@ def _corpus(spark, d):
 
 
 def bm25_topk(spark, d):
-    c = _corpus(spark, d)
+    c = _plain(spark, d)
     best = L.top(L.bm25(c, QUERY), 10, positive=True)
     told = c.select("id", "title", T.snippet(F.col("content"), 200).alias("snippet"))
     return told.join(F.broadcast(best), "id").select("id", "title", "snippet", F.round("score", 6).alias("score"))
@@ -28,7 +28,7 @@ def bm25_topk(spark, d):
 def bm25_multi_query(spark, d):
     """The whole text of each benchmark item is a query."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return L.bm25_tokens(_corpus(spark, d), q).select("query_id", "id", F.round("score", 6).alias("score"))
+    return L.bm25_tokens(_plain(spark, d), q).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def bm25_index_status(spark, d):
@@ -51,8 +51,14 @@ def search_roots(spark, d):
     return n.union(f).where("parent_id is null").where(F.contains(F.lower("title"), q) | ((F.col("type") == "note") & F.contains(F.lower("content"), q))).select("id", "title", "type")
 
 
-def _index(spark, d):
-    return L.postings(_corpus(spark, d).select("id", F.col("content").alias("doc")))
+def _plain(spark, d):
+    """The corpus with texts in lower case alone: words, and terms without white space, are the same in collapsed ones."""
+    n = notes(table(spark, d, "documents"))
+    return n.select(F.col("ordinal").alias("id"), "title", "content", F.lower(F.concat_ws(" ", "title", "content")).alias("doc"))
+
+
+def _index(spark, d, only=None):
+    return L.postings(_plain(spark, d).select("id", F.col("content").alias("doc")), only=only)
 
 
 def qps_postings(spark, d):
@@ -60,7 +66,7 @@ def qps_postings(spark, d):
 
 
 def qps_topk(spark, d):
-    return L.top(L.positional_search(_index(spark, d), POSITIONAL), 20).select("id", F.round("score", 6).alias("score"))
+    return L.top(L.positional_search(_index(spark, d, POSITIONAL.split()), POSITIONAL), 20).select("id", F.round("score", 6).alias("score"))
 
 
 def qps_status(spark, d):
@@ -75,7 +81,7 @@ def _dense(spark, d):
 
 
 def hybrid_topk(spark, d):
-    f = L.fuse(L.bm25(_corpus(spark, d), QUERY), _dense(spark, d), 0.5, 10)
+    f = L.fuse(L.bm25(_plain(spark, d), QUERY), _dense(spark, d), 0.5, 10)
     return f.select("id", *[F.round(c, 6).alias(c) for c in ("sparse_score", "dense_score", "score")])
 
 
