@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import Scratch
 
 EVERY = 5  # iterations between written states
+MOST_ENDS, PIVOTS = 1_000_000, 16
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -53,29 +55,34 @@ def common_ratio(edges: DataFrame) -> DataFrame:
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
     """(id, rank) after a fixed number of iterations; what vertices without outgoing edges hold goes to all alike."""
+    scratch = Scratch(edges.sparkSession)
     n = vertices.count()
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("d"))
-    e = written(edges.join(out, "source").select("source", "target", "d"), "rank-edges")
-    v = written(vertices.select("id").join(out.withColumnRenamed("source", "id"), "id", "left").select("id", "d"), "rank-vertices")
+    e = scratch.write(edges.join(out, "source").select("source", "target", "d"), "rank-edges")
+    v = scratch.write(vertices.select("id").join(out.withColumnRenamed("source", "id"), "id", "left").select("id", "d"), "rank-vertices")
     ranks = v.select("id", "d", F.lit(1.0 / max(n, 1)).alias("rank"))
+    kept = []
     for i in range(1, iterations + 1):
         lost = ranks.where("d is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("l"))
         gained = ranks.select(F.col("id").alias("source"), "rank").join(e, "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("g"))
         ranks = v.join(gained, "id", "left").select("id", "d", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("g", F.lit(0.0)) + lost.scalar() / n)).alias("rank"))
-        if i % EVERY == 0 or i == iterations:
-            ranks = written(ranks, "ranks")
-    return ranks.select("id", "rank")
+        if i % EVERY == 0:
+            ranks = scratch.write(ranks, "ranks")
+            scratch.drop(*kept)
+            kept = [ranks]
+    return scratch.result(ranks.select("id", "rank"), "ranks")
 
 
 def walk(seeds: DataFrame, edges: DataFrame, steps: int = 100, restart: float = 0.15) -> DataFrame:
     """(id, score): the expected share of time that walks spend at each vertex. Walks start at the seeds (id, score),
     restart at their own seed with probability `restart` or where no edge leaves, else follow an out-edge in proportion
     to weight. Edges run both ways (a vertex without any is its own seed), so one vector for all seeds is enough."""
+    scratch = Scratch(edges.sparkSession)
     total = edges.groupBy("source").agg(F.sum("weight").alias("t"))
-    e = written(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("t")).alias("p")), "walk-edges")
-    start = written(seeds.select("id", F.col("score").cast("double").alias("p")), "walk-seeds")
-    alone = written(start.join(e.select(F.col("source").alias("id")).distinct(), "id", "left_anti").select("id"), "walk-alone")
-    state = start.select("id", "p", F.col("p").alias("spent"))
+    e = scratch.write(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("t")).alias("p")), "walk-edges")
+    start = scratch.write(seeds.select("id", F.col("score").cast("double").alias("p")), "walk-seeds")
+    alone = scratch.write(start.join(e.select(F.col("source").alias("id")).distinct(), "id", "left_anti").select("id"), "walk-alone")
+    state, kept = start.select("id", "p", F.col("p").alias("spent")), []
     for i in range(1, steps):
         q = F.lit(1 - restart) * F.col("q")
         moved = state.select(F.col("id").alias("source"), F.col("p").alias("q")).join(e, "source").select(F.col("target").alias("id"), (q * F.col("p")).alias("p"), F.lit(0.0).alias("spent"))
@@ -84,23 +91,28 @@ def walk(seeds: DataFrame, edges: DataFrame, steps: int = 100, restart: float =
         held = state.select("id", F.lit(0.0).alias("p"), "spent")
         state = moved.union(stayed).union(again).union(held).groupBy("id").agg(F.sum("p").alias("p"), (F.sum("spent") + F.sum("p")).alias("spent"))
         if i % 2 == 0:
-            state = written(state, "walk")
-    return state.select("id", (F.col("spent") / steps).alias("score"))
+            state = scratch.write(state, "walk")
+            scratch.drop(*kept)
+            kept = [state]
+    return scratch.result(state.select("id", (F.col("spent") / steps).alias("score")), "walk")
 
 
 def shortest_paths(edges: DataFrame, start) -> DataFrame:
     """(id, depth, parent): breadth-first from a vertex over undirected edges, until no vertex is new; of several parents
     the smallest."""
-    u = written(undirected(edges), "path-edges")
+    scratch = Scratch(edges.sparkSession)
+    u = scratch.write(undirected(edges), "path-edges")
     kind = u.schema["source"].dataType
-    seen = front = written(u.select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).limit(1), "path")
+    seen = front = scratch.write(u.select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).limit(1), "path")
     depth = 0
     while not front.isEmpty():
         depth += 1
         step = front.select(F.col("id").alias("source")).join(u, "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
-        front = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "path-front")
-        seen = written(seen.union(front), "path")
-    return seen
+        after = scratch.write(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "path-front")
+        more = scratch.write(seen.union(after), "path")
+        scratch.drop(front, seen)
+        front, seen = after, more
+    return scratch.result(seen, "path")
 
 
 def path_nodes(paths: DataFrame, target) -> DataFrame:
@@ -114,14 +126,15 @@ def path_nodes(paths: DataFrame, target) -> DataFrame:
     return spark.createDataFrame(steps[::-1], f"step int, id {kind}")
 
 
-def centralities(edges: DataFrame) -> DataFrame:
+def centralities(edges: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """(id, betweenness, closeness, harmonic) of an undirected graph, by one breadth-first search from each vertex
-    (Brandes). The adjacency must fit in a task: meant for a subgraph of up to a few 100,000 edges, checked here; the
-    sources are spread over tasks."""
+    (Brandes), the sources spread over tasks. That needs the adjacency in each task, so the edges are counted first: over
+    MOST_ENDS edge ends the searches run from `pivots` vertices, as joins, and the sums are scaled up
+    (sampled_centralities())."""
     u = undirected(edges)
     size = u.count()
-    if size > 1_000_000:
-        raise ValueError(f"{size} edge ends are too many for centralities(); take a subgraph")
+    if size > MOST_ENDS:
+        return sampled_centralities(edges, pivots)
     near: dict = {}
     for r in u.orderBy("source", "target").collect():
         near.setdefault(r.source, []).append(r.target)
@@ -160,17 +173,51 @@ def centralities(edges: DataFrame) -> DataFrame:
     return ids.mapInArrow(run, f"id {kind}, b double, c double, h double").groupBy("id").agg(F.sum("b").alias("betweenness"), F.sum("c").alias("closeness"), F.sum("h").alias("harmonic"))
 
 
+def sampled_centralities(edges: DataFrame, pivots: int = PIVOTS, seed: int = 1) -> DataFrame:
+    """centralities() estimated by searches from the first `pivots` vertices by a seeded hash, level by level for all of
+    them at once: one join and one sum a level forward (shortest paths) and one backward (what depends on a vertex). No
+    task holds the graph. With as many pivots as vertices it is exact."""
+    scratch = Scratch(edges.sparkSession)
+    u = scratch.write(undirected(edges), "central-edges")
+    ids = u.select(F.col("source").alias("id")).distinct()
+    n = ids.count()
+    start = ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots)
+    levels = [scratch.write(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), F.lit(0).alias("depth")), "central")]
+    before = levels[0].select("s", "id")
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(u.withColumnRenamed("source", "id"), "id").groupBy("s", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
+        # of an undirected graph, a neighbour is new, or in this level or in the one before
+        levels.append(scratch.write(step.join(before, ["s", "id"], "left_anti").select("s", "id", "paths", F.lit(len(levels)).alias("depth")), "central"))
+        before = levels[-1].select("s", "id").unionByName(levels[-2].select("s", "id"))
+    lean, every = None, []
+    for level in reversed(levels[:-1]):
+        here = level.withColumn("lean", F.lit(0.0)) if lean is None else level.join(lean, ["s", "id"], "left").withColumn("lean", F.coalesce("lean", F.lit(0.0)))
+        here = scratch.write(here.select("s", "id", "paths", "depth", "lean"), "central-back")
+        every.append(here)
+        if len(every) < len(levels) - 1:
+            up = levels[len(levels) - 2 - len(every)].select("s", F.col("id").alias("above"), F.col("paths").alias("p"))
+            given = here.join(u.select(F.col("source").alias("id"), F.col("target").alias("above")), "id").join(up, ["s", "above"])
+            lean = given.groupBy("s", F.col("above").alias("id")).agg(F.sum(F.col("p") / F.col("paths") * (1 + F.col("lean"))).alias("lean"))
+    share = n / max(1, min(n, pivots))
+    rows = reduce(DataFrame.union, every).groupBy("id").agg(F.sum(F.when(F.col("id") != F.col("s"), F.col("lean")).otherwise(0.0)).alias("b"), F.sum("depth").alias("far"), F.sum(F.when(F.col("depth") > 0, 1 / F.col("depth")).otherwise(0.0)).alias("h"))
+    out = ids.join(rows, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * share / 2).alias("betweenness"), F.coalesce(F.try_divide(F.lit(1.0), F.col("far") * share), F.lit(0.0)).alias("closeness"), (F.coalesce("h", F.lit(0.0)) * share).alias("harmonic"))
+    return scratch.result(out, "centralities")
+
+
 def structural_clusters(vertices: DataFrame, edges: DataFrame, ratio: float = 0.3, at_least: int = 3) -> DataFrame:
     """(cluster, id): vertices in order of id; one not yet in a cluster takes in its unclustered neighbours whose
     common-neighbour ratio with it is above `ratio`; small clusters are dropped. The ratios are made in parallel; the
     order-dependent assignment follows each connected set of passing pairs, a task of its own."""
-    pairs = common_ratio(edges).where(F.col("ratio") > ratio).select("a", "b")
-    label = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")), "cluster")
-    both = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cluster-pairs")
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.write(common_ratio(edges).where(F.col("ratio") > ratio).select("a", "b"), "cluster-links")
+    label = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")), "cluster")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    before = label
     while True:
         low = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        after = written(label.join(low, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "cluster")
-        label = after.select("id", "c")
+        after = scratch.write(label.join(low, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "cluster")
+        scratch.drop(before)
+        before, label = after, after.select("id", "c")
         if after.where("moved").isEmpty():
             break
     rows = pairs.join(label.select(F.col("id").alias("a"), "c"), "a")
@@ -192,7 +239,7 @@ def structural_clusters(vertices: DataFrame, edges: DataFrame, ratio: float = 0.
         return pa.table({k: pa.array(x, table["a"].type) for k, x in out.items()})
 
     kind = dict(pairs.dtypes)["a"]
-    return rows.groupBy("c").applyInArrow(assign, f"cluster {kind}, id {kind}")
+    return scratch.result(rows.groupBy("c").applyInArrow(assign, f"cluster {kind}, id {kind}"), "clusters")
 
 
 def metadata(vertices: DataFrame, edges: DataFrame) -> DataFrame:
