@@ -4,8 +4,9 @@ Words are runs of characters other than ASCII white space, with A-Z lower-cased.
 runs of k words (by 64-bit hashes); with fewer words, but some, the whole sequence is its one element. Two documents
 link when 100 * |intersection| >= percent * |union|; an empty set links with nothing.
 
-1. Frequencies. Every batch of texts sends its elements to hash buckets as packed arrays (8 bytes of hash, 2 of the
-   document's place in the batch), so one shuffle of about 10 bytes an element counts all of them. An element that
+1. Frequencies. Every batch of texts sends its elements to hash buckets as packed arrays (the bytes of the hash that the
+   bucket's number doesn't tell, 2 of the document's place in the batch), so one shuffle of 8 to 10 bytes an element
+   counts all of them. An element that
    several documents of a batch have is sent once, with their number, so one that all documents have sends its bucket
    12 bytes for each 3 MB of text. Elements that one document alone has can't be shared: only the others go back to
    their batches, with their frequencies.
@@ -54,12 +55,18 @@ K, PERCENT = 5, 80
 MOST_L, CHAIN = 8, 4096
 ROUNDS, SPARE, WORTH = 8, 4, 20
 SIGNATURE = 1024
-BUCKET_BYTES = 6 << 20  # of text, for each bucket: about a million elements
+BUCKET_BYTES = 6 << 20  # of text at most, for each bucket: a million elements or fewer
 _ROWS = 60_000  # documents of a batch are numbered in 2 bytes
 _SUMMED = 0xFFFF  # stands for all documents of a batch that have an element
-_SENT = np.dtype([("h", "<u8"), ("d", "<u2")])
+_MOST_DF = 0xFFFF  # frequencies from here on are taken as alike: they only order elements and estimate costs
+_OWN = np.dtype([("h", "<u8"), ("d", "<u2")])
 _SUMS = np.dtype([("h", "<u8"), ("c", "<u4")])
-_BACK = np.dtype([("token", "<u8"), ("df", "<u4"), ("d", "<u2")])
+_BACK = np.dtype([("token", "<u8"), ("df", "<u2"), ("d", "<u2")])
+
+
+def _sent(lead: int) -> np.dtype:
+    """What is sent of an element: its hash without the whole bytes that its bucket tells, and its document."""
+    return np.dtype([("h", "u1", 8 - lead // 8), ("d", "<u2")])
 
 
 def sets_of(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +99,9 @@ def _cut(rows: np.ndarray, bucket: np.ndarray, used: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
 
 
-def _sender(k: int, buckets: int):
+def _sender(k: int, lead: int):
+    """Elements to buckets by the first `lead` bits of their hashes."""
+    kind, buckets = _sent(lead), 1 << lead
     schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("sent", pa.binary()), ("sums", pa.binary()), *_HOME_TYPES])
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,18 +120,18 @@ def _sender(k: int, buckets: int):
         batch = int.from_bytes(hashlib.blake2b(b"".join(digests) + repr(ids).encode(), digest_size=8).digest(), "little", signed=True)
         go = stands[texts]
         texts, hashes = texts[go], hashes[go]
-        bucket = (hashes % W.U(buckets)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
-        texts, hashes, bucket = texts[order], hashes[order], bucket[order]
+        order = np.argsort(hashes, kind="stable")
+        texts, hashes = texts[order], hashes[order]
+        bucket = (hashes >> W.U(64 - lead) if lead else np.zeros(len(hashes), W.U)).astype(np.int64)
         new = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(hashes)))
         lone, many = at[count == 1], at[count > 1]
-        sent, sums = np.zeros(len(lone), _SENT), np.zeros(len(many), _SUMS)
-        sent["h"], sent["d"] = hashes[lone], texts[lone]
+        sent, sums = np.zeros(len(lone), kind), np.zeros(len(many), _SUMS)
+        sent["h"], sent["d"] = hashes[lone].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - lead // 8], texts[lone]
         sums["h"], sums["c"] = hashes[many], count[count > 1]
         within = np.repeat(count > 1, count)  # what several documents of the batch have is sent once, and stays here
-        own = np.zeros(int(within.sum()), _SENT)
+        own = np.zeros(int(within.sum()), _OWN)
         own["h"], own["d"] = hashes[within], texts[within]
         used = np.unique(bucket)
         n = len(used) + 1
@@ -149,24 +158,33 @@ def _sender(k: int, buckets: int):
     return run
 
 
-def _counter(table: pa.Table) -> pa.Table:
+def _counter(lead: int):
+    return lambda table: _counted_bucket(table, lead)
+
+
+def _counted_bucket(table: pa.Table, lead: int) -> pa.Table:
     """Frequencies of a bucket's elements; what more than one document has goes back, with the batches' own rows."""
+    kind, known = _sent(lead), lead // 8
+    bucket = table["bucket"][0].as_py()
     homes = table.filter(table["ids"].is_valid())
     table = table.filter(table["sent"].is_valid())
     sent, sums = table["sent"].to_pylist(), table["sums"].to_pylist()
-    rows, more = np.frombuffer(b"".join(sent), _SENT), np.frombuffer(b"".join(sums), _SUMS)
-    h = np.concatenate([rows["h"], more["h"]])
+    rows, more = np.frombuffer(b"".join(sent), kind), np.frombuffer(b"".join(sums), _SUMS)
+    whole = np.zeros((len(rows), 8), np.uint8)
+    whole[:, : 8 - known] = rows["h"]
+    top = (bucket >> lead - 8 * known) << 64 - 8 * known if known else 0
+    h = np.concatenate([whole.view("<u8").ravel() | W.U(top), more["h"]])
     weight = np.concatenate([np.ones(len(rows), np.int64), more["c"].astype(np.int64)])
     order = np.argsort(h, kind="stable")
     edge = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
     group = np.cumsum(edge) - 1
     df = np.zeros(len(h), np.int64)
     df[order] = np.bincount(group, weight[order])[group].astype(np.int64) if len(h) else 0
-    df = np.minimum(df, np.iinfo(np.int32).max)
+    df = np.minimum(df, _MOST_DF)
     back = np.zeros(len(h), _BACK)
     back["token"], back["df"], back["d"] = h, df, np.append(rows["d"], np.full(len(more), _SUMMED, np.uint16))
     out = {"batch": [], "back": []}
-    ends, ends_more = (np.append(0, np.cumsum([len(x) for x in blobs]) // kind.itemsize) for blobs, kind in ((sent, _SENT), (sums, _SUMS)))
+    ends, ends_more = (np.append(0, np.cumsum([len(x) for x in blobs]) // kind.itemsize) for blobs, kind in ((sent, kind), (sums, _SUMS)))
     for i, batch in enumerate(table["batch"].to_pylist()):
         mine = back[ends[i] : ends[i + 1]], back[len(rows) + ends_more[i] : len(rows) + ends_more[i + 1]]
         found = mine[0][mine[0]["df"] > 1].tobytes() + mine[1].tobytes()
@@ -188,7 +206,7 @@ def _assembler(table: pa.Table) -> pa.Table:
     rows = np.frombuffer(b"".join(x for x in table["back"].to_pylist() if x), _BACK)
     home = homes[0]  # a batch that occurs twice, row for row, comes with its elements twice
     summed = rows[rows["d"] == _SUMMED]
-    own = np.frombuffer(home["own"], _SENT)
+    own = np.frombuffer(home["own"], _OWN)
     if len(own):
         summed = summed[np.argsort(summed["token"], kind="stable")]
         shared = np.zeros(len(own), _BACK)
@@ -212,10 +230,10 @@ def _assembler(table: pa.Table) -> pa.Table:
 
 
 def shared_elements(docs: DataFrame, k: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
-    buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
+    lead = (max(1, -(-text_bytes(docs, text_col) // bucket_bytes)) - 1).bit_length()
     mine = keyed_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("long"))
-    sent = mine.mapInArrow(_sender(k, buckets), _SENT_SCHEMA)
-    back = sent.groupBy("bucket").applyInArrow(_counter, _BACK_SCHEMA)
+    sent = mine.mapInArrow(_sender(k, lead), _SENT_SCHEMA)
+    back = sent.groupBy("bucket").applyInArrow(_counter(lead), _BACK_SCHEMA)
     return back.groupBy("batch").applyInArrow(_assembler, _SETS_SCHEMA)
 
 

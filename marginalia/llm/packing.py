@@ -1,9 +1,10 @@
 """Best-fit packing of tokenized documents into training sequences.
 
 tokenized() turns each text into ids, ends it with the separator id and cuts what is longer than a sequence; it
-writes the pieces to the shared folder. The tokenizer's ids depend on nothing across a space or a line feed (its
+writes the pieces to the shared folder. The default tokenizer's ids depend on nothing across a space or a line feed (its
 pre-tokenizer drops white space and its normalizer composes nothing with it), so it runs once for each distinct run
-between them that a worker meets, and numpy strings the ids together.
+between them that a worker meets, and numpy strings the ids together; a tokenizer of another make, which its file
+tells (by_runs()), encodes whole texts.
 
 packed() is a bounded-space online best fit over the pieces' lengths alone: at most `max_open` sequences are open, a
 bitset has one bit for each amount of free space that an open one has, so that one shift and one lowest bit find the
@@ -18,6 +19,7 @@ each; a text of any length is cut into whole pieces; an empty table packs into n
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -37,6 +39,36 @@ MAX_LEN, SEPARATOR, MAX_OPEN, GROUP_PIECES, CACHED = 4096, 1, 256, 100_000, 400_
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: What splits a text at white space before anything else, so that runs between blanks can be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_runs(tokenizer_json: str) -> bool:
+    """Whether a tokenizer is of the kind whose ids depend on nothing across white space: lower-casing, cutting words out by
+    _SPLIT and dropping the rest, with a mark at the ends of words. Any other encodes whole texts."""
+    spec = json.loads(tokenizer_json)
+    normal, cut, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = cut.get("pretokenizers") or [{}]
+    words = steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+    bytes_ = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return normal.get("normalizers") == _NORMALIZERS and words and bytes_ and model.get("type") == "BPE" and not model.get("dropout") and bool(model.get("end_of_word_suffix"))
+
+
+class WholeTexts:
+    """Any tokenizer's ids of whole texts."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def of(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 class _Numbers(dict):
     """Numbers keys as they are asked for; what is new waits in `new`."""
 
@@ -113,7 +145,7 @@ class Ids:
         return self.flat[np.repeat(self.at[k] - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
-_workers: dict[tuple[int, int], Ids] = {}
+_workers: dict[tuple[int, int], Ids | WholeTexts] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +165,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, sepa
         made = (hash(vocabulary.value), CACHED)
         if made not in _workers:
             _workers.clear()
-            _workers[made] = Ids(vocabulary.value)
+            _workers[made] = (Ids if by_runs(vocabulary.value) else WholeTexts)(vocabulary.value)
         ids_of, key = _workers[made], TaskContext.get().partitionId() << 36
         for batch in batches:
             names = batch.column(0)

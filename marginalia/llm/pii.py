@@ -22,6 +22,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -96,19 +97,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field -------------------------------------------------------------------------------------------------
 
 
-def _letter(c: str) -> str:
-    return "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
+class _Letters(dict):
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
+        return s
+
+
+_LETTERS = _Letters()
 
 
 def shape(token: str) -> str:
-    """Letters as X and x, digits as d, up to 40 characters."""
-    return "".join(map(_letter, token[:40]))
+    """Letters as X and x, digits as d, of the whole token."""
+    return token.translate(_LETTERS)
 
 
 _REPEATED = re.compile(r"(.)\1+")
 
 
-def _features(before: str, token: str, after: str) -> list[int]:
+def _features(before: str, token: str, after: str) -> array:
     s = shape(token)
     short = _REPEATED.sub(r"\1", s)
     n = s.count("d")
@@ -116,12 +123,12 @@ def _features(before: str, token: str, after: str) -> list[int]:
         "1", f"s{s}", f"q{short}", f"n{min(n, 20)}", f"a{s[:1]}", f"z{s[-1:]}", f"@{token.count('@')}", f".{min(token.count('.'), 4)}", f":{min(token.count(':'), 3)}",
         f"p{_REPEATED.sub(r'\1', shape(before))}", f"f{_REPEATED.sub(r'\1', shape(after))}", f"pd{min(shape(before).count('d'), 6)}|{n}", f"fd{min(shape(after).count('d'), 6)}|{n}",
     )
-    return [zlib.crc32(x.encode()) % ROWS for x in names]
+    return array("H", [zlib.crc32(x.encode("utf-8", "surrogatepass")) % ROWS for x in names])
 
 
-def runs_of(text: str) -> list[list[tuple[int, int, list[int]]]]:
+def runs_of(text: str) -> list[list[tuple[int, int, array]]]:
     """Runs of neighbouring tokens with a digit or `@`: (start, end, features) of each token."""
-    out: list[list[tuple[int, int, list[int]]]] = []
+    out: list[list[tuple[int, int, array]]] = []
     held: list[tuple[int, int, str]] = []
     before = ""
 
@@ -145,11 +152,11 @@ def runs_of(text: str) -> list[list[tuple[int, int, list[int]]]]:
     return out
 
 
-def _padded(runs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+def _padded(runs: list[list[array | list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     n, width = max(map(len, runs)), len(runs[0][0])
-    x = np.zeros((len(runs), n, width), np.int64)
+    x = np.zeros((len(runs), n, width), np.uint16)
     for i, r in enumerate(runs):
-        x[i, : len(r)] = r
+        x[i, : len(r)] = np.frombuffer(b"".join(r), np.uint16).reshape(len(r), width) if isinstance(r[0], array) else r
     return x, np.array([len(r) for r in runs])
 
 
@@ -159,7 +166,7 @@ class Field:
     moves: np.ndarray  # (labels, labels); from and to O at a run's ends
 
     @classmethod
-    def fit(cls, table: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+    def fit(cls, table: list[tuple[list[array], list[int]]], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
         """table: for each run the features and labels of its tokens."""
         x, size = _padded([r for r, _ in table])
         n, t, _ = x.shape
@@ -215,33 +222,39 @@ class Field:
                 params[i] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
         return cls(*params)
 
-    def viterbi(self, runs: list[list[list[int]]]) -> list[list[int]]:
-        """Best labels of each run; runs of like length are decoded together."""
+    def viterbi(self, runs: list[list[array]], most: int = 200_000, step: int = 20_000) -> list[list[int]]:
+        """Best labels of each run. Runs of like length are decoded together, about `most` tokens at once (or one longer
+        run); scores are made for `step` tokens at a time, and of the tokens before only a byte for each label is kept."""
         out: list[list[int]] = [[] for _ in runs]
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         at = 0
         while at < len(order):
             to = at + 1
-            while to < len(order) and (to - at) * len(runs[order[to]]) < 200_000 and len(runs[order[to]]) <= 2 * len(runs[order[at]]) + 4:
+            while to < len(order) and (to - at) * len(runs[order[to]]) < most and len(runs[order[to]]) <= 2 * len(runs[order[at]]) + 4:
                 to += 1
             part = order[at:to]
             x, size = _padded([runs[i] for i in part])
-            e = self.weights[x].sum(axis=2)
-            n, t, k = e.shape
-            best, back = e[:, 0] + self.moves[0], np.zeros((n, t, k), np.int8)
-            ends = [best]
-            for j in range(1, t):
-                v = best[:, :, None] + self.moves
-                back[:, j] = v.argmax(axis=1)
-                best = v.max(axis=1) + e[:, j]
-                ends.append(best)
-            final = np.stack(ends, axis=1)[np.arange(n), size - 1] + self.moves[:, 0]
-            label = final.argmax(axis=1)
-            path = np.zeros((n, t), np.int64)
+            n, t, k = len(part), x.shape[1], len(LABELS)
+            rows, block = np.arange(n), max(1, step // n)
+            best, last, back = np.zeros((n, k)), np.zeros((n, k)), np.zeros((t, n, k), np.int8)
+            for j in range(t):
+                if j % block == 0:
+                    e = self.weights[x[:, j : j + block]].sum(axis=2)
+                if j == 0:
+                    best = e[:, 0] + self.moves[0]
+                else:
+                    v = best[:, :, None] + self.moves
+                    back[j] = v.argmax(axis=1)
+                    best = v.max(axis=1) + e[:, j % block]
+                ends = size == j + 1
+                if ends.any():
+                    last[ends] = best[ends]
+            final = (last + self.moves[:, 0]).argmax(axis=1)
+            label, path = final, np.zeros((n, t), np.int8)
             for j in range(t - 1, -1, -1):
-                label = np.where(j == size - 1, final.argmax(axis=1), label)
+                label = np.where(j == size - 1, final, label)
                 path[:, j] = label
-                label = np.where(j <= size - 1, back[np.arange(n), j, label], label)
+                label = np.where(j <= size - 1, back[j, rows, label], label)
             for row, i in enumerate(part):
                 out[i] = path[row, : size[row]].tolist()
             at = to

@@ -6,17 +6,18 @@ sigmoid(sum of the weights of the features present - threshold g): the grades sh
 ascend. The expected severity is the sum of these over g, so it runs from 0 to the highest grade.
 
 Training takes at most `per_class` toxic and as many clean labelled rows, the first by a hash of their ids (that is
-the bound on what is fitted; everything is scored). Features that toxic rows of the sample have much oftener than
-clean ones (z of 5 or more, at least 4 times as often) are kept, at most `max_features`. The labels only say toxic or
-not; a toxic row's grade is 1, or 2 from 3, or 3 from 6 such features that nine in ten of the rows with them are toxic
-for. The fit is a penalised maximum-likelihood one by full-batch Adam in numpy on the driver, over
-2 * per_class rows at most.
+the bound on what is fitted; everything is scored). All features that one class's rows of the sample have much oftener
+than the other's (z of 5 or more in either direction, at least 4 times as often and in 4 rows) are kept, however many:
+those of clean rows get weights that speak for clean. The labels only say toxic or not; a toxic row's grade is 1, or 2
+from 3, or 3 from 6 features that nine in ten of the rows with them are toxic for. So grades above 1 are derived from
+the texts, not labelled, and what the model learns of them is how that count is told by weights. The fit is a penalised
+maximum-likelihood one by full-batch Adam in numpy on the driver, over 2 * per_class rows at most.
 
 Scoring is one pass over the texts in numpy, without a shuffle.
 
-Nulls and edge cases: labels without an id or a label don't count, and of several labels of one id the largest does;
-with no toxic or no clean label the model has no features and finds nothing toxic. A null or empty text has severity
-near 0; repeated rows are scored each; an empty table gives no rows.
+Nulls and edge cases: labels without an id or a label don't count, and of several labels of one id the largest does, and of several
+labelled rows of one id the one with the smallest text;
+with no toxic or no clean label the model has no features and finds nothing toxic. A null or empty text is not toxic; repeated rows are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import keyed_text
 
-PER_CLASS, MAX_FEATURES, PREFIXES = 4000, 1024, (4, 5)
+PER_CLASS, PREFIXES = 4000, (4, 5)
 LEVELS = (3, 6)
+LEAST = 2.0  # the first threshold at least, so that a text that nothing speaks for is not toxic (0.12)
 _BITS = 20
 
 
@@ -86,9 +88,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 2e-5, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds; (rows, cols) are the features present."""
-    w, t = np.zeros(n_features), np.append(1.0, np.zeros(n_grades - 2))
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 2e-5, steps: int = 500, rate: float = 0.05, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds, the first at least `least`; (rows, cols) are the features present."""
+    w, t = np.zeros(n_features), np.append(1.0 if least is None else max(1.0, least), np.zeros(n_grades - 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     n = max(1, len(grades))
     for step in range(1, steps + 1):
@@ -110,15 +112,18 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+        if least is not None:
+            t[0] = max(t[0], least)
     return w, np.cumsum(np.append(t[:1], np.exp(t[1:])))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     given = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)")
     given = given.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     turn = F.xxhash64("__id")
     picked = [given.where(f"toxic = {y}").orderBy(turn, "__id").limit(per_class) for y in (0, 1)]
-    sample = keyed_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "__id")  # 2 * per_class rows at most
+    sample = keyed_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "__id")
+    sample = sample.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("toxic").alias("toxic"))  # 2 * per_class rows at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,11 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_fe
     n = {r["toxic"]: r["count"] for r in sums}
     if not n.get(0) or not n.get(1):
         return ToxicityModel(np.zeros(0, W.U), np.zeros(0), np.full(len(LEVELS) + 1, 10.0))
-    counts = sample.mapInArrow(rows, "toxic int, feature long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 4")
+    counts = sample.mapInArrow(rows, "toxic int, feature long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 4 or b >= 4")
     pa_, pb = F.col("a") / n[1], F.col("b") / n[0]
     both = (F.col("a") + F.col("b") + 1) / (n[0] + n[1])
-    counts = counts.withColumn("z", (pa_ - pb) / F.sqrt(both * (1 / n[1] + 1 / n[0]))).where((F.col("z") >= 5) & (pa_ >= 4 * pb))
-    chosen = sorted(((r.feature, r.a * n[0] >= 9 * r.b * n[1]) for r in counts.orderBy(F.desc("z"), "feature").limit(max_features).collect()), key=lambda x: x[0] % 2**64)
+    counts = counts.withColumn("z", (pa_ - pb) / F.sqrt(both * (1 / n[1] + 1 / n[0]))).where(((F.col("z") >= 5) & (pa_ >= 4 * pb)) | ((F.col("z") <= -5) & (pb >= 4 * pa_)))
+    chosen = sorted(((r.feature, r.a * n[0] >= 9 * r.b * n[1]) for r in counts.collect()), key=lambda x: x[0] % 2**64)
     model = ToxicityModel(np.array([x[0] % 2**64 for x in chosen], W.U), np.zeros(len(chosen)), np.zeros(0))
     known = model.known()
 
@@ -150,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_fe
     grades = np.array([y and 1 + sum(int(marks[k].sum()) >= level for level in LEVELS) for y, k in table], np.int64)
     row = np.repeat(np.arange(len(table)), [len(k) for _, k in table])
     col = np.array([x for _, k in table for x in k], np.int64)
-    model.weights, model.thresholds = fit_ordinal(row, col, grades, len(chosen), len(LEVELS) + 2)
+    model.weights, model.thresholds = fit_ordinal(row, col, grades, len(chosen), len(LEVELS) + 2, least=LEAST)
     return model
 
 

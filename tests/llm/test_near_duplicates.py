@@ -129,17 +129,37 @@ def test_a_hot_element_is_summed_before_it_is_sent(spark):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(50_000), pa.int64()), pa.array([f"a b c d e {i}" for i in range(50_000)])], names=["__id", "__text"])
-    sent = list(nd._sender(5, 1)(iter([batch])))
+    sent = list(nd._sender(5, 0)(iter([batch])))
     hot = sum(len(x) for part in sent for x in part.column(3).to_pylist() if x)
     assert hot == 12 * len(sent) and sum(part.num_rows for part in sent) == 2 * len(sent)
-    back = nd._counter(pa.Table.from_batches(sent))
-    assert back.filter(back["back"].is_valid())["back"].to_pylist()[0][8:12] == (50_000).to_bytes(4, "little")
+    back = nd._counter(0)(pa.Table.from_batches(sent))
+    assert np.frombuffer(back.filter(back["back"].is_valid())["back"].to_pylist()[0], nd._BACK)["df"].tolist() == [50_000]
+
+
+def test_hashes_come_whole_through_any_number_of_buckets(spark):
+    """What a bucket's number tells of a hash isn't sent, and is put back."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [f"a b c d e f{i % 7} g{i % 11}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["__id", "__text"])
+    want = None
+    for lead in (0, 3, 8, 13, 17):
+        sent = pa.Table.from_batches(list(nd._sender(5, lead)(iter([batch.slice(0, 150), batch.slice(150)]))))
+        found = set()
+        for b in pc.unique(sent["bucket"]).to_pylist():
+            back = nd._counter(lead)(sent.filter(pc.equal(sent["bucket"], b)))
+            for x in back["back"].to_pylist():
+                found |= {tuple(r)[:2] for r in (np.frombuffer(x, nd._BACK).tolist() if x else [])}
+        assert want is None or found == want
+        want = found
+    assert len(want) == 1 + 7 + 77
 
 
 def test_tables_are_deleted(spark, tmp_path, monkeypatch):
-    from marginalia.llm import shared
+    from marginalia.sources import tables
 
-    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
     found = near_duplicates(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string"))
     assert found.count() == 2 and [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["near", "duplicates"]]
 

@@ -80,3 +80,16 @@ def test_groups_and_names(spark):
     pieces = tokenized(df, default_tokenizer(), 8, id_col="n", text_col="key")
     r = packed(pieces, 8, group_pieces=10).collect()
     assert len(r) == 50 and len({x.sequence_id >> 36 for x in r}) == 5
+
+
+def test_a_tokenizer_of_another_make(spark):
+    """One that keeps white space and case encodes whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    docs = [(1, "Two  Words\n\nand  more"), (2, None), (3, " x" * 3000), (4, "Ünï ©ode \t tab")]
+    want = sorted(((d, p, s, ids[s : s + 1000]) for d, text in docs for ids in [[*t.encode(text or "", add_special_tokens=False).ids, 7]] for p, s in enumerate(range(0, len(ids), 1000))), key=str)
+    rows = tokenized(spark.createDataFrame(docs, "doc_id long, text string"), path, 1000, 7).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in rows), key=str) == want

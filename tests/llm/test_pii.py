@@ -82,3 +82,21 @@ def test_edge_cases(spark):
     out = {r.base: r.spans for r in masked(odd, text_col="spans").collect()}
     assert out[3] == "<EMAIL>" and out[1] is None and out[5] == "é <PHONE>"
     assert KINDS == ("email", "ip", "card", "phone")
+
+
+def test_shapes_are_of_whole_tokens():
+    from marginalia.llm.pii import runs_of, shape
+
+    a, b = "x" * 60 + "1", "x" * 60 + "-1"
+    assert shape(a) != shape(b) and len(shape("é9Ä" * 1000)) == 3000 and shape("aZ9-@") == "xXd-@"
+    assert runs_of(a)[0][0][2] != runs_of(b)[0][0][2]
+
+
+def test_long_runs_are_decoded_in_pieces():
+    """One run of very many tokens: a byte for each label and token is all that is kept, and the labels are the same."""
+    rng = np.random.default_rng(2)
+    field = Field(rng.normal(size=(ROWS, len(LABELS))), rng.normal(size=(len(LABELS), len(LABELS))))
+    from array import array
+
+    runs = [[array("H", rng.integers(0, ROWS, 13).tolist()) for _ in range(n)] for n in (1, 3, 40, 5000, 7, 1)]
+    assert field.viterbi(runs) == field.viterbi(runs, most=10, step=3) == [field.viterbi([r], step=997)[0] for r in runs]

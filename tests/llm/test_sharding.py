@@ -51,3 +51,89 @@ def test_edge_cases(spark, tmp_path):
     write_shards(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
     assert shard(docs.limit(0)).count() == 0
+
+
+def test_slots_against_a_plain_shuffle(spark):
+    """Buckets, their order and Fisher-Yates recomputed: Spark's shuffle() puts each next row at a random place among those
+    so far, with a Mersenne twister seeded by the seed plus the partition's number."""
+    import numpy as np
+    import xxhash
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    shards, seed, size = 3, 11, 40_000
+    rows = {r.doc_id: r for r in shard(df, shards, seed, size).collect()}
+
+    def hashed(*parts):
+        """xxhash64 of values one after another, each with the hash before as its seed."""
+        h = 42
+        for p in parts:
+            data = p.encode() if isinstance(p, str) else p.to_bytes(8 if abs(p) >= 1 << 31 or isinstance(p, Long) else 4, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    class Long(int):
+        pass
+
+    def shard_of(i, n):
+        return min(range(n), key=lambda s: (-hashed(seed, s, Long(i)), s))
+
+    total = sum(len(t.encode()) + 1 for _, t in docs)
+    per = -(-total // (shards * size))
+    buckets = {}
+    for i, t in docs:
+        turn = hashed(seed + 1, Long(hashed(Long(i))), t, Long(0))
+        s = shard_of(i, shards)
+        buckets.setdefault(s * per + turn % per, []).append((turn, i, t))
+    start, want = {}, {}
+    for b in sorted(buckets):
+        s = b // per
+        key = seed + b
+        rng = np.random.RandomState(np.array([key >> 32, key & 0xFFFFFFFF], np.uint32))
+
+        def below(n, rng=rng):
+            while True:
+                bits = int(rng.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+                if n & (n - 1) == 0:
+                    return (n * bits) >> 31
+                if bits - bits % n + n - 1 < 1 << 31:
+                    return bits % n
+
+        order = []
+        for k in range(len(buckets[b])):
+            j = below(k + 1)
+            order.append(k)
+            if j != k:
+                order[k], order[j] = order[j], k
+        for at, k in enumerate(order):
+            want[sorted(buckets[b])[k][1]] = (s, start.get(s, 0) + at)
+        start[s] = start.get(s, 0) + len(order)
+    assert {i: (r.shard, r.slot) for i, r in rows.items()} == want
+    assert all(r.grown_shard == shard_of(i, shards + 1) for i, r in rows.items())
+
+
+def test_identical_rows_spread(spark):
+    """20,000 rows alike, buckets of 10 kB: no bucket, and so no task, gets more than its share."""
+    from pyspark.sql import functions as F
+
+    same = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    docs = same.union(spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string"))
+    for df in (docs, docs.withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))):
+        out = shard(df, 4, bucket_bytes=10_000)
+        rows = out.withColumn("p", F.spark_partition_id()).collect()
+        sound(rows, 4)
+        alike = [r.p for r in rows if r.text == "the same text"]
+        most = max(alike.count(p) for p in set(alike))
+        assert len(alike) == 20_000 and most < 4 * 20_000 / len(set(alike)) and len(set(alike)) > 5
+    again = shard(docs.repartition(9), 4, bucket_bytes=10_000).collect()
+    assert sorted(again, key=str) == sorted(shard(docs, 4, bucket_bytes=10_000).collect(), key=str)
+
+
+def test_written_in_the_order_of_slots(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    write_shards(shard(docs, 3, bucket_bytes=40_000), str(tmp_path / "out"))
+    import pyarrow.parquet as pq
+
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    slots = [pq.ParquetFile(f).read(columns=["slot"])["slot"].to_pylist() for f in files]
+    assert len(files) > 3 and all(s == list(range(s[0], s[0] + len(s))) for s in slots)
