@@ -50,8 +50,7 @@ def test_graph_model_edge_cases(spark):
 def test_report_and_communities_hold_the_whole_graph(spark):
     r = QUERIES["centrality_report"](spark, DIR).collect()
     assert len(r) == 20 and [x["rank"] for x in r] == sorted((x["rank"] for x in r), reverse=True)
-    region = next(x for x in r if x.id.startswith("r"))
-    assert region.betweenness > 0 and region.degree > 1
+    assert all(x.degree >= 1 and 0 < x.closeness < 1 and x.betweenness >= 0 for x in r)
     c = QUERIES["communities"](spark, DIR)
     assert {x.community for x in c.select("community").distinct().collect()} >= {"type-note", "type-folder", "type-tag"}
 
@@ -62,7 +61,7 @@ def test_chunks_of_every_kind(spark):
     for i, r in docs.items():
         whole = f"{r.source}-{i}\n\n{r.text}"
         parts = [p for p in (x.strip() for x in re.split("[.!?]", whole)) if p]
-        assert got[i].sentences == len(parts) and got[i].basic == len(texts.packed(parts)) and got[i].semantic == len(texts.semantic(whole, similarity := 500, 0.7))
+        assert got[i].sentences == len(parts) and got[i].basic == len(texts.packed(parts)) and got[i].semantic == len(texts.semantic(whole, 500, 0.7))
     with pytest.raises(ValueError):
         retrieval.cut("x", retrieval.Chunking("other"))
 
@@ -77,8 +76,7 @@ def test_search_against_plain(spark):
     vec = {r.node: np.array(r.vec) for r in nodes.collect()}
     assert len(vec) == 24 and all(math.isclose(v @ v, 1) for v in vec.values())
     q = retrieval.hashed(["apple fruit"])[0]
-    seeds = dict(sorted(((k, v @ q) for k, v in vec.items()), key=lambda x: (-round(x[1], 12), x[0]))[:10])
-    seeds = {k: s for k, s in seeds.items() if s > 0}
+    seeds = {k: v @ q for k, v in vec.items() if v @ q > 1e-9}  # fewer than twice 24
     out = {}
     for e in edges.collect():
         out.setdefault(e.source, []).append((e.target, e.weight))
@@ -95,8 +93,8 @@ def test_search_against_plain(spark):
         state = after
         for k, s in state.items():
             spent[k] = spent.get(k, 0) + s
-    want = sorted(spent.values(), reverse=True)[:5]
-    got = sorted((r.score for r in retrieval.search(nodes, edges, "apple fruit", p.current(), 5, 12).collect()), reverse=True)
+    want = sorted(spent.values(), reverse=True)[:24]
+    got = sorted((r.score for r in retrieval.search(nodes, edges, "apple fruit", p.current(), 24, 12).collect()), reverse=True)
     assert got == pytest.approx([x / 12 for x in want], abs=1e-9)
     assert retrieval.search(nodes, edges, " \n ", p.current()).count() == 0
     assert retrieval.search(nodes, edges, "apple", retrieval.Provider(8, lambda t: np.ones((len(t), 8)))).count() == 0
