@@ -1,21 +1,22 @@
 """Document fingerprints by winnowing, and how alike they are, in SQL functions only.
 
-Words are runs of characters other than ASCII white space, unchanged. Every run of k words has a 64-bit hash, of
-which 33 bits count; a text of fewer words, but not none, is one run. Every `window` neighbouring runs choose the
+Words are runs of characters other than ASCII white space, unchanged, each with a 64-bit hash. Every run of k words has
+a rolling hash, of which 33 bits count: the one before rotated by a bit, without the word that leaves and with the one
+that comes (a cyclic polynomial). An array function can't carry a value along a whole text without copying what it has
+made so far, so the hash rolls on for BLOCK runs and then starts anew. A text of fewer words, but not none, is one run. Every `window` neighbouring runs choose the
 smallest hash, the rightmost of equal ones; the chosen hashes and the word positions they stand at are the
 fingerprint (a text of fewer runs is one window). Two texts that share window + k - 1 words share a fingerprint, and
 fingerprints never come from less than k equal words.
 
 A fingerprint is kept as one long: the hash's 33 bits over 2**30 - 1 - position, so that the smallest long of a
-window is its rightmost smallest hash; a text has fewer than 2**30 words, as it has fewer than 2**31 bytes. The hash
-of a run is taken from its k words each time rather than rolled on from the one before, since an array function can't
-carry a sum along without copying; which runs are chosen is the same for any hash. Likeness is the Jaccard similarity
-of the two sets of hashes; of two empty sets, 1.
+window is its rightmost smallest hash; a text has fewer than 2**30 words, as it has fewer than 2**31 bytes. Likeness is
+the Jaccard similarity of the two sets of hashes; of two empty sets, 1.
 
 with_next() puts each document beside the next one by id without a global sort: approximate quantiles of the ids
 (at most MAX_RANGES) cut the table into ranges, one partition each, and the first document of a range goes to the
 range before it too, that of the first to the last. The texts are shuffled once. The driver gets two numbers for each
-range.
+range. A range is range_bytes of text up to a terabyte in all, and grows from there: 1.6 GB at 100 TB, one sort that
+spills.
 
 Nulls and edge cases: a null text is an empty one; null ids come first; rows of one id are ordered by their texts; a
 table of one row follows itself; an empty text has an empty fingerprint; an empty table gives no rows.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .shared import keyed_text
 
 K, WINDOW = 5, 8
-RANGE_BYTES, MAX_RANGES = 16 << 20, 4096
+BLOCK = 64
+RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 16
 _POSITION = 2**30 - 1
 
 
@@ -46,24 +48,46 @@ def words(text: Column) -> Column:
     return bound(trimmed, lambda t: F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, "[\\x20\\x09-\\x0D]+")))
 
 
+def rotated(x: Column, n: int) -> Column:
+    """x with its bits moved n to the left, those that leave coming in at the right."""
+    n %= 64
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else x
+
+
+def rolling(h: Column, k: int) -> Column:
+    """The hash of each run of k neighbours in an array of hashes, each made from the one before within a block."""
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def whole(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda s, x: rotated(s, 1).bitwiseXOR(x))
+
+    def block(start: Column) -> Column:
+        last = start + F.least(F.lit(BLOCK), F.size(h) - (k - 1) - start) - 1
+
+        def roll(made: Column, i: Column) -> Column:
+            on = rotated(F.get(made, i - start - 1), 1).bitwiseXOR(rotated(F.get(h, i - 1), k)).bitwiseXOR(F.get(h, i + k - 1))
+            return F.array_append(made, F.when(i == start, whole(F.slice(h, i + 1, k))).otherwise(on))
+
+        return F.aggregate(F.sequence(start, last), none, roll)
+
+    many = F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - k, F.lit(BLOCK)), block))
+    return F.when(F.size(h) >= k, many).when(F.size(h) > 0, F.array(whole(h))).otherwise(none)
+
+
 def prints(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """The fingerprint of a text as longs, in the order of their positions."""
 
-    def run_hash(run: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(run), 31)
-
     def keyed(hashes: Column) -> Column:
-        return F.transform(hashes, lambda h, i: F.shiftleft(h, 30).bitwiseOR(F.lit(_POSITION) - i.cast("long")))
+        return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 31), 30).bitwiseOR(F.lit(_POSITION) - i.cast("long")))
 
-    def runs(w: Column) -> Column:
-        whole = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: run_hash(F.slice(w, i, k)))
-        return F.when(F.size(w) >= k, whole).when(F.size(w) > 0, F.array(run_hash(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    def hashes(w: Column) -> Column:
+        return F.transform(w, lambda x: F.xxhash64(x))
 
     def chosen(r: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(r) - (window - 1)), lambda i: F.array_min(F.slice(r, i, window)))
         return F.when(F.size(r) >= window, F.array_distinct(each)).when(F.size(r) > 0, F.array(F.array_min(r))).otherwise(r)
 
-    return bound(bound(words(text), lambda w: keyed(runs(w))), chosen)
+    return bound(bound(hashes(words(text)), lambda h: keyed(rolling(h, k))), chosen)
 
 
 def hash_of(p: Column) -> Column:
@@ -105,7 +129,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rows = keyed_text(docs, id_col, text_col).select("__id", F.coalesce("__text", F.lit("")).alias("__text"), F.coalesce(F.col("__id").cast("long"), F.lit(-(2**63))).alias("__key"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     n = min(MAX_RANGES, max(1, -(-total // range_bytes)))
-    cuts = rows.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * MAX_RANGES)).first()[0] if n > 1 else None
+    cuts = rows.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     bounds = sorted(set(cuts or ()))
     rows = rows.withColumn("__range", _range_of(F.col("__key"), bounds))
     firsts = {r["__range"]: r["low"] for r in rows.groupBy("__range").agg(F.min("__key").alias("low")).collect()}

@@ -10,9 +10,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def run_hash(run):
-    s = 42
-    for w in run:
-        s = xxhash.xxh64_intdigest(w.encode(), seed=s)
+    """A cyclic polynomial: the words' hashes, each turned by a bit for every word after it, added bit by bit."""
+    s = 0
+    for turns, w in enumerate(reversed(run)):
+        h, turns = xxhash.xxh64_intdigest(w.encode(), seed=42), turns % 64
+        s ^= (h << turns | h >> (64 - turns)) & (1 << 64) - 1
     return s >> 31
 
 
