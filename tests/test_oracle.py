@@ -7,7 +7,6 @@ from marginalia import plans
 
 DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = plans.collected()
-SLOW = {"graphrag_query"}
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +19,9 @@ def test_same_rows_as_sql(spark, con, name):
     assert differ(QUERIES[name](spark, DIR), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DIR).columns
+    assert QUERIES[name](spark, DIR).count() > 0
 
 
 def test_entry_imports():
