@@ -1,7 +1,8 @@
 """Toxicity: severity grades by cumulative-link ordinal regression on sparse text features.
 
 Features are the distinct words of a text (runs of characters other than ASCII ones that are no letter or digit, A-Z
-lower-cased) and the distinct first 4 and first 5 bytes of longer words, by their 64-bit hashes. P(grade >= g) is
+lower-cased) and the distinct first 4 and first 5 bytes of longer words, by their 64-bit hashes, and of each of these
+that it occurs more than once. P(grade >= g) is
 sigmoid(sum of the weights of the features present - threshold g): the grades share the weights, and the thresholds
 ascend. The expected severity is the sum of these over g, so it runs from 0 to the highest grade.
 
@@ -54,11 +55,20 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(texts), np.concatenate(hashes)
 
 
+def again(hashes: np.ndarray) -> np.ndarray:
+    """The features that say that these occur more than once."""
+    return W.mixed(hashes ^ W.U(0xA5A5A5A5A5A5A5A5))
+
+
 def distinct(texts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature of a text once, and again() of those that occur more than once; in order of texts."""
     order = np.lexsort((hashes, texts))
     texts, hashes = texts[order], hashes[order]
-    keep = np.append(True, (texts[1:] != texts[:-1]) | (hashes[1:] != hashes[:-1]))[: len(texts)]
-    return texts[keep], hashes[keep]
+    new = np.flatnonzero(np.append(True, (texts[1:] != texts[:-1]) | (hashes[1:] != hashes[:-1]))[: len(texts)])
+    more = new[np.diff(np.append(new, len(texts))) > 1]
+    texts, hashes = np.concatenate([texts[new], texts[more]]), np.concatenate([hashes[new], again(hashes[more])])
+    order = np.lexsort((hashes, texts))
+    return texts[order], hashes[order]
 
 
 @dataclass
@@ -75,7 +85,8 @@ class ToxicityModel:
     def present(self, raw: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, index of a key)."""
         texts, hashes = features(raw, offsets)
-        at = np.flatnonzero(known[hashes & W.U((1 << _BITS) - 1)])
+        mask = W.U((1 << _BITS) - 1)
+        at = np.flatnonzero(known[hashes & mask] | known[again(hashes) & mask])
         texts, hashes = distinct(texts[at], hashes[at])
         if not len(self.keys):
             return texts[:0], texts[:0]
