@@ -3,6 +3,7 @@ from test_decontaminate import brute as hits
 from test_near_duplicates import brute as components
 
 from marginalia.llm import pii, toxicity
+from marginalia.llm.shared import written
 
 
 def test_every_stage_against_plain_versions(spark):
@@ -23,7 +24,7 @@ def test_every_stage_against_plain_versions(spark):
     out = docs
     kept = []
     for name, stage in P.STAGES[:4]:
-        out = P.written(stage(spark, out, d), name)
+        out = written(stage(spark, out, d), name)
         assert out.columns == docs.columns
         kept.append(out.count())
     assert kept == sorted(kept, reverse=True) and kept[0] > kept[1] > kept[2] == kept[3]
@@ -38,9 +39,9 @@ def test_nulls_and_extra_rows(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", None, 3), (9002, "", None, "s", None), (None, "a b", "en", "s", 3)], docs.schema)
     out = docs.unionByName(odd)
     for name, stage in P.STAGES:
-        out = P.written(stage(spark, out, d), name)
+        out = written(stage(spark, out, d), name)
     assert sorted(r.doc_id for r in out.where("doc_id > 9000").collect()) == [9001, 9002] and out.where("doc_id is null").count() == 2
     empty = docs.limit(0)
     for name, stage in P.STAGES:
-        empty = P.written(stage(spark, empty, d), name)
+        empty = written(stage(spark, empty, d), name)
     assert empty.count() == 0
