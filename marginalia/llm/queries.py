@@ -7,11 +7,13 @@ from .fingerprints import op8_fingerprints
 from .near_duplicates import op5_jaccard_join
 from .packing import op4_packing
 from .pii import op2_pii
+from .sentence_pieces import op12_sentencepiece
 from .sharding import op10_sharding
 from .substrings import op7_substring_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op3_toxicity
 from .url_filter import op1_url_filters
+from .vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
@@ -24,10 +26,33 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round: the nearest entry of each part, then floor(sum / count) of each entry's parts."""
+    d = "list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] - e[i]) * (x[i] - e[i])))"
+    sql = f"""with v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, label, part, list_slice(x, part * len(x) // {parts} + 1, (part + 1) * len(x) // {parts}) as x from v, range({parts}) r(part)),
+c0 as materialized (select part, rank() over (partition by part order by vec_id) - 1 as entry, x as e from p qualify entry < {entries})"""
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} as materialized (select vec_id, part, any_value(label) as label, any_value(x) as x, min({{'d': d, 'entry': entry}}) as best from (select vec_id, label, p.part, x, entry, {d} as d from p join c{r} on p.part = c{r}.part) group by vec_id, part)"""
+        if r < rounds:
+            sql += f""",
+s{r} as (select part, entry, pos, cast(floor(sum(v) / count(*)) as bigint) as m from (select part, best.entry as entry, unnest(x) as v, generate_subscripts(x, 1) as pos from a{r}) group by all),
+m{r} as (select part, entry, list(m order by pos) as e from s{r} group by part, entry),
+c{r + 1} as materialized (select c{r}.part, c{r}.entry, coalesce(m{r}.e, c{r}.e) as e from c{r} left join m{r} on m{r}.part = c{r}.part and m{r}.entry = c{r}.entry)"""
+    return sql + f""",
+told as (select vec_id, any_value(label) as label, string_agg(lower(lpad(hex(best.entry), 2, '0')), '' order by part) as code, cast(sum(best.d) as bigint) as error from a{rounds} group by vec_id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select sha256(string_agg(array_to_string(e, ','), ',' order by part, entry)) from c{rounds}) as codebooks_sha256 from told"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _vector_codes_sql(),
     "op9_decontamination": f"""with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 i as (select item_id, {_WORDS} as w from benchmark where text is not null), s as (select item_id, w, least(10, len(w)) as size from i where len(w) > 0),
 ip as (select item_id, w, size, unnest(range(1, len(w) - size + 2)) as pos from s), iw as (select distinct item_id, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') as win from ip),
