@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op13_conversation_repair
 from .decontaminate import op9_decontamination
 from .fingerprints import op8_fingerprints
 from .near_duplicates import op5_jaccard_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
