@@ -55,6 +55,7 @@ K, PERCENT = 5, 80
 MOST_L, CHAIN = 8, 4096
 ROUNDS, SPARE, WORTH = 8, 4, 20
 SIGNATURE = 1024
+BROADCAST_LISTS = 200_000  # lists, of 16 bytes each, that are broadcast with their lengths
 BUCKET_BYTES = 6 << 20  # of text at most, for each bucket: a million elements or fewer
 _ROWS = 60_000  # documents of a batch are numbered in 2 bytes
 _SUMMED = 0xFFFF  # stands for all documents of a batch that have an element
@@ -335,6 +336,19 @@ def _met(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed")).where("met >= needed")
 
 
+def _parted(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """postings with `part`, which deals the entries of a list to parts of about CHAIN. A frequency is how long a list is
+    at most; lists of elements whose frequency was too large to be told are counted."""
+    told = postings.where(F.col("df") >= _MOST_DF).groupBy("token").agg(F.count(F.lit(1)).alias("entries"))
+    told = scratch.write(told, "long-lists")
+    size = F.col("df")
+    if n := told.count():
+        small = n <= BROADCAST_LISTS
+        postings = postings.join(F.broadcast(told) if small else told, "token", "left")
+        size = F.coalesce("entries", size)
+    return postings.withColumn("part", F.pmod(F.xxhash64("rep", "token"), F.ceil(size / CHAIN).cast("long"))).drop("entries")
+
+
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """id_col, n_shingles, class_id (smallest id with the same set) and component_id (smallest id reachable by links)
     for every row, as a table in the shared folder; all other tables are deleted."""
@@ -352,11 +366,11 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     postings = classes.select("rep", "n", "l", F.size("tokens").alias("m"), "dfs", F.posexplode(F.slice("tokens", F.lit(1), F.col("take"))).alias("k", "token"))
     postings = scratch.write(postings.select("token", F.get("dfs", F.col("k")).alias("df"), "rep", "n", "l", "k", "m"), "postings")
 
-    part = F.pmod(F.xxhash64("rep", "token"), F.ceil(F.col("df") / CHAIN).cast("long"))
+    postings = _parted(postings, scratch)
     chains = []
     for order in (("n", "rep"), (F.xxhash64("rep"), "rep")):
         by = Window.partitionBy("token", "part").orderBy(*order)
-        step = postings.withColumn("part", part).select("rep", "n", F.lag("rep").over(by).alias("prev"), F.lag("n").over(by).alias("m")).where(F.col("prev").isNotNull() & _fits(percent, "n", "m"))
+        step = postings.select("rep", "n", F.lag("rep").over(by).alias("prev"), F.lag("n").over(by).alias("m")).where(F.col("prev").isNotNull() & _fits(percent, "n", "m"))
         chains.append(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")))
     tried = scratch.write(chains[0].union(chains[1]).distinct(), "chains")
     links = scratch.write(_verified(tried, classes, percent), "chain-links")
@@ -376,7 +390,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
             by = Window.partitionBy("token", "part").orderBy(*order)
             for end, pick in ((by.rowsBetween(Window.unboundedPreceding, -1), F.last), (by.rowsBetween(1, Window.unboundedFollowing), F.first)):
                 near = pick(F.when(F.col("main"), F.struct("rep", "n")), ignorenulls=True).over(end)
-                step = mixed.withColumn("part", part).withColumn("near", near).where("not main and near is not null").select("rep", "n", F.col("near.rep").alias("prev"), F.col("near.n").alias("m")).where(_fits(percent, "n", "m"))
+                step = mixed.withColumn("near", near).where("not main and near is not null").select("rep", "n", F.col("near.rep").alias("prev"), F.col("near.n").alias("m")).where(_fits(percent, "n", "m"))
                 chains.append(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")))
         more = scratch.write(reduce(DataFrame.union, chains).distinct().join(tried, ["a", "b"], "left_anti"), "chains")
         found = scratch.write(_verified(more, classes, percent), "chain-links")
@@ -388,13 +402,52 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     links = scratch.write(links.unionByName(_verified(cross.select("a", "b"), classes, percent)), "all-links")
     comps = components(links, scratch)
 
-    named = named.join(best.select("digest", "rep"), "digest", "left").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("id", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
+    named = named.join(best.select("digest", "rep"), "digest", "left").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("id", "n", "digest", "rep", F.coalesce("comp", "rep").alias("comp"))
     alone = F.col("n") == 0
     known = F.col("id").isNotNull()
-    out = named.select(F.col("id").alias("__id"), F.col("n").cast("long").alias("n_shingles"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("rep"))).alias("class_id"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("comp"))).alias("component_id"))
+    out = named.select(F.col("id").alias("__id"), F.col("n").cast("long").alias("n_shingles"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("rep"))).alias("class_id"), F.when(known, F.when(alone, F.col("id")).otherwise(F.col("comp"))).alias("component_id"), F.col("digest").alias("set_digest"))
     out = written(out, "near-duplicates")
     scratch.close()
-    return out.select(F.col("__id").alias(id_col), "n_shingles", "class_id", "component_id")
+    return out.select(F.col("__id").alias(id_col), "n_shingles", "class_id", "component_id", "set_digest")
+
+
+def _digests_of(k: int):
+    """Adds the digest of each text's set to its row, the last column being the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch):
+                texts, hashes = sets_of(W.words_of(*W.texts(W.column(part, "__text")), lower=True), k)
+                ends = np.cumsum(np.bincount(texts, minlength=part.num_rows)).tolist()
+                digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(digests, pa.binary())], names=[*part.schema.names[:-1], "__digest"])
+
+    return run
+
+
+def without_near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs without those that are linked, over any number of links, with a document of a smaller id. Rows without
+    an id stay. An id usually goes or stays as a whole; of ids whose rows have texts of which some go and others stay,
+    each row is judged by the set of its own text."""
+    found = near_duplicates(docs, k, percent, id_col, text_col)
+    gone = F.col("__gone")
+    told = found.select(F.col(f"`{id_col}`").alias("__id"), "set_digest", (F.col(f"`{id_col}`") != F.col("component_id")).alias("__gone")).where("__id is not null")
+    whole = told.groupBy("__id").agg(F.min("__gone").alias("every"), F.max("__gone").alias("any")).where("any")
+    own = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(whole.select("__id"), own == F.col("__id"), "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    mixed = scratch.write(whole.where("not every").select("__id"), "ids-with-two-texts")
+    if mixed.isEmpty():
+        scratch.close()
+        return kept
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)], own.alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = rows.join(mixed, "__id").select(*[f"__{i}" for i in range(len(names))], "__id", "__text")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1]) + ", __digest binary"
+    going = told.where(gone).select("__id", F.col("set_digest").alias("__digest")).distinct()
+    left = rows.mapInArrow(_digests_of(k), schema).join(going, ["__id", "__digest"], "left_anti")
+    left = left.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])
+    return kept.union(written(left, "rows-of-two-texts"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -189,3 +189,28 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r.v: r.comp for r in got} == part
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_lists_are_split_by_their_length(spark):
+    from marginalia.llm.shared import Scratch
+
+    n = 70_000
+    postings = spark.range(n).selectExpr("7L as token", f"{nd._MOST_DF} as df", "id as rep").union(spark.range(5000).selectExpr("8L", "5000", "id")).union(spark.range(10).selectExpr("9L", "10", "id"))
+    scratch = Scratch(spark)
+    parted = nd._parted(postings, scratch)
+    sizes = {(r.token, r.part): r["count"] for r in parted.groupBy("token", "part").count().collect()}
+    assert sum(sizes.values()) == n + 5010 and len([k for k in sizes if k[0] == 7]) == 18 and max(sizes.values()) < 1.1 * nd.CHAIN
+    assert {k for k in sizes if k[0] > 7} == {(8, 0), (8, 1), (9, 0)} and parted.columns == [*postings.columns, "part"]
+    scratch.close()
+
+
+def test_rows_of_one_id_with_two_texts(spark):
+    a, b, c = ("the first of the texts with some words", "another text that has nothing of it at all", "a third one which is not like those before")
+    docs = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (6, b, "p"), (7, c, "q"), (7, c, "r"), (None, a, "s"), (8, None, "t"), (8, a, "u"), (9, None, "v")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `an.other` string")
+    kept = nd.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r[2] for r in kept.collect()) == ["q", "r", "s", "t", "v", "x", "z"]
+    once = df.where("doc_id in (3, 6, 7)")
+    assert sorted(r[2] for r in nd.without_near_duplicates(once).collect()) == ["p", "q", "r", "x"]
+    assert nd.without_near_duplicates(df.limit(0)).count() == 0
