@@ -6,7 +6,8 @@ the columns of documents.
 
 1. toxicity: an ordinal model fitted to the labels of documents scores every text; toxic documents go.
 2. near_duplicates: of the documents that 5-word shingles at a similarity of 0.8 or more connect, the one with the
-   smallest id stays. Rows that share an id are one document; rows without an id stay.
+   smallest id stays. Rows that share an id don't count against one another, and of several texts under one id each is
+   judged for itself; rows without an id stay.
 3. decontamination: documents in which a window of a benchmark item occurs go.
 4. pii: personal data in the texts is masked, and n_chars counted anew.
 5. packing: the texts become token sequences of at most 4096; one row for each piece.
@@ -30,8 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    return near_duplicates.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
