@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import keyed_text
+from .shared import Scratch, keyed_text
 
 PER_CLASS, PREFIXES = 4000, (4, 5)
 LEVELS = (3, 6)
@@ -134,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     turn = F.xxhash64("__id")
     picked = [given.where(f"toxic = {y}").orderBy(turn, "__id").limit(per_class) for y in (0, 1)]
     sample = keyed_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "__id")
-    sample = sample.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("toxic").alias("toxic"))  # 2 * per_class rows at most
+    scratch = Scratch(docs.sparkSession)
+    sample = sample.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("toxic").alias("toxic"))
+    sample = scratch.write(sample, "labelled-sample")  # 2 * per_class rows at most, used three times
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     sums = sample.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in sums}
     if not n.get(0) or not n.get(1):
+        scratch.close()
         return ToxicityModel(np.zeros(0, W.U), np.zeros(0), np.full(len(LEVELS) + 1, 10.0))
     counts = sample.mapInArrow(rows, "toxic int, feature long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 4 or b >= 4")
     pa_, pb = F.col("a") / n[1], F.col("b") / n[0]
@@ -162,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
                 yield pa.RecordBatch.from_arrays([W.column(part, "toxic"), lists], names=["toxic", "keys"])
 
     table = sorted((r["toxic"], sorted(r["keys"])) for r in sample.mapInArrow(present, "toxic int, keys array<int>").collect())
+    scratch.close()
     marks = np.array([x[1] for x in chosen], bool)
     grades = np.array([y and 1 + sum(int(marks[k].sum()) >= level for level in LEVELS) for y, k in table], np.int64)
     row = np.repeat(np.arange(len(table)), [len(k) for _, k in table])
