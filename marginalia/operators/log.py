@@ -17,6 +17,17 @@ def fold(log: DataFrame, key: str, seq: str, create: Column, update: Column, del
     return rest.groupBy(key).agg(F.first("created_seq").alias("created_seq"), F.max(seq).alias("updated_seq"), F.max_by(value, F.when(value.isNotNull(), F.col(seq))).alias("value"))
 
 
+def condensed(log: DataFrame, key: str, seq: str, kind: str, value: str, create: str, updates: list[str], delete: str) -> DataFrame:
+    """The fewest rows (key, seq, kind, value) that fold() to the same state as the log, alone or with a tail of later rows:
+    of each live key its creation with the value it has now, and its last update without one."""
+    k = F.col(kind)
+    f = fold(log, key, seq, k == create, k.isin(updates), k == delete, F.col(value))
+    born = F.struct(F.col("created_seq").alias(seq), F.lit(create).alias(kind), F.col("value").alias(value))
+    changed = F.struct(F.col("updated_seq").alias(seq), F.lit(updates[0]).alias(kind), F.lit(None).cast(dict(log.dtypes)[value]).alias(value))
+    both = F.when(F.col("updated_seq") > F.col("created_seq"), F.array(born, changed)).otherwise(F.array(born))
+    return f.select(key, F.inline(both)).select(key, seq, kind, value)
+
+
 def latest(log: DataFrame, keys: list[str], seq: str, *columns: str) -> DataFrame:
     """The columns of the last row of each key; one aggregation."""
     return log.groupBy(*keys).agg(F.max_by(F.struct(seq, *columns), seq).alias("__r")).select(*keys, "__r.*")

@@ -93,14 +93,16 @@ def blank_search(spark, d):
 
 
 def index_lifecycle(spark, d):
-    """Three lexical indexes are saved, one again with more in it, one deleted; what is there is loaded and counted."""
+    """Three lexical indexes are saved, one again with more in it, one deleted, the store being opened anew each time; what
+    is there is loaded and counted."""
     c = _doc(spark, d)
-    store = R.IndexStore(spark)
-    store.save("all", R.postings(c.where("id % 2 = 0")))
-    store.save("odd", R.postings(c.where("id % 2 = 1")))
-    store.save("gone", R.postings(c.where("id % 3 = 1")))
-    store.save("all", R.postings(c))
-    store.delete("gone")
+    path = R.IndexStore(spark).path
+    R.IndexStore(spark, path).save("all", R.postings(c.where("id % 2 = 0")))
+    R.IndexStore(spark, path).save("odd", R.postings(c.where("id % 2 = 1")))
+    R.IndexStore(spark, path).save("gone", R.postings(c.where("id % 3 = 1")))
+    R.IndexStore(spark, path).save("all", R.postings(c))
+    R.IndexStore(spark, path).delete("gone")
+    store = R.IndexStore(spark, path)
     found = [store.load(i).agg(F.lit(i).alias("index_id"), F.count_distinct("id").alias("docs"), F.count_distinct("token").alias("tokens"), F.sum("tf").alias("words")) for i in ("all", "odd") if store.load(i) is not None]
     return found[0].union(found[1])
 

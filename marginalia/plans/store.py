@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import log as G
 from ..operators import trees
-from ..sources.tables import folders, forest, notes, table
+from ..sources.tables import folders, forest, new_path, notes, table
+from ..sources.versions import VersionedTable
 
 
 def _items(spark, d):
@@ -88,6 +89,36 @@ def compaction_trigger(spark, d):
     return G.compaction(_events(spark, d), "user_id", "ts", F.length("props"), 100, 36000, "event_id").select("event_id", "user_id", "log_size", "reason")
 
 
+def log_compaction(spark, d):
+    """The log arrives in six batches; whenever its tail holds over a third of all rows it is compacted, and what later
+    batches add is folded with what the compaction left."""
+    e = _events(spark, d).select("user_id", "event_id", "event_type", "value")
+    cuts, n = e.agg(F.percentile_approx("event_id", [i / 6 for i in range(1, 6)], 10_000), F.count(F.lit(1))).first()
+    cuts = sorted(set(cuts or ()))
+    log, names = VersionedTable(spark, new_path(spark, "event-log")), ("user_id", "event_id", "event_type", "value")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        above, upto = (F.lit(True) if low is None else F.col("event_id") > low), (F.lit(True) if high is None else F.col("event_id") <= high)
+        log.append(e.where(above & upto))
+        if log.tail_rows() > n // 3:
+            log.compact(lambda rows: G.condensed(rows, *names, "signup", ["click", "view"], "error"))
+            log.vacuum()
+    t = F.col("event_type")
+    f = G.fold(log.read(), "user_id", "event_id", t == "signup", t.isin("click", "view"), t == "error", F.col("value"))
+    return f.select("user_id", "created_seq", "updated_seq", F.round("value", 6).alias("value"))
+
+
+def store_versions(spark, d):
+    """Customers in five versions: two appended halves, a replacement, a compaction and one more half; each is read once
+    all are there."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    store = VersionedTable(spark, new_path(spark, "customers"))
+    even, odd = c.where("c_custkey % 2 = 0"), c.where("c_custkey % 2 = 1")
+    versions = [store.append(even), store.append(odd), store.replace(c.where("c_nationkey < 12"), 2), store.compact(), store.append(odd)]
+    found = [store.read(v).select(F.lit(v).cast("long").alias("version"), "c_nationkey", "c_acctbal") for v in versions]
+    rows = found[0].union(found[1]).union(found[2]).union(found[3]).union(found[4])
+    return rows.groupBy("version", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
 def _snapshots(spark, d):
     return _events(spark, d).where("event_type = 'purchase'").select("event_id", "user_id", F.concat(F.lit("snap-"), F.col("event_id").cast("string")).alias("file_name"), F.sha2("props", 256).alias("checksum"), "ts", F.length("props").alias("size"))
 
@@ -149,7 +180,7 @@ def bulk_delete_cascade(spark, d):
     return f.join(trees.descendants(f, "id in ('r0', 'r3')").select("id"), "id", "left_anti").select("id", "parent_id")
 
 
-QUERIES = {f.__name__: f for f in (items_union, items_roots, items_children, item_lookup, note_titles_renamed, event_fold_state, event_fold_partial_update, content_sync_latest, ui_state_latest, entity_attributes_latest, command_sessions, debounce_last, idle_gaps, compaction_trigger, snapshot_latest, snapshot_gc, snapshot_info, keep_newest_n, queue_order, toggle_parity, toggle_all, descendants, hierarchy_depth, compound_relations, bulk_delete_cascade)}
+QUERIES = {f.__name__: f for f in (items_union, items_roots, items_children, item_lookup, note_titles_renamed, event_fold_state, event_fold_partial_update, content_sync_latest, ui_state_latest, entity_attributes_latest, command_sessions, debounce_last, idle_gaps, compaction_trigger, log_compaction, store_versions, snapshot_latest, snapshot_gc, snapshot_info, keep_newest_n, queue_order, toggle_parity, toggle_all, descendants, hierarchy_depth, compound_relations, bulk_delete_cascade)}
 
 _ITEMS = """items as (select cast(doc_id as varchar) as id, source || '-' || doc_id as title, text as content, source as parent_id, strftime(timestamp '2024-01-01' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S') as created_at, 'note' as type from documents
 union all select source, source, '', null, strftime(timestamp '2024-01-01' + to_seconds(min(doc_id)), '%Y-%m-%dT%H:%M:%S'), 'folder' from documents group by source)"""
@@ -187,6 +218,7 @@ ORACLE_SQL = {
     "debounce_last": f"with {_QUIET} select event_id, user_id from q where quiet_s is null or quiet_s >= 600",
     "idle_gaps": f"with {_QUIET} select event_id, user_id, round(quiet_s, 3) as quiet_s from q where quiet_s >= 7200",
     "compaction_trigger": f"with {_QUIET} select event_id, user_id, cast(log_size as bigint) as log_size, case when floor(log_size / 100) > floor((log_size - length(props)) / 100) then 'size' else 'idle' end as reason from q where floor(log_size / 100) > floor((log_size - length(props)) / 100) or quiet_s >= 36000",
+    "store_versions": "with c as (select c_custkey % 2 as odd, c_nationkey, c_acctbal from customer), v as (select 1 as version, * from c where odd = 0 union all select 2, * from c union all select v, c.* from c, (values (3), (4), (5)) t(v) where c_nationkey < 12 union all select 5, * from c where odd = 1) select cast(version as bigint) as version, c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as total from v group by 1, 2",
     "snapshot_latest": f"with {_SNAPS} select file_name, checksum from s order by ts desc, event_id desc limit 1",
     "snapshot_gc": f"with {_SNAPS} select file_name, user_id from s where rank > 2",
     "snapshot_info": f"with {_SNAPS} select count(*) as n, max(file_name) as last_name, cast(sum(size) as bigint) as total_size from s",
@@ -199,3 +231,4 @@ ORACLE_SQL = {
     "compound_relations": f"with {_FOREST} select parent_id, count(*) as n, min(id) as first, max(id) as last from f where parent_id is not null group by 1",
     "bulk_delete_cascade": f"{_down("id in ('r0', 'r3')")} select id, parent_id from f where id not in (select id from t)",
 }
+ORACLE_SQL["log_compaction"] = ORACLE_SQL["event_fold_state"]
