@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,7 +31,7 @@ letters = st.text(st.one_of(st.sampled_from("ab  ▁\n\t　.1<>s/é中\x00🙂")
 def test_ids_and_texts_are_the_librarys(pieces, library, text):
     assert pieces.by_chunks
     ids = library.encode(text, add_eos=True)
-    assert pieces.ids(text).tolist() == ids
+    assert pieces.ids([text])[0].tolist() == ids
     assert pieces.text(ids) == library.decode(ids)
 
 
@@ -44,15 +45,18 @@ def test_whole_texts_where_chunks_are_tied(pieces, library):
     whole = Pieces(open(default_model(), "rb").read())
     whole.by_chunks = False
     for text in ("", " a  b ", "x▁y", "中文 abc"):
-        assert whole.ids(text).tolist() == library.encode(text, add_eos=True) == pieces.ids(text).tolist()
+        assert whole.ids([text])[0].tolist() == library.encode(text, add_eos=True) == pieces.ids([text])[0].tolist()
         assert whole.text(library.encode(text)) == library.decode(library.encode(text))
 
 
-def test_small_table_and_long_chunks(library):
-    small = Pieces(open(default_model(), "rb").read(), cached=3)
-    for text in ("one two three four five", "six " + "x" * 5000 + " seven", "one " * 50):
-        assert small.ids(text).tolist() == library.encode(text, add_eos=True)
-    assert all(len(c) <= 64 for c in small.known)
+def test_small_table(library):
+    for cached in (1, 3, 40):
+        small = Pieces(open(default_model(), "rb").read(), cached)
+        for i in range(60):
+            texts = ["one two three four five", "", f"six {i} " + "x" * 500 * (i % 3), "one " * 50, f"{i // 2} a{i} "]
+            flat, sizes = small.ids(texts)
+            assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode(t, add_eos=True) for t in texts]
+            assert len(small.table.numbers) <= cached + 20
 
 
 def test_edge_cases(spark, library):
