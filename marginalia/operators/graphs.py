@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Scratch
 
-EVERY = 5  # iterations between written states
-MOST_ENDS, PIVOTS = 1_000_000, 16
+MOST_ENDS, PIVOTS = 20_000_000, 16
+SMALL = 100_000  # pairs that one task decides
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -43,33 +44,43 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def common_ratio(edges: DataFrame) -> DataFrame:
-    """(a, b, ratio) for adjacent a < b: common neighbours over the larger degree."""
+    """(a, b, ratio) for adjacent a < b: common neighbours over the larger degree. Each edge leads from its end of lower
+    degree (of equal ones the smaller id), so that a hub has few edges of its own, and each triangle is met once, at its
+    lowest corner: as paths of two such edges whose ends are joined by a third."""
+    scratch = Scratch(edges.sparkSession)
     u = undirected(edges)
-    deg = u.groupBy("source").agg(F.count(F.lit(1)).alias("d"))
     near = u.where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    via = u.select(F.col("source").alias("a"), F.col("target").alias("m"))
-    met = near.join(via, "a").join(u.select(F.col("source").alias("b"), F.col("target").alias("m")), ["b", "m"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    both = near.join(met, ["a", "b"], "left").join(deg.select(F.col("source").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("source").alias("b"), F.col("d").alias("db")), "b")
-    return both.select("a", "b", (F.coalesce("common", F.lit(0)) / F.greatest("da", "db")).alias("ratio"))
+    deg = u.groupBy("source").agg(F.count(F.lit(1)).alias("d"))
+    both = scratch.write(near.join(deg.select(F.col("source").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("source").alias("b"), F.col("d").alias("db")), "b"), "ratio-edges")
+
+    def place(d: str, i: str) -> Column:
+        return F.struct(F.col(d).alias("d"), F.col(i).alias("i"))
+
+    up = place("da", "a") < place("db", "b")
+    led = both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.greatest("da", "db").alias("d"))
+    two = led.join(led.select("u", F.col("v").alias("w"), F.col("d").alias("e")), "u").where(place("d", "v") < place("e", "w")).select("u", "v", "w")
+    met = two.join(led.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    sides = F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("u", "v"), ("u", "w"), ("v", "w"))])
+    common = met.select(F.inline(sides)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    out = both.join(common, ["a", "b"], "left").select("a", "b", (F.coalesce("common", F.lit(0)) / F.greatest("da", "db")).alias("ratio"))
+    return scratch.result(out, "ratios")
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
-    """(id, rank) after a fixed number of iterations; what vertices without outgoing edges hold goes to all alike."""
+    """(id, rank) after a fixed number of iterations; what vertices without outgoing edges hold goes to all alike. Ranks are
+    written after each iteration, so that the plan of one doesn't hold those before it."""
     scratch = Scratch(edges.sparkSession)
     n = vertices.count()
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("d"))
     e = scratch.write(edges.join(out, "source").select("source", "target", "d"), "rank-edges")
     v = scratch.write(vertices.select("id").join(out.withColumnRenamed("source", "id"), "id", "left").select("id", "d"), "rank-vertices")
     ranks = v.select("id", "d", F.lit(1.0 / max(n, 1)).alias("rank"))
-    kept = []
-    for i in range(1, iterations + 1):
+    for _ in range(iterations):
+        before = ranks
         lost = ranks.where("d is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("l"))
         gained = ranks.select(F.col("id").alias("source"), "rank").join(e, "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("g"))
-        ranks = v.join(gained, "id", "left").select("id", "d", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("g", F.lit(0.0)) + lost.scalar() / n)).alias("rank"))
-        if i % EVERY == 0:
-            ranks = scratch.write(ranks, "ranks")
-            scratch.drop(*kept)
-            kept = [ranks]
+        ranks = scratch.write(v.join(gained, "id", "left").select("id", "d", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("g", F.lit(0.0)) + lost.scalar() / n)).alias("rank")), "ranks")
+        scratch.drop(before)
     return scratch.result(ranks.select("id", "rank"), "ranks")
 
 
@@ -99,20 +110,16 @@ def walk(seeds: DataFrame, edges: DataFrame, steps: int = 100, restart: float =
 
 def shortest_paths(edges: DataFrame, start) -> DataFrame:
     """(id, depth, parent): breadth-first from a vertex over undirected edges, until no vertex is new; of several parents
-    the smallest."""
+    the smallest. Levels are tables of their own: what a level meets is new, or in it or the one before."""
     scratch = Scratch(edges.sparkSession)
     u = scratch.write(undirected(edges), "path-edges")
     kind = u.schema["source"].dataType
-    seen = front = scratch.write(u.select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).limit(1), "path")
-    depth = 0
-    while not front.isEmpty():
-        depth += 1
-        step = front.select(F.col("id").alias("source")).join(u, "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
-        after = scratch.write(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "path-front")
-        more = scratch.write(seen.union(after), "path")
-        scratch.drop(front, seen)
-        front, seen = after, more
-    return scratch.result(seen, "path")
+    levels = [scratch.write(u.select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).limit(1), "path")]
+    while not levels[-1].isEmpty():
+        step = levels[-1].select(F.col("id").alias("source")).join(u, "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
+        seen = reduce(DataFrame.union, [level.select("id") for level in levels[-2:]])
+        levels.append(scratch.write(step.join(seen, "id", "left_anti").select("id", F.lit(len(levels)).alias("depth"), "parent"), "path"))
+    return scratch.result(reduce(DataFrame.union, levels), "path")
 
 
 def path_nodes(paths: DataFrame, target) -> DataFrame:
@@ -126,55 +133,76 @@ def path_nodes(paths: DataFrame, target) -> DataFrame:
     return spark.createDataFrame(steps[::-1], f"step int, id {kind}")
 
 
-def centralities(edges: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(id, betweenness, closeness, harmonic) of an undirected graph, by one breadth-first search from each vertex
-    (Brandes), the sources spread over tasks. That needs the adjacency in each task, so the edges are counted first: over
-    MOST_ENDS edge ends the searches run from `pivots` vertices, as joins, and the sums are scaled up
-    (sampled_centralities())."""
-    u = undirected(edges)
-    size = u.count()
-    if size > MOST_ENDS:
-        return sampled_centralities(edges, pivots)
-    near: dict = {}
-    for r in u.orderBy("source", "target").collect():
-        near.setdefault(r.source, []).append(r.target)
-    shared = u.sparkSession.sparkContext.broadcast(near)
+class _Searches:
+    """Breadth-first searches over an adjacency in arrays, a level at a time (Brandes)."""
+
+    def __init__(self, starts: np.ndarray, targets: np.ndarray):
+        self.starts, self.targets, self.n = starts, targets, len(starts) - 1
+        self.lean = np.zeros(self.n)
+
+    def _step(self, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.starts[front + 1] - self.starts[front]
+        ends = np.cumsum(sizes)
+        return np.repeat(front, sizes), self.targets[np.repeat(self.starts[front] - ends + sizes, sizes) + np.arange(ends[-1])]
+
+    def run(self, s: int) -> tuple[float, float]:
+        """Adds to `lean` what depends on each vertex for the paths from s; closeness and harmonic closeness of s."""
+        depth, paths = np.full(self.n, -1), np.zeros(self.n)
+        depth[s], paths[s] = 0, 1.0
+        front, steps, far, near = np.array([s]), [], 0, 0.0
+        while len(front):
+            a, b = self._step(front)
+            new = depth[b] < 0
+            front = np.unique(b[new])
+            depth[front] = len(steps) + 1
+            a, b = a[new], b[new]
+            paths += np.bincount(b, paths[a], self.n)
+            steps.append((a, b))
+            far += len(front) * len(steps)
+            near += len(front) / len(steps)
+        lean = np.zeros(self.n)
+        for a, b in reversed(steps):
+            lean += np.bincount(a, paths[a] / paths[b] * (1 + lean[b]), self.n)
+        lean[s] = 0
+        self.lean += lean
+        return (1 / far if far else 0.0), near
+
+
+def centralities(edges: DataFrame) -> DataFrame:
+    """(id, betweenness, closeness, harmonic) of an undirected graph, exact: one breadth-first search from each vertex, the
+    sources spread over tasks. Each task needs the adjacency, so its size is measured: over MOST_ENDS edge ends (4 bytes
+    each) this is an error, and sampled_centralities(), which estimates, is to be asked for by its name."""
+    scratch = Scratch(edges.sparkSession)
+    u = scratch.write(undirected(edges), "central-edges")
+    if (size := u.count()) > MOST_ENDS:
+        scratch.close()
+        raise ValueError(f"{size} edge ends are too many for exact centralities: use sampled_centralities()")
+    kind = dict(u.dtypes)["source"]
+    ids = scratch.write(u.select(F.col("source").alias("id")).distinct(), "central-vertices")
+    named = ids.toArrow()["id"].combine_chunks() if size else pa.array([], pa.int64())
+    named = named.take(pc.sort_indices(named))
+    ends = u.toArrow() if size else None
+    at = [pc.index_in(ends[c], named).to_numpy() for c in ("source", "target")] if size else [np.zeros(0, np.int64)] * 2
+    order = np.lexsort((at[1], at[0]))
+    starts = np.append(0, np.cumsum(np.bincount(at[0], minlength=len(named)))).astype(np.int64)
+    shared = u.sparkSession.sparkContext.broadcast((starts, at[1][order].astype(np.int32), named))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adjacent = shared.value
+        starts, targets, named = shared.value
+        found, told = _Searches(starts, targets), []
         for batch in batches:
-            out: dict[str, list] = {"id": [], "b": [], "c": [], "h": []}
-            for s in batch.column(0).to_pylist():
-                order, before, paths, dist = [], {}, {s: 1.0}, {s: 0}
-                todo = deque([s])
-                while todo:
-                    v = todo.popleft()
-                    order.append(v)
-                    for w in adjacent[v]:
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            todo.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                lean = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        lean[v] += paths[v] / paths[w] * (1 + lean[w])
-                far = sum(dist.values())
-                for v in order:
-                    if v != s and lean[v]:
-                        out["id"].append(v), out["b"].append(lean[v] / 2), out["c"].append(0.0), out["h"].append(0.0)
-                out["id"].append(s), out["b"].append(0.0), out["c"].append(1 / far if far else 0.0), out["h"].append(sum(1 / x for x in dist.values() if x))
-            yield pa.RecordBatch.from_pydict(out)
+            told += [(s, *found.run(s)) for s in pc.index_in(batch.column(0), named).to_pylist()]
+        lean = np.flatnonzero(found.lean)
+        none, here = np.zeros(len(lean)), [s for s, _, _ in told]
+        yield pa.RecordBatch.from_arrays([named.take(pa.array(np.append(lean, here).astype(np.int64))), pa.array(np.append(found.lean[lean] / 2, np.zeros(len(here)))), pa.array(np.append(none, [c for _, c, _ in told])), pa.array(np.append(none, [h for _, _, h in told]))], names=["id", "b", "c", "h"])
 
-    kind = dict(u.dtypes)["source"]
-    ids = u.select(F.col("source").alias("id")).distinct()
-    return ids.mapInArrow(run, f"id {kind}, b double, c double, h double").groupBy("id").agg(F.sum("b").alias("betweenness"), F.sum("c").alias("closeness"), F.sum("h").alias("harmonic"))
+    parts = max(1, min(len(named) // 64, ids.sparkSession.sparkContext.defaultParallelism * 4))
+    out = ids.repartition(parts, "id").mapInArrow(run, f"id {kind}, b double, c double, h double").groupBy("id").agg(F.sum("b").alias("betweenness"), F.sum("c").alias("closeness"), F.sum("h").alias("harmonic"))
+    return scratch.result(out, "centralities")
 
 
 def sampled_centralities(edges: DataFrame, pivots: int = PIVOTS, seed: int = 1) -> DataFrame:
-    """centralities() estimated by searches from the first `pivots` vertices by a seeded hash, level by level for all of
+    """centralities() of a graph of any size, estimated by searches from the first `pivots` vertices by a seeded hash, level by level for all of
     them at once: one join and one sum a level forward (shortest paths) and one backward (what depends on a vertex). No
     task holds the graph. With as many pivots as vertices it is exact."""
     scratch = Scratch(edges.sparkSession)
@@ -204,42 +232,52 @@ def sampled_centralities(edges: DataFrame, pivots: int = PIVOTS, seed: int = 1)
     return scratch.result(out, "centralities")
 
 
-def structural_clusters(vertices: DataFrame, edges: DataFrame, ratio: float = 0.3, at_least: int = 3) -> DataFrame:
+def _first_to_act(pairs: DataFrame, scratch: Scratch, small: int) -> DataFrame:
+    """(id) of the vertices that act when all are taken in order of id, and one acts unless a smaller neighbour did. A round
+    lets all act that have no smaller undecided neighbour, and decides their neighbours; what is left once at most `small`
+    pairs are undecided is walked through in one task (pairs of a chain in order of id decide one another one by one)."""
+    kind = dict(pairs.dtypes)["a"]
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    open_, edges, acted = scratch.write(ends, "undecided"), pairs, []
+    while edges.count() > small:
+        act = scratch.write(open_.join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "acting")
+        out = act.union(edges.join(act.withColumnRenamed("id", "a"), "a").select("b")).distinct()
+        out = scratch.write(out, "decided")
+        after = scratch.write(open_.join(out, "id", "left_anti"), "undecided")
+        left = edges.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+        left = scratch.write(left, "undecided-pairs")
+        scratch.drop(open_, edges, out) if acted else scratch.drop(open_, out)
+        open_, edges = after, left
+        acted.append(act)
+
+    def in_order(table: pa.Table) -> pa.Table:
+        smaller: dict = {}
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            smaller.setdefault(b, []).append(a)
+            smaller.setdefault(a, [])
+        act: set = set()
+        for v in sorted(smaller):
+            if act.isdisjoint(smaller[v]):
+                act.add(v)
+        return pa.table({"id": pa.array(sorted(act), table["a"].type)})
+
+    rest = edges.groupBy(F.lit("").alias("every")).applyInArrow(in_order, f"id {kind}")
+    alone = open_.join(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))), "id", "left_anti")
+    return scratch.write(reduce(DataFrame.union, [*acted, alone, rest]), "acting")
+
+
+def structural_clusters(vertices: DataFrame, edges: DataFrame, ratio: float = 0.3, at_least: int = 3, small: int = SMALL) -> DataFrame:
     """(cluster, id): vertices in order of id; one not yet in a cluster takes in its unclustered neighbours whose
-    common-neighbour ratio with it is above `ratio`; small clusters are dropped. The ratios are made in parallel; the
-    order-dependent assignment follows each connected set of passing pairs, a task of its own."""
+    common-neighbour ratio with it is above `ratio`; small clusters are dropped. A vertex that was taken was so by the
+    smallest neighbour that acted, so who acts is found first, in rounds of joins (_first_to_act())."""
     scratch = Scratch(edges.sparkSession)
     pairs = scratch.write(common_ratio(edges).where(F.col("ratio") > ratio).select("a", "b"), "cluster-links")
-    label = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().withColumn("c", F.col("id")), "cluster")
+    act = _first_to_act(pairs, scratch, small)
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    before = label
-    while True:
-        low = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        after = scratch.write(label.join(low, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "cluster")
-        scratch.drop(before)
-        before, label = after, after.select("id", "c")
-        if after.where("moved").isEmpty():
-            break
-    rows = pairs.join(label.select(F.col("id").alias("a"), "c"), "a")
-
-    def assign(table: pa.Table) -> pa.Table:
-        near: dict = {}
-        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        done, out = set(), {"cluster": [], "id": []}
-        for v in sorted(near):
-            if v in done:
-                continue
-            group = [v, *sorted(near[v] - done)]
-            done.update(group)
-            if len(group) >= at_least:
-                out["cluster"] += [v] * len(group)
-                out["id"] += group
-        return pa.table({k: pa.array(x, table["a"].type) for k, x in out.items()})
-
-    kind = dict(pairs.dtypes)["a"]
-    return scratch.result(rows.groupBy("c").applyInArrow(assign, f"cluster {kind}, id {kind}"), "clusters")
+    taken = both.join(act.withColumnRenamed("id", "a"), "a").join(act.withColumnRenamed("id", "b"), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("cluster"))
+    members = scratch.write(taken.select("cluster", "id").union(act.select(F.col("id").alias("cluster"), "id")), "members")
+    large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).select("cluster")
+    return scratch.result(members.join(large, "cluster").select("cluster", "id"), "clusters")
 
 
 def metadata(vertices: DataFrame, edges: DataFrame) -> DataFrame:

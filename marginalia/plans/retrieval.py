@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexical as L
+from ..operators import neighbour_graph as N
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..sources.tables import table
@@ -67,11 +68,11 @@ def node_sync(spark, d):
 
 
 def semantic_search(spark, d):
-    """Ten chunks for a question, by similarity and a walk over the chunks' edges."""
+    """Ten chunks for a question, by similarity and a walk over the chunks' edges, whose neighbours the graph index finds."""
     p = R.Providers()
     p.switch("hashing-asymmetric")
     n = _nodes(spark, d)
-    e = R.edges_of(n, 0.7, 10)
+    e = R.edges_of(n, 0.7, 10, index=N.index)
     return R.search(n, e, QUESTION, p.current(), 10, 20).select("note", "title", F.sha2("content", 256).alias("sha"), F.round("score", 6).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..operators import inverted as I
 from ..operators import lexical as L
 from ..sources.tables import notes, table
 
@@ -31,6 +32,34 @@ def bm25_multi_query(spark, d):
     return L.bm25_tokens(_plain(spark, d), q).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def _kept_index(spark, d):
+    """The corpus in a kept index, saved in three parts, of which the last has documents that are there with another text."""
+    c, index = _plain(spark, d), I.InvertedIndex(spark)
+    index.add(c.where("id % 2 = 0").withColumn("doc", F.when(F.col("id") % 10 == 0, F.lit("an older text of the thing")).otherwise(F.col("doc"))))
+    index.add(c.where("id % 2 = 1"))
+    index.add(c.where("id % 10 = 0"))
+    return index
+
+
+def _asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.preprocess(F.col("text")).alias("query"))
+
+
+def bm25_index_topk(spark, d):
+    """The ten best documents for the whole text of each benchmark item, from the kept index."""
+    best, _ = _kept_index(spark, d).topk(_asked(spark, d))
+    return best.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def bm25_index_removed(spark, d):
+    """The same once each third document is taken out, and the segments are merged."""
+    index = _kept_index(spark, d)
+    index.remove(_plain(spark, d).where("id % 3 = 0").select("id"))
+    index.merge()
+    best, _ = index.topk(_asked(spark, d))
+    return best.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def bm25_index_status(spark, d):
     c = _corpus(spark, d)
     terms = c.select(F.explode(T.words(F.col("doc"))).alias("t")).distinct().agg(F.count(F.lit(1)).alias("terms"))
@@ -140,7 +169,7 @@ def size_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", T.format_bytes(n).alias("size"), F.round(p, 6).alias("percent"), band.alias("band"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_query, bm25_index_status, text_filter, search_roots, qps_postings, qps_topk, qps_status, hybrid_topk, text_preprocess, token_counts, text_confidence, extract_syntax, extract_tags, extract_mentions, page_links, strip_html_text, sha256_checksum, title_extraction, size_labels)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multi_query, bm25_index_topk, bm25_index_removed, bm25_index_status, text_filter, search_roots, qps_postings, qps_topk, qps_status, hybrid_topk, text_preprocess, token_counts, text_confidence, extract_syntax, extract_tags, extract_mentions, page_links, strip_html_text, sha256_checksum, title_extraction, size_labels)}
 
 _CORPUS = "corpus as (select doc_id as id, source || '-' || doc_id as title, text as content, trim(regexp_replace(lower(source || '-' || doc_id || ' ' || text), '\\s+', ' ', 'g')) as doc from documents)"
 _TERMS = ("the", "thing", "with", "that", "other")
@@ -194,3 +223,14 @@ select id, round(sparse_score, 6) as sparse_score, round(dense_score, 6) as dens
     "size_labels": "with t as (select doc_id, strlen(text) as n from documents), u as (select *, case when n > 0 then cast(floor(ln(n) / ln(1024)) as integer) else 0 end as i from t) select doc_id, case when n = 0 then '0 Bytes' else regexp_replace(cast(round(n / pow(1024, i), 2) as varchar), '\\.0$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][i + 1] end as size, round(least(100.0, n / 5242880.0 * 100), 6) as percent, case when n / 5242880.0 * 100 > 66 then 'high' when n / 5242880.0 * 100 > 33 then 'middle' else 'low' end as band from u",
     "extract_syntax": "with a as (select doc_id, regexp_replace(text, '#(\\w+)', ' ', 'g') as no_tags, array_to_string(regexp_extract_all(text, '#(\\w+)', 1), ',') as tags from documents), b as (select *, array_to_string(regexp_extract_all(no_tags, '@(\\w+)', 1), ',') as mentions, regexp_replace(no_tags, '@(\\w+)', ' ', 'g') as rest from a) select doc_id, tags, mentions, cast(len(regexp_extract_all(rest, '\\[\\[([^\\]]+)\\]\\]')) as integer) as wiki, cast(len(regexp_extract_all(rest, '<<([^>]+)>>')) as integer) as cross from b",
 }
+
+
+def _index_sql(live: str) -> str:
+    every = ORACLE_SQL["bm25_multi_query"].replace("from documents)", f"from documents where {live})", 1)
+    score = every.split("freq.id as id, round(")[1].split(", 6) as score")[0]
+    every = every.replace(f"round({score}, 6) as score", f"round({score}, 10) as score")
+    return f"select query_id, id, cast(rank as integer) as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from ({every})) where rank <= 10"
+
+
+ORACLE_SQL["bm25_index_topk"] = _index_sql("true")
+ORACLE_SQL["bm25_index_removed"] = _index_sql("doc_id % 3 <> 0")

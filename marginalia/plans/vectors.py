@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import graphs as G
+from ..operators import neighbour_graph as N
 from ..operators import vectors as X
 from ..sources.tables import table
 
@@ -107,7 +109,21 @@ def ann_lsh_recall(spark, d):
     return true.join(found.withColumn("hit", F.lit(1)), ["source", "target"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
 
 
-QUERIES = {f.__name__: f for f in (knn_cosine, knn_euclidean, knn_all, knn_dim_guard, semantic_edges_pairwise, semantic_edges_knn, sequential_edges, hierarchical_edges, neighbors, sentence_lookahead_similarity, dynamic_threshold, walk_expected_fixed, graphrag_query, ann_lsh_recall)}
+def knn_graph(spark, d):
+    """The ten nearest of every vector as the neighbour graph has them, itself left out."""
+    g, _ = N.build(_vectors(spark, d))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))
+    return g.withColumn("rank", rank).where("rank <= 10").select("source", "target", "rank", F.round("score", 6).alias("score"))
+
+
+def graph_search(spark, d):
+    """The ten nearest of each query by a walk over the neighbour graph, and with how many vectors it was compared."""
+    v = _vectors(spark, d)
+    g, unit = N.build(v)
+    return N.search(g, unit, v.where("id % 20 = 0"), 10).select("source", "target", "rank", F.round("score", 6).alias("score"), "scored")
+
+
+QUERIES = {f.__name__: f for f in (knn_cosine, knn_euclidean, knn_all, knn_dim_guard, semantic_edges_pairwise, semantic_edges_knn, sequential_edges, hierarchical_edges, neighbors, sentence_lookahead_similarity, dynamic_threshold, walk_expected_fixed, graphrag_query, ann_lsh_recall, knn_graph, graph_search)}
 
 _V = "v as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as vec from embeddings)"
 _COS = "coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})), 0), 0)"

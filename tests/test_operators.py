@@ -78,6 +78,49 @@ def test_graph_measures(spark):
     assert path == {1: 0, 0: 1, 2: 2, 3: 2, 4: 2}
 
 
+def test_large_graphs_are_not_estimated_unasked(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "MOST_ENDS", 7)
+    star = spark.createDataFrame([(0, i) for i in range(1, 5)], "source long, target long")
+    with pytest.raises(ValueError, match="sampled_centralities"):
+        graphs.centralities(star)
+    assert graphs.centralities(star.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 3, 100_000])
+def test_clusters_against_a_walk_in_order(spark, small):
+    pick = random.Random(small)
+    rows = [(f"a{i:02d}", f"a{j:02d}") for i in range(14) for j in range(i) if pick.random() < 0.45]
+    rows += [(f"b{i:02d}", f"b{i + d:02d}") for i in range(16) for d in (1, 2)] + [("z", "z"), ("a00", "b00")]
+    near = {}
+    for a, b in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    ratios = {(a, b): len(near[a] & near[b]) / max(len(near[a]), len(near[b])) for a in near for b in near[a] if a < b}
+    df = spark.createDataFrame(rows, "source string, target string")
+    assert {(r.a, r.b): round(r.ratio, 12) for r in graphs.common_ratio(df).collect()} == {k: round(x, 12) for k, x in ratios.items()}
+    passing = {}
+    for (a, b), x in ratios.items():
+        if x > 0.2:
+            passing.setdefault(a, set()).add(b)
+            passing.setdefault(b, set()).add(a)
+    done, want = set(), set()
+    for v in sorted(passing):
+        if v not in done:
+            group = {v} | (passing[v] - done)
+            done |= group
+            want |= {(v, x) for x in group} if len(group) >= 3 else set()
+    got = graphs.structural_clusters(df.select(df.source.alias("id")), df, 0.2, small=small).collect()
+    assert {(r.cluster, r.id) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_rank_plans_do_not_grow(spark):
+    e = spark.createDataFrame([(i, (i * 7 + 1) % 20) for i in range(19)], "source long, target long")
+    v = spark.range(20)
+    scans = {n: graphs.pagerank(v, e, 0.85, n)._jdf.queryExecution().optimizedPlan().toString().count("Relation") for n in (1, 4)}
+    assert scans[1] == scans[4] == 1
+
+
 def test_walk_keeps_its_mass(spark):
     pick = random.Random(2)
     e = [(pick.randrange(12), pick.randrange(12), pick.random()) for _ in range(30)]

@@ -1,12 +1,14 @@
 """Queries do the whole job: every row of their tables, whole texts and no row cap."""
 
+import math
 from collections import defaultdict
 
 import pytest
 from compare import differ, oracle
+from pyspark.sql import functions as F
 
 from marginalia import plans
-from marginalia.operators import sync, texts
+from marginalia.operators import sync, texts, vectors
 from marginalia.operators.vectors import lsh_knn
 
 DIR = "/root/testdata/sf0.001"
@@ -169,3 +171,42 @@ def test_queue_holds_every_order(spark, con):
     rank = {"1": 0, "2": 0, "3": 1}
     want = sorted((rank.get(p[0], 2), k) for k, p in con.execute("select o_orderkey, o_orderpriority from orders").fetchall())
     assert [(r, k) for k, r in got(spark, "queue_order")] == want and {r for r, _ in want} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_neighbour_graph_finds_nine_of_ten(spark, size):
+    path = f"/root/testdata/{size}"
+    v = spark.read.parquet(f"{path}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    n = v.count()
+    true = defaultdict(dict)
+    for r in vectors.knn(v, 11, queries=v.where("id % 20 = 0")).collect():
+        true[r.source][r.target] = r.score
+    found, scored = defaultdict(dict), {}
+    for r in QUERIES["graph_search"](spark, path).collect():
+        found[r.source][r.target], scored[r.source] = r.score, r.scored
+    hits = sum(len({t for t in sorted(true[s], key=lambda t: -true[s][t])[:10]} & set(found[s])) for s in true)
+    assert set(found) == set(true) and hits >= 0.95 * 10 * len(true)
+    assert all(math.isclose(x, true[s][t], abs_tol=1e-5) for s in found for t, x in found[s].items() if t in true[s])
+    assert max(scored.values()) <= n and sum(scored.values()) < (0.8 if n >= 2000 else 1.0) * n * len(scored)
+    links = {(r.source, r.target) for r in QUERIES["knn_graph"](spark, path).where("source % 20 = 0").collect()}
+    want = {(s, t) for s in true for t in sorted((t for t in true[s] if t != s), key=lambda t: -true[s][t])[:10]}
+    assert len(links & want) >= 0.95 * len(want) and all(s != t for s, t in links)
+
+
+def test_neighbour_graph_edge_cases(spark):
+    from marginalia.operators import neighbour_graph as N
+
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)] + [(90, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (91, None), (7, [9.0, 9.0, 9.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    g, unit = N.build(v, 4)
+    assert unit.count() == 41 and g.groupBy("source").count().where("count <> 4").count() == 0
+    asked = spark.createDataFrame([(1000, [2.0, 1.0, 1.0]), (1001, [0.0, 0.0, 0.0])], "id long, vec array<double>")
+    got = N.search(g, unit, asked, 3, beam=41).collect()
+    assert sorted(r.target % 15 for r in got if r.source == 1000)[-1] == 7 and all(math.isclose(r.score, 1) for r in got if r.source == 1000)
+    assert all(r.score == 0 for r in got if r.source == 1001)
+    for few in (v.limit(0), v.where("id = 3"), v.where("id in (3, 4)")):
+        g, unit = N.build(few, 4)
+        n = unit.count()
+        assert g.count() == n * (n - 1) and N.search(g, unit, asked, 3).count() == 2 * n
+    near = N.index(v, v, 2)
+    assert near.groupBy("source").count().where("count <> 2").count() == 0 and near.columns == ["source", "target", "score", "rank"]
