@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..sources.tables import shared_dir
+from ..sources.tables import new_path
 
 
 class Changes(StreamingQueryListener):
@@ -56,13 +56,12 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, str, int], None] | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, str, int], None] | None = None, out: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote. Batches are written under their numbers, so
-    one that runs again after a failure replaces itself; mode complete keeps the last batch only."""
-    import uuid
-
+    one that runs again after a failure replaces itself; mode complete keeps the last batch only. out: the folder of an
+    earlier run, from whose checkpoint this one goes on."""
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    out = out or new_path(spark, f"stream-{name}")
 
     def put(batch: DataFrame, number: int) -> None:
         at = 0 if mode == "complete" else number
