@@ -77,8 +77,8 @@ def imported(raw: DataFrame, column: str) -> DataFrame:
     return items.where("type in ('note', 'folder') and id is not null").select("id", "type", "title", F.when(F.col("type") == "note", F.coalesce("content", F.lit("{}"))).otherwise("").alias("content"), F.col("parentId").alias("parent_id"))
 
 
-# The attributes of each kind of entity, as kind|name|type|default|unit. Links default to no entity of the
-# kind named; the date of an event defaults to the time of asking.
+# The attributes of each kind of entity, as kind|name|type|default|unit. Links default to no
+# entity of a kind; the date of an event defaults to the time of asking.
 REGISTRY = """CHARACTER|level|Number|1|
 CHARACTER|class|Text||
 CHARACTER|race|Text||
@@ -88,12 +88,12 @@ CHARACTER|mana|ProgressBar|{"current":50,"maximum":50}|
 CHARACTER|stats|StatBlock|{"strength":10,"dexterity":10,"constitution":10,"intelligence":10,"wisdom":10,"charisma":10}|
 CHARACTER|background|Text||
 CHARACTER|occupation|Text||
-CHARACTER|faction|EntityLink|FACTION|
+CHARACTER|faction|EntityLink|{"id":"","label":"","kind":"FACTION"}|
 NPC|role|Text||
 NPC|attitude|Text|Neutral|
 NPC|importance|Number|5|
-NPC|location|EntityLink|LOCATION|
-NPC|faction|EntityLink|FACTION|
+NPC|location|EntityLink|{"id":"","label":"","kind":"LOCATION"}|
+NPC|faction|EntityLink|{"id":"","label":"","kind":"FACTION"}|
 NPC|relationships|List|[]|
 NPC|secrets|List|[]|
 NPC|goals|Text||
@@ -106,12 +106,12 @@ LOCATION|climate|Text||
 LOCATION|terrain|Text||
 LOCATION|notable_features|List|[]|
 LOCATION|resources|List|[]|
-LOCATION|controlling_faction|EntityLink|FACTION|
+LOCATION|controlling_faction|EntityLink|{"id":"","label":"","kind":"FACTION"}|
 LOCATION|connected_locations|List|[]|
 SCENE|type|Text|Roleplay|
 SCENE|difficulty|Number|1|
 SCENE|duration|Number|30|minutes
-SCENE|location|EntityLink|LOCATION|
+SCENE|location|EntityLink|{"id":"","label":"","kind":"LOCATION"}|
 SCENE|participants|List|[]|
 SCENE|objectives|List|[]|
 SCENE|rewards|List|[]|
@@ -127,14 +127,14 @@ ITEM|damage|Text||
 ITEM|armor_class|Number|0|
 ITEM|properties|List|[]|
 ITEM|attunement|Boolean|false|
-ITEM|owner|EntityLink|CHARACTER|
-ITEM|location|EntityLink|LOCATION|
+ITEM|owner|EntityLink|{"id":"","label":"","kind":"CHARACTER"}|
+ITEM|location|EntityLink|{"id":"","label":"","kind":"LOCATION"}|
 FACTION|type|Text|Organization|
 FACTION|alignment|Text|Neutral|
 FACTION|influence|ProgressBar|{"current":50,"maximum":100}|
 FACTION|resources|ProgressBar|{"current":50,"maximum":100}|
 FACTION|territory|List|[]|
-FACTION|leader|EntityLink|NPC|
+FACTION|leader|EntityLink|{"id":"","label":"","kind":"NPC"}|
 FACTION|goals|List|[]|
 FACTION|enemies|List|[]|
 FACTION|allies|List|[]|
@@ -142,7 +142,7 @@ FACTION|reputation|Number|0|
 EVENT|type|Text|Plot|
 EVENT|status|Text|Planned|
 EVENT|date|Date||
-EVENT|location|EntityLink|LOCATION|
+EVENT|location|EntityLink|{"id":"","label":"","kind":"LOCATION"}|
 EVENT|participants|List|[]|
 EVENT|consequences|List|[]|
 EVENT|triggers|List|[]|

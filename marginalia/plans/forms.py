@@ -49,7 +49,7 @@ def attribute_display(spark, d):
 def attribute_normalise(spark, d):
     """Values as if each were all that is kept of an entity's attributes; some are plain text."""
     raw = F.when(F.col("k") % 10 == 9, F.concat(F.lit("plain "), F.col("k").cast("string"))).otherwise(F.col("raw"))
-    m = _raw(spark, d).where("k % 10 in (2, 3, 4, 7, 9)").select("event_id", A.attributes(raw).alias("m"))
+    m = _raw(spark, d).select("event_id", A.attributes(raw).alias("m"))
     return m.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("attributes"))
 
 
@@ -71,8 +71,12 @@ def highest_stat(spark, d):
 
 
 def layout_sections(spark, d):
-    r = S.registry(spark)
-    return r.select("kind", "name", A.section(F.col("type"), "character").alias("character"), A.section(F.col("type"), "faction").alias("faction"))
+    """Where two layouts put each attribute of the events' entities: those that its kind has, and its own, which are text."""
+    from .sync import attribute_defaults
+
+    r = S.registry(spark).select("kind", "name", F.col("type").alias("t"))
+    kind = F.coalesce("t", F.lit("Text"))
+    return attribute_defaults(spark, d).join(F.broadcast(r), ["kind", "name"], "left").select("entity", "name", A.section(kind, "character").alias("character"), A.section(kind, "faction").alias("faction"))
 
 
 def progress_bars(spark, d):
@@ -136,9 +140,13 @@ def inline_rendering(spark, d):
     return table(spark, d, "documents").select("doc_id", T.triple_mark(a, F.lit("speaks"), b).alias("triple"), F.concat(F.lit("#"), "lang").alias("tag"), F.concat(F.lit("[["), "source", F.lit("]]")).alias("wiki"), F.concat(F.lit("<<"), "source", F.lit(">>")).alias("cross"))
 
 
+_LABELLED = (*X.ENTITY_KINDS, "Organisation", "location", "datetime")
+
+
 def entity_icons(spark, d):
-    labels = spark.createDataFrame([(x,) for x in (*X.ENTITY_KINDS, "Organisation", "location", "datetime")], "label string")
-    return labels.select("label", T.entity_icon(F.col("label")).alias("icon"))
+    """The icon of each event's entity, whose label its number tells."""
+    label = F.element_at(F.array(*[F.lit(x) for x in _LABELLED]), (F.col("event_id") % len(_LABELLED) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", label.alias("label")).select("event_id", "label", T.entity_icon(F.col("label")).alias("icon"))
 
 
 def prompts(spark, d):
@@ -163,10 +171,12 @@ def cosine_unguarded(spark, d):
 
 
 def level_probabilities(spark, d):
-    """The chance of each level of a layered index, until below 1e-9, for three sizes of neighbour lists."""
-    m = spark.createDataFrame([(8,), (16,), (32,)], "m int").select("m", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("level"))
-    p = F.exp(-F.col("level") * F.log("m")) * (1 - F.exp(-F.log("m")))
-    return m.select("m", "level", p.alias("p")).where("p >= 1e-9").select("m", "level", F.round("p", 9).alias("p"))
+    """Levels of a layered index for lists of 16 neighbours: each vector draws one by a number that its id tells, and of each
+    level the chance that it has is told, which is what the draws are of it on average."""
+    u = (F.col("vec_id") * 7919 % 10007 + 0.5) / 10007
+    level = F.floor(-F.log(1 - u) / F.log(F.lit(16.0))).cast("int")
+    p = F.exp(-F.col("level") * F.log(F.lit(16.0))) * (1 - F.exp(-F.log(F.lit(16.0))))
+    return table(spark, d, "embeddings").select(level.alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n")).select("level", "n", F.round(p, 9).alias("p"))
 
 
 def masked_sentences(spark, d):
@@ -226,19 +236,29 @@ def entity_preparation(spark, d):
 
 
 def entity_labels(spark, d):
-    return spark.createDataFrame([(x,) for x in X.LABELS], "label string")
+    """How often each of a recognizer's labels would mark the events: outside, or a beginning or inside of a kind."""
+    n = len(X.ENTITY_KINDS)
+    kind = F.element_at(F.array(*[F.lit(x) for x in X.ENTITY_KINDS]), (F.col("event_id") % n + 1).cast("int"))
+    part = F.col("event_id") % 4
+    label = F.when(part == 0, F.concat(F.lit("B-"), kind)).when(part == 1, F.concat(F.lit("I-"), kind)).otherwise("O")
+    found = table(spark, d, "events").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(x,) for x in X.LABELS], "label string")
+    return every.join(found, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (attribute_type_detect, attribute_display, attribute_normalise, attribute_edits, highest_stat, layout_sections, progress_bars, delta_envelopes, data_uris, wav_files, wiki_hrefs, highlights, entity_text, object_json, inline_rendering, entity_icons, prompts, time_formats, cosine_unguarded, level_probabilities, masked_sentences, chunk_prefixes, rich_text_variants, note_maps, rule_entities, entity_preparation, entity_labels)}
 
 from .sync import _ROWS  # noqa: E402
+from .sync import ORACLE_SQL as _SYNC  # noqa: E402
+
+_DEFAULTS = _SYNC["attribute_defaults"]
 
 _R = """r as (select event_id, k, case k % 10 when 0 then cast(k as varchar) when 1 then case when k > 50 then 'true' else 'false' end when 2 then '["a' || k || '","b","c' || k || '"]' when 3 then '{"current":' || k || ',"maximum":80}' when 4 then '{"strength":' || k || ',"wisdom":9}' when 5 then '"2024-01-02T03:04:' || lpad(cast(k % 60 as varchar), 2, '0') || '"' when 6 then '"https://example.org/' || k || '"' when 7 then '{"label":"L' || k || '"}' when 8 then '-' || k || '.5' else '"value ' || k || '"' end as raw from (select event_id, cast(json_extract(props, '$.k') as integer) as k from events))"""
 _TYPED = """t as (select *, case when json_type(raw) = 'BOOLEAN' then 'Boolean' when json_type(raw) in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'Number' when json_type(raw) = 'ARRAY' then 'List' when json_exists(raw, '$.current') then 'ProgressBar' when json_exists(raw, '$.strength') then 'StatBlock' when json_type(raw) = 'VARCHAR' and regexp_matches(raw, '^"[0-9]{4}-[0-9]{2}-[0-9]{2}') then 'Date' when json_type(raw) = 'VARCHAR' and (starts_with(raw, '"http://') or starts_with(raw, '"https://')) then 'URL' else 'Text' end as found from r)"""
 _SENT = "list_filter(list_transform(string_split_regex({t}, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 _MASK = "replace(replace(replace(text || ' See e.g. this, No. 7 or approx. that. Then the end', 'e.g.', 'e¶g¶'), 'No.', 'No¶'), 'approx.', 'approx¶')"
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_KINDS = ", ".join(f"('{x}')" for x in (*X.ENTITY_KINDS, "Organisation", "location", "datetime"))
+_KINDS = "list_value('" + "', '".join(_LABELLED) + "')"
 
 
 def _prompt_sql(kind: str) -> str:
@@ -256,10 +276,10 @@ ORACLE_SQL = {
     "attribute_type_detect": f"with {_R}, {_TYPED} select event_id, raw, found from t",
     "attribute_display": f"""with {_R}, {_TYPED} select event_id, case k % 10 when 2 then 'a' || k || ', b, c' || k when 3 then k || '/80' when 4 then 'STR:' || k when 7 then 'L' || k when 5 then trim(raw, '"') when 6 then trim(raw, '"') when 9 then trim(raw, '"') else raw end as shown,
 case k % 10 when 1 then upper(raw[1]) || raw[2:] when 2 then '3 items' when 5 then trim(raw, '"') when 6 then trim(raw, '"') when 9 then trim(raw, '"') else raw end as summary from t""",
-    "attribute_normalise": f"with {_R} select event_id, case k % 10 when 2 then '' when 3 then 'current=' || k || ',maximum=80' when 4 then 'strength=' || k || ',wisdom=9' when 7 then 'label=L' || k else 'text=plain ' || k end as attributes from r where k % 10 in (2, 3, 4, 7, 9)",
+    "attribute_normalise": f"with {_R} select event_id, case k % 10 when 2 then '' when 3 then 'current=' || k || ',maximum=80' when 4 then 'strength=' || k || ',wisdom=9' when 7 then 'label=L' || k when 9 then 'text=plain ' || k else 'text=' || raw end as attributes from r",
     "attribute_edits": f"with {_R} select event_id, case when k % 2 = 0 then 'a=new,c=' || k else 'a=new,b=x,c=' || k end as attributes, case k % 4 when 0 then 'q,' || k when 1 then 'p,' || k when 2 then 'p,q' else 'p,q,' || k end as items from r",
     "highest_stat": "with s as (select c_custkey, unnest(['charisma', 'strength', 'wisdom']) as stat, unnest([c_custkey % 3, c_custkey % 7, c_custkey % 5]) as v from customer), m as (select *, max(v) over (partition by c_custkey) as top from s) select c_custkey, string_agg(stat, ',' order by stat) as top from m where v = top group by 1",
-    "layout_sections": f"select kind, name, case type when 'StatBlock' then 'stats' when 'ProgressBar' then 'bars' else 'rest' end as character, case when type = 'Relationship' then 'relations' when type = 'ProgressBar' then 'bars' when type in ('Text', 'Number', 'Boolean') then 'facts' when type = 'List' then 'lists' end as faction from (values {_ROWS}) r(kind, name, type, fallback, unit)",
+    "layout_sections": f"with a as ({_DEFAULTS}), r(kind, name, type, fallback, unit) as (values {_ROWS}), t as (select entity, a.name, coalesce(type, 'Text') as type from a left join r on r.kind = a.kind and r.name = a.name) select entity, name, case type when 'StatBlock' then 'stats' when 'ProgressBar' then 'bars' else 'rest' end as character, case when type = 'Relationship' then 'relations' when type = 'ProgressBar' then 'bars' when type in ('Text', 'Number', 'Boolean') then 'facts' when type = 'List' then 'lists' end as faction from t",
     "progress_bars": "with p as (select c_custkey, cast(floor((c_custkey % 150) / cast(100 + c_custkey % 50 as double) * 100 + 0.5) as integer) as percent from customer) select c_custkey, percent, case when percent > 66 then 'green' when percent > 33 then 'yellow' else 'red' end as band from p",
     "delta_envelopes": """with e as (select doc_id, (case when length(text) > 0 then '[{"type":"retain","length":' || length(text) || '},' else '[' end) || '{"type":"insert","length":' || (length(lang) + 2) || ',"content":" #' || lang || '"}]' as deltas from documents) select doc_id, deltas, substring(base64(encode(deltas)), 1, 16) as checksum from e""",
     "data_uris": "select doc_id, case when doc_id % 5 <> 0 then 'text/plain' end as media, case when doc_id % 5 <> 0 then cast(strlen(text) as integer) end as bytes, case when doc_id % 5 <> 0 then sha256(text) end as sha from documents",
@@ -269,15 +289,15 @@ case k % 10 when 1 then upper(raw[1]) || raw[2:] when 2 then '3 items' when 5 th
     "entity_text": "select doc_id, sha256(trim(strip_accents(regexp_replace('<p>' || text || '</p> Málaga Ångström naïve café', '<[^>]*>', '', 'g')))) as sha, length(trim(s)) >= 10 as entities, length(trim(s)) >= 20 as triples from (select *, case when doc_id % 6 = 0 then substring(text, 1, doc_id % 30) else text end as s from documents)",
     "object_json": "select '1' as ns, 'constructor' as type, cast(s_suppkey as varchar) as key, s_name as name, cast(s_nationkey as varchar) as nation, 'secret' as secret, 'ACCOUNT_BALANCE' as secret_id from supplier",
     "inline_rendering": """select doc_id, '[ORG|' || source || case when doc_id % 2 = 0 then '|{"n":' || doc_id || '}' else '' end || '] (speaks) [LANG|' || lang || ']' as triple, '#' || lang as tag, '[[' || source || ']]' as wiki, '<<' || source || '>>' as cross from documents""",
-    "entity_icons": f"select label, case when contains(lower(label), 'person') then 'users' when contains(lower(label), 'org') then 'building' when contains(lower(label), 'loc') or contains(lower(label), 'gpe') then 'map-pin' when contains(lower(label), 'date') or contains(lower(label), 'time') then 'calendar' else 'hash' end as icon from (values {_KINDS}) t(label)",
+    "entity_icons": f"with l as (select event_id, ({_KINDS})[event_id % {len(_LABELLED)} + 1] as label from events) select event_id, label, case when contains(lower(label), 'person') then 'users' when contains(lower(label), 'org') then 'building' when contains(lower(label), 'loc') or contains(lower(label), 'gpe') then 'map-pin' when contains(lower(label), 'date') or contains(lower(label), 'time') then 'calendar' else 'hash' end as icon from l",
     "prompts": f"select doc_id, sha256({_prompt_sql('entities')}) as entities, sha256({_prompt_sql('zap')}) as zap, sha256({_prompt_sql('fix')}) as fix from documents",
     "time_formats": "with e as (select event_id, ts, epoch(timestamp '2024-03-01') - floor(epoch(ts)) as s from events), u as (select *, case when s >= 31104000 and floor(s / 31536000) >= 1 then [cast(floor(s / 31536000) as bigint), 31536000] when floor(s / 2592000) >= 1 then [cast(floor(s / 2592000) as bigint), 2592000] when floor(s / 86400) >= 1 then [cast(floor(s / 86400) as bigint), 86400] when floor(s / 3600) >= 1 then [cast(floor(s / 3600) as bigint), 3600] when floor(s / 60) >= 1 then [cast(floor(s / 60) as bigint), 60] end as n from e) select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, epoch_us(ts) // 1000 as ms, strftime(ts, '%Y-%m-%d') as day, event_id % 3 <> 2 as is_date, case when n is null then 'just now' else n[1] || ' ' || case n[2] when 31536000 then 'year' when 2592000 then 'month' when 86400 then 'day' when 3600 then 'hour' else 'minute' end || case when n[1] > 1 then 's' else '' end || ' ago' end as passed from u",
     "cosine_unguarded": "with e as (select vec_id as id, case when vec_id % 10 = 3 then list_transform(embedding, lambda x: cast(0 as double)) else list_transform(embedding, lambda x: cast(x as double)) end as v from embeddings), q as (select v as q from e where id = 0), s as (select id, list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 0) as c from e, q) select id, round(c, 6) as plain, round(coalesce(c, 0), 6) as guarded from s",
-    "level_probabilities": "with m as (select unnest([8, 16, 32]) as m), l as (select m, unnest(range(41)) as level from m), p as (select cast(m as integer) as m, cast(level as integer) as level, pow(m, -level) * (1 - 1.0 / m) as p from l) select m, level, round(p, 9) as p from p where p >= 1e-9",
+    "level_probabilities": "with l as (select cast(floor(-ln(1 - (vec_id * 7919 % 10007 + 0.5) / 10007) / ln(16)) as integer) as level from embeddings) select level, count(*) as n, round(pow(16, -level) * (1 - 1.0 / 16), 9) as p from l group by 1",
     "masked_sentences": f"with t as (select doc_id, {_SENT.format(t=_MASK)} as s from documents), u as (select doc_id, unnest(s) as s, generate_subscripts(s, 1) - 1 as n from t) select doc_id, cast(n as integer) as n, sha256(replace(s, '¶', '.')) as sha from u",
     "chunk_prefixes": "with t as (select doc_id, regexp_replace(regexp_replace(text, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g'), '\\s{2,}', ' ', 'g') as t from documents) select doc_id, sha256('note: ' || t) as prefixed, true as back, cast(length(t) as integer) as length from t",
     "rich_text_variants": "with t as (select doc_id, source as s, lang as l, replace(text, chr(10), ' ') as t from documents) select doc_id, case when doc_id % 8 <> 0 then sha256(s || chr(10) || t || chr(10) || l || chr(10) || '  ' || chr(10) || l || chr(10)) end as lines, case when doc_id % 8 <> 0 then sha256(s || chr(10) || t || chr(10) || l || chr(10) || '  ' || chr(10) || l) end as paragraphs, sha256(case when doc_id % 8 = 0 then 'plain ' || s else s || chr(10) || case when trim(t) = '' then '' else regexp_replace(t || chr(10), '[ \\t]{2,}', ' ', 'g') end || l || ' ' || l end) as clean from t",
     "note_maps": """select cast(doc_id as varchar) as id, case when doc_id % 11 = 0 then '' else lang end as tags, case when doc_id % 11 = 0 then '' else source end as mentions, case when doc_id % 11 = 0 then '' else 't' || doc_id % 9 end as links, case when doc_id % 11 = 0 then '' else 'c' || doc_id % 4 end as backlinks, case when doc_id % 11 = 0 then '' else '{"kind": "ORG", "label": "' || source || '"}' end as entities, '' as triples from documents""",
     "entity_preparation": f"select doc_id, cast(len(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 and w not in ({_STOP}))) as integer) as tokens, cast(len({_SENT.format(t='text')}) as integer) as sentences, cast(round(least(1.0, 0.5 + case when len(regexp_extract_all(text, '\\w+')) >= 5 then 0.2 else 0 end + case when len({_SENT.format(t='text')}) >= 2 then 0.1 else 0 end + case when regexp_matches(text, '[a-z,;] [A-Z][a-z]+') then 0.2 else 0 end), 6) as double) as confidence from documents",
-    "entity_labels": "select unnest(['O', " + ", ".join(f"'{p}-{k}'" for k in X.ENTITY_KINDS for p in "BI") + "]) as label",
+    "entity_labels": "with k as (select list_value('" + "', '".join(X.ENTITY_KINDS) + "') as k), f as (select case event_id % 4 when 0 then 'B-' || k[event_id % 18 + 1] when 1 then 'I-' || k[event_id % 18 + 1] else 'O' end as label from events, k), every as (select 'O' as label union all select p || unnest(k) from k, (values ('B-'), ('I-')) t(p)) select label, count(f.label) as n from every left join f using (label) group by 1",
 }

@@ -21,11 +21,11 @@ def _notes(spark, d):
     return docs.select(k.cast("string").alias("id"), F.concat(F.lit("note "), k.cast("string")).alias("title"), F.concat("text", tail).alias("content"), F.col("source").alias("parent_id"), "lang")
 
 
-def _kg(spark, d):
-    """Canned model output for every third note: two entities (one without a confidence) and a triple."""
+def _kg(spark, d, every=3):
+    """Canned model output for every third note, or for all: two entities (one without a confidence) and a triple."""
     k = F.col("doc_id").cast("string")
     raw = F.format_string('{"entities":[{"id":"e%sa","value":"%s","type":"ORG","confidence":0},{"id":"e%sb","value":"%s","type":"LANG","confidence":0.5}],"triples":[{"subject":"e%sa","predicate":"speaks","object":"e%sb"}]}', k, F.col("source"), k, F.col("lang"), k, k)
-    return N.processed(table(spark, d, "documents").where("doc_id % 3 = 0").select(k.alias("id"), raw.alias("json")), "id", "json")
+    return N.processed(table(spark, d, "documents").where(f"doc_id % {every} = 0").select(k.alias("id"), raw.alias("json")), "id", "json")
 
 
 def _full(spark, d):
@@ -85,18 +85,18 @@ def subtree_graph(spark, d):
 
 
 def related_entities(spark, d):
-    return M.related(_kg(spark, d))
+    return M.related(_kg(spark, d, 1))
 
 
 def entities_by_type(spark, d):
-    """Types of all entities, sorted, with how many values and the sorted distinct ones."""
-    e = _kg(spark, d).select(F.explode("entities").alias("e"))
-    return e.groupBy(F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("e.value")), ",").alias("listed")).orderBy("type")
+    """The distinct values of each type of all entities, with how many entities have them, in order."""
+    e = _kg(spark, d, 1).select(F.explode("entities").alias("e"))
+    return e.groupBy(F.col("e.type").alias("type"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy("type", "value")
 
 
 def entity_filter(spark, d):
     """Entities whose value or type has the words asked for, in any case."""
-    e = _kg(spark, d).select("id", F.explode("entities").alias("e")).select("id", F.col("e.value").alias("label"), F.col("e.type").alias("kind"))
+    e = _kg(spark, d, 1).select("id", F.explode("entities").alias("e")).select("id", F.col("e.value").alias("label"), F.col("e.type").alias("kind"))
     q = F.lit("Or".lower())
     return e.where(F.contains(F.lower("label"), q) | F.contains(F.lower("kind"), q))
 
@@ -133,8 +133,8 @@ def shortest_path_nodes(spark, d):
 
 
 def centrality_report(spark, d):
-    """Degree, rank, betweenness and closeness over regions, nations and suppliers; the twenty of highest rank."""
-    e = _forest(spark, d).where("parent_id is not null and id not like 'c%'").select(F.col("parent_id").alias("source"), F.col("id").alias("target"))
+    """Degree, rank, betweenness and closeness over regions, nations, customers and suppliers; the twenty of highest rank."""
+    e = _forest(spark, d).where("parent_id is not null").select(F.col("parent_id").alias("source"), F.col("id").alias("target"))
     v = e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
     c = G.centralities(e).join(G.pagerank(v, e, 0.85, 10), "id").join(G.degree(e), "id")
     r = c.select("id", "degree", F.round("rank", 8).alias("rank"), F.round("betweenness", 6).alias("betweenness"), F.round("closeness", 8).alias("closeness"))
@@ -177,6 +177,8 @@ def _once(column: str, pattern: str) -> str:
     return f"sha256(array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i), '|'))"
 
 
+_EVERY = _N.replace(" where doc_id % 3 = 0", "")
+
 ORACLE_SQL = {
     "note_connections": f"with {_N} select id, {_once('content', '#(\\w+)')} as tags, {_once('content', '@(\\w+)')} as mentions, {_once('content', '\\[\\[([^\\]]+)\\]\\]')} as links, {_once('content', '<<([^<>]+)>>')} as crosses from notes",
     "crosslinks": f"with {_N} select n.id, o.id as other, o.title as label from notes n join notes o on n.id <> o.id and contains(o.content, '<<' || n.title || '>>')",
@@ -187,9 +189,9 @@ ORACLE_SQL = {
     "graph_export": f"with {_N} select 'nodes' as part, id, cast(null as varchar) as source, cast(null as varchar) as target, type, label from sv where type <> 'tag' union all select 'edges', null, source, target, type, label from se where type = 'contains'",
     "move_node": f"with {_FOREST} select id, case when id in ('n1', 'n2') then 'r4' else parent_id end as parent_id from f",
     "subtree_graph": f"{_down("id in ('r1', 'n0')")}, v as (select id, min(depth) as depth from t group by 1) select cast(null as varchar) as source, id as target, depth from v union all select parent_id, id, null from f where parent_id in (select id from v) and id in (select id from v)",
-    "related_entities": f"with {_N} select id, a as entity, b as related from kg union all select id, b, a from kg",
-    "entities_by_type": f"with {_N} select type, count(*) as n, array_to_string(list_sort(list(distinct value)), ',') as listed from ents group by 1",
-    "entity_filter": f"with {_N} select note as id, value as label, type as kind from ents where contains(lower(value), 'or') or contains(lower(type), 'or')",
+    "related_entities": f"with {_EVERY} select id, a as entity, b as related from kg union all select id, b, a from kg",
+    "entities_by_type": f"with {_EVERY} select type, value, count(*) as n from ents group by 1, 2",
+    "entity_filter": f"with {_EVERY} select note as id, value as label, type as kind from ents where contains(lower(value), 'or') or contains(lower(type), 'or')",
     "promoted_entities": f"with {_N} select id, 'CONCEPT' as kind, tag as label from tags union all select distinct id, 'MENTION', unnest(regexp_extract_all(content, '@(\\w+)', 1)) from notes",
     "central_nodes": f"{_model_rank_sql(3)} select id, round(rank, 8) as rank from r3 order by round(rank, 8) desc, id limit 20",
     "influential_in_folder": f"{_model_rank_sql(3)} select r3.id, round(rank, 8) as rank from r3 join sv on sv.id = r3.id and sv.type = 'note' and sv.parent = 'src1', m where round(rank * m.n, 6) >= 1",

@@ -36,7 +36,7 @@ def _in_legs(spark, d, order, made, mode, n=3):
     """The events arrive in n parts by order; after each the stream is started anew and goes on from its checkpoint.
     made(stream) is what is run; the rows it wrote, with the number of their batch."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    e = e.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     at = F.unix_micros("ts") if order == "ts" else F.col(order)
     cuts = sorted(set(e.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 10_000)).first()[0] or ()))
     into, out = new_path(spark, "arrivals"), new_path(spark, "legs")
@@ -57,6 +57,14 @@ def history_stream(spark, d):
     return rows.groupBy("user_id").agg(F.max_by(F.struct("undo", "redo", "last"), "n").alias("h")).select("user_id", "h.*")
 
 
+def fold_view(spark, d):
+    """event_fold_state as a view kept up by a stream, which reads of its state what a batch's keys need."""
+    t = F.col("event_type")
+    rows = _in_legs(spark, d, "event_id", lambda s: S.folded(s, "user_id", "event_id", t == "signup", t.isin("click", "view"), t == "error", F.col("value")), "update")
+    now = rows.groupBy("user_id").agg(F.max_by(F.struct("live", "created_seq", "updated_seq", "value"), "n").alias("r")).where("r.live")
+    return now.select("user_id", "r.created_seq", "r.updated_seq", F.round("r.value", 6).alias("value"))
+
+
 def _quiet(spark, d, settle_s):
     return _in_legs(spark, d, "ts", lambda s: S.quiet(s.withWatermark("ts", "1 hour"), "user_id", "ts", "event_id", settle_s), "append")
 
@@ -88,13 +96,14 @@ def live_connections(spark, d):
     return E.run_to_end(found, "connections", "append")
 
 
-QUERIES = {f.__name__: f for f in (stream_fold, stream_windows, stream_sessions, history_stream, debounce_stream, idle_stream, sse_text, live_connections)}
+QUERIES = {f.__name__: f for f in (stream_fold, stream_windows, stream_sessions, history_stream, fold_view, debounce_stream, idle_stream, sse_text, live_connections)}
 
 from .store import ORACLE_SQL as _STORE  # noqa: E402
 
 ORACLE_SQL = {
     "stream_fold": _STORE["event_fold_state"],
     "stream_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "fold_view": _STORE["event_fold_state"],
     "debounce_stream": "with q as (select event_id, user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as nxt, max(ts) over () - interval 1 hour as mark from events) select event_id, user_id from q where (nxt is null or nxt >= ts + interval 10 minutes) and ts + interval 10 minutes <= mark",
     "idle_stream": "with q as (select event_id, user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as nxt, max(ts) over () - interval 1 hour as mark from events) select event_id, user_id, epoch_us(nxt) - epoch_us(ts) as quiet_us from q where nxt >= ts + interval 2 hours and nxt <= mark",
     "sse_text": "select conv_id, coalesce(string_agg(text, '' order by turn) filter (turn % 5 not in (3, 4)), '') as text from conversations where turn % 5 <> 4 group by 1",

@@ -26,8 +26,15 @@ def legacy_import(spark, d):
     return S.imported(docs.select(F.when(F.col("doc_id") % 70 == 0, "{oops").otherwise(F.to_json(F.struct(F.array(item).alias("items")))).alias("raw")), "raw")
 
 
+_KIND_NAMES = ("CHARACTER", "NPC", "LOCATION", "SCENE", "ITEM", "FACTION", "EVENT")
+
+
 def attribute_registry(spark, d):
-    return S.registry(spark).groupBy("kind", "type").agg(F.count(F.lit(1)).alias("n"))
+    """How many attributes of each type the events' entities have, by the kind that the user's number tells."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KIND_NAMES]), (F.col("user_id") % 7 + 1).cast("int"))
+    has = S.registry(spark).groupBy("kind", "type").agg(F.count(F.lit(1)).alias("each"))
+    entities = table(spark, d, "events").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("entities"))
+    return entities.join(F.broadcast(has), "kind").select("kind", "type", (F.col("each") * F.col("entities")).alias("n"))
 
 
 def attribute_defaults(spark, d):
@@ -73,7 +80,7 @@ _ROWS = ", ".join("('" + "', '".join(x.split("|")) + "')" for x in S.REGISTRY)
 ORACLE_SQL = {
     "sync_queue": "with t as (select user_id, event_id, case event_type when 'error' then 0 when 'click' then 1 else 2 end as rank, cast(event_id % 6 as integer) as fails from events) select user_id, event_id, cast(a.attempt as integer) as attempt, cast(least(rank + a.attempt, 2) as integer) as priority, case when a.attempt = fails then 'done' when a.attempt = 3 then 'dropped' else 'again' end as outcome from t join (values (0), (1), (2), (3)) a(attempt) on a.attempt <= least(fails, 3)",
     "legacy_import": "with t as (select doc_id, case when doc_id % 40 = 0 then 'folder' when doc_id % 40 = 10 then 'sketch' else 'note' end as type, source, lang, text from documents where doc_id % 70 <> 0) select cast(doc_id as varchar) as id, type, source as title, case when type = 'folder' then '' when doc_id % 40 = 20 then '{}' else text end as content, lang as parent_id from t where type <> 'sketch'",
-    "attribute_registry": f"select kind, type, count(*) as n from (values {_ROWS}) r(kind, name, type, fallback, unit) group by 1, 2",
+    "attribute_registry": f"with e as (select list_value('" + "', '".join(_KIND_NAMES) + f"')[user_id % 7 + 1] as kind, count(*) as entities from events group by 1), r as (select kind, type, count(*) as each_ from (values {_ROWS}) r(kind, name, type, fallback, unit) group by 1, 2) select kind, type, each_ * entities as n from e join r using (kind)",
     "attribute_defaults": f"with r(kind, name, type, fallback, unit) as (values {_ROWS}), v as (select event_id as entity, case when user_id % 2 = 0 then 'ITEM' else 'SCENE' end as kind, case when event_id % 100 = 0 then 'type' else 'colour' end as name, event_type as value from events), w as (select entity, r.kind, r.name, fallback from v join r using (kind)) select coalesce(v.entity, w.entity) as entity, coalesce(v.kind, w.kind) as kind, coalesce(v.name, w.name) as name, coalesce(value, fallback) as value, case when fallback is null then 'custom' when value is null then 'default' else 'own' end as origin from v full outer join w on v.entity = w.entity and v.kind = w.kind and v.name = w.name",
     "command_events": """with c as (select user_id as id, event_id as seq, case event_type when 'signup' then 'create' when 'click' then 'rename' when 'view' then 'write' when 'error' then 'delete' else 'select' end as kind, json_extract_string(props, '$.k') as value from events),
 l as (select *, sum(case when kind in ('create', 'delete') then 1 else 0 end) over (partition by id order by seq rows unbounded preceding) as life from c)

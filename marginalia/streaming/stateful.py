@@ -1,6 +1,7 @@
 """Operators on streams that keep state for each key, in the state store of the checkpoint: they go on after a restart.
 
-Histories keeps a bounded history of commands (two lists and the number of the last row). Quiet finds the rows after which
+Histories keeps a bounded history of commands (two lists and the number of the last row). Fold keeps a table of the live
+rows of a log, of which a batch touches only its own keys. Quiet finds the rows after which
 a key is quiet for a time: rows wait until the watermark has passed them, so their order within its delay is not that of
 arrival; a timer tells when nothing more can come in between, and rows that come twice count once.
 
@@ -66,6 +67,48 @@ def histories(stream: DataFrame, key: str, seq: str, action: Column, most: int =
     return out.withColumnRenamed("key", key)
 
 
+class Fold(StatefulProcessor):
+    """State: the key's row, if it lives, and the number of the last event that was taken."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", "created long, updated long, value double")
+        self.last = handle.getValueState("last", "seq long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        row = list(self.row.get()) if self.row.exists() else None
+        last, before = (self.last.get()[0] if self.last.exists() else None), self.row.exists()
+        for seq, kind, value in sorted(((r.seq, r.kind, r.value) for r in rows), key=lambda r: r[0]):
+            if last is not None and seq <= last:
+                continue
+            last = seq
+            if kind == "delete":
+                row = None
+            elif kind == "create" and row is None:
+                row = [seq, seq, value]
+            elif kind == "update" and row is not None:
+                row = [row[0], seq, row[2] if value is None else value]
+        self.last.update((last,))
+        if row is not None:
+            self.row.update(tuple(row))
+        else:
+            self.row.clear()
+        if row is not None or before:
+            yield Row(key=key[0], live=row is not None, created_seq=row and row[0], updated_seq=row and row[1], value=row and row[2])
+
+    def close(self) -> None:
+        pass
+
+
+def folded(stream: DataFrame, key: str, seq: str, create: Column, update: Column, delete: Column, value: Column) -> DataFrame:
+    """(key, live, created_seq, updated_seq, value): log.fold() as a view that is kept up, in mode update. A batch reads the
+    state of its own keys and tells what they are then (live is false for a key whose row went), however long the log is.
+    Rows of a key must come in order of seq from batch to batch; those that are behind are left out."""
+    kind = F.when(delete, "delete").when(create, "create").when(update, "update")
+    given = stream.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), kind.alias("kind"), value.cast("double").alias("value")).where("kind is not null and key is not null and seq is not null")
+    out = given.groupBy("key").transformWithState(Fold(), f"key {dict(given.dtypes)['key']}, live boolean, created_seq long, updated_seq long, value double", "Update", "None")
+    return out.withColumnRenamed("key", key)
+
+
 class Quiet(StatefulProcessor):
     """pending: rows (micros, seq) that the watermark has not passed; last: the newest row before it, and whether it was
     told as settled."""

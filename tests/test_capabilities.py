@@ -210,3 +210,16 @@ def test_neighbours_of_queries_and_ties(spark):
     q = v.where("id in (3, 4)")
     got = sorted((r.source, r["rank"], r.target) for r in vectors.knn(v, 4, block=7, queries=q).collect())
     assert got == [(3, 1, 1), (3, 2, 3), (3, 3, 5), (3, 4, 7), (4, 1, 0), (4, 2, 2), (4, 3, 4), (4, 4, 6)]
+
+
+def test_registry_holds_the_surveyed_defaults(spark):
+    from marginalia.operators import sync
+
+    rows = {(r.kind, r.name): (r.type, r.fallback, r.unit) for r in sync.registry(spark).collect()}
+    # Fixed values, written out here apart from the registry.
+    assert rows["NPC", "faction"] == ("EntityLink", '{"id":"","label":"","kind":"FACTION"}', "")
+    assert rows["ITEM", "owner"] == ("EntityLink", '{"id":"","label":"","kind":"CHARACTER"}', "")
+    assert rows["SCENE", "duration"] == ("Number", "30", "minutes") and rows["ITEM", "value"] == ("Number", "0", "gold")
+    assert rows["CHARACTER", "mana"] == ("ProgressBar", '{"current":50,"maximum":50}', "") and rows["EVENT", "date"][0] == "Date"
+    assert rows["ITEM", "magical"] == ("Boolean", "false", "") and rows["LOCATION", "size"] == ("Text", "Medium", "")
+    assert len(rows) == 70 and {k for k, _ in rows} == {"CHARACTER", "NPC", "LOCATION", "SCENE", "ITEM", "FACTION", "EVENT"}

@@ -34,6 +34,23 @@ def test_histories_go_on_after_a_restart(spark):
     assert got == {r.k: (r.undo, r.redo, r.last) for r in want}
 
 
+def test_a_kept_view_is_the_fold_of_the_log(spark):
+    from marginalia.operators import log as G
+
+    pick = random.Random(8)
+    rows = [(pick.randrange(12), i, pick.choice(["create", "update", "update", "delete", "other"]), pick.choice([None, float(i)])) for i in range(400)]
+    schema = "k long, s long, t string, v double"
+    t = F.col("t")
+    told = run(spark, [rows[:150], rows[150:260] + rows[140:150], [r for r in rows[260:] if r[0] < 3]], schema, lambda s: S.folded(s, "k", "s", t == "create", t == "update", t == "delete", F.col("v")), "update")
+    now = {}
+    for r in sorted(told, key=lambda r: r.n):
+        now[r.k] = r
+    log = spark.createDataFrame(rows[:260] + [r for r in rows[260:] if r[0] < 3], schema)
+    want = G.fold(log, "k", "s", t == "create", t == "update", t == "delete", F.col("v")).collect()
+    assert sorted((r.k, r.created_seq, r.updated_seq, r.value) for r in now.values() if r.live) == sorted(map(tuple, want)) and len(want) > 3
+    assert {r.k for r in told if r.n == max(x.n for x in told)} <= {0, 1, 2}  # the last batch touches its own keys alone
+
+
 def test_query_equals_the_batch_one(spark):
     want = QUERIES["command_history"](spark, DIR).select("user_id", "undo", "redo", "last").collect()
     assert sorted(map(tuple, QUERIES["history_stream"](spark, DIR).collect())) == sorted(map(tuple, want))
