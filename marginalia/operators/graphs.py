@@ -36,6 +36,18 @@ def neighbours(edges: DataFrame, vertex, direction: str = "both") -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("type", "weight")).alias("e")).select("id", "e.type", "e.weight")
 
 
+def parents(edges: DataFrame, kind: str | None = None) -> DataFrame:
+    """(id, parent, type) over edges of a type, or of all."""
+    rows = edges if kind is None else edges.where(F.col("type") == kind)
+    return rows.select(F.col("target").alias("id"), F.col("source").alias("parent"), "type").distinct()
+
+
+def children(edges: DataFrame, kind: str | None = None) -> DataFrame:
+    """(id, child, type) over edges of a type, or of all."""
+    rows = edges if kind is None else edges.where(F.col("type") == kind)
+    return rows.select(F.col("source").alias("id"), F.col("target").alias("child"), "type").distinct()
+
+
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with an end among ids."""
     s = ids.select("id").distinct()

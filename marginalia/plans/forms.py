@@ -152,7 +152,7 @@ def entity_icons(spark, d):
 def prompts(spark, d):
     t = F.col("text")
     p = {k: A.prompt(k, t, F.lit("make it rhyme"), list(X.LABELS)) for k in A.PROMPTS}
-    return table(spark, d, "documents").select("doc_id", *[F.sha2(p[k], 256).alias(k) for k in ("entities", "zap", "fix")])
+    return table(spark, d, "documents").select("doc_id", *[F.sha2(p[k], 256).alias(f"for_{k}") for k in A.PROMPTS])
 
 
 def time_formats(spark, d):
@@ -290,7 +290,7 @@ case k % 10 when 1 then upper(raw[1]) || raw[2:] when 2 then '3 items' when 5 th
     "object_json": "select '1' as ns, 'constructor' as type, cast(s_suppkey as varchar) as key, s_name as name, cast(s_nationkey as varchar) as nation, 'secret' as secret, 'ACCOUNT_BALANCE' as secret_id from supplier",
     "inline_rendering": """select doc_id, '[ORG|' || source || case when doc_id % 2 = 0 then '|{"n":' || doc_id || '}' else '' end || '] (speaks) [LANG|' || lang || ']' as triple, '#' || lang as tag, '[[' || source || ']]' as wiki, '<<' || source || '>>' as cross from documents""",
     "entity_icons": f"with l as (select event_id, ({_KINDS})[event_id % {len(_LABELLED)} + 1] as label from events) select event_id, label, case when contains(lower(label), 'person') then 'users' when contains(lower(label), 'org') then 'building' when contains(lower(label), 'loc') or contains(lower(label), 'gpe') then 'map-pin' when contains(lower(label), 'date') or contains(lower(label), 'time') then 'calendar' else 'hash' end as icon from l",
-    "prompts": f"select doc_id, sha256({_prompt_sql('entities')}) as entities, sha256({_prompt_sql('zap')}) as zap, sha256({_prompt_sql('fix')}) as fix from documents",
+    "prompts": "select doc_id, " + ", ".join(f"sha256({_prompt_sql(k)}) as for_{k}" for k in A.PROMPTS) + " from documents",
     "time_formats": "with e as (select event_id, ts, epoch(timestamp '2024-03-01') - floor(epoch(ts)) as s from events), u as (select *, case when s >= 31104000 and floor(s / 31536000) >= 1 then [cast(floor(s / 31536000) as bigint), 31536000] when floor(s / 2592000) >= 1 then [cast(floor(s / 2592000) as bigint), 2592000] when floor(s / 86400) >= 1 then [cast(floor(s / 86400) as bigint), 86400] when floor(s / 3600) >= 1 then [cast(floor(s / 3600) as bigint), 3600] when floor(s / 60) >= 1 then [cast(floor(s / 60) as bigint), 60] end as n from e) select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, epoch_us(ts) // 1000 as ms, strftime(ts, '%Y-%m-%d') as day, event_id % 3 <> 2 as is_date, case when n is null then 'just now' else n[1] || ' ' || case n[2] when 31536000 then 'year' when 2592000 then 'month' when 86400 then 'day' when 3600 then 'hour' else 'minute' end || case when n[1] > 1 then 's' else '' end || ' ago' end as passed from u",
     "cosine_unguarded": "with e as (select vec_id as id, case when vec_id % 10 = 3 then list_transform(embedding, lambda x: cast(0 as double)) else list_transform(embedding, lambda x: cast(x as double)) end as v from embeddings), q as (select v as q from e where id = 0), s as (select id, list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 0) as c from e, q) select id, round(c, 6) as plain, round(coalesce(c, 0), 6) as guarded from s",
     "level_probabilities": "with l as (select cast(floor(-ln(1 - (vec_id * 7919 % 10007 + 0.5) / 10007) / ln(16)) as integer) as level from embeddings) select level, count(*) as n, round(pow(16, -level) * (1 - 1.0 / 16), 9) as p from l group by 1",

@@ -41,6 +41,15 @@ def connected_edges(spark, d):
     return G.touching(_edges(spark, d), _vertices(spark, d).where("id in ('c1', 'c2', 'n3', 't5')").select("id"))
 
 
+def parents_children(spark, d):
+    """Of every vertex the number of its parents and children and the smallest of each, by type of edge."""
+    e = _edges(spark, d)
+    up = G.parents(e).groupBy("id", "type").agg(F.count(F.lit(1)).alias("parents"), F.min("parent").alias("first_parent"))
+    down = G.children(e).groupBy("id", "type").agg(F.count(F.lit(1)).alias("children"), F.min("child").alias("first_child"))
+    both = up.join(down, ["id", "type"], "full_outer")
+    return both.select("id", "type", F.coalesce("parents", F.lit(0)).alias("parents"), "first_parent", F.coalesce("children", F.lit(0)).alias("children"), "first_child")
+
+
 def wiki_link_join(spark, d):
     """Customers linked with the first nation of their nation's name."""
     links = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("title"))
@@ -128,6 +137,14 @@ def _raw(spark, d):
     return e.select(F.col("event_id").alias("note_id"), F.when(F.col("event_id") % 70 == 0, "{oops").when(F.col("event_id") % 30 == 0, bare).otherwise(good).alias("json"))
 
 
+def text_checks(spark, d):
+    """Why texts are not fit for entity search: each document's first words by its number, and its whole text."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.col("doc_id") % 4
+    short = F.when(k == 0, F.lit("  ")).when(k == 1, F.element_at(F.split("text", " "), 1)).when(k == 2, F.lit("antidisestablishmentarianism")).otherwise(F.col("text"))
+    return docs.select("doc_id", N.checked_text(short).alias("reason"), N.checked_text(F.col("text")).alias("whole"))
+
+
 def kg_process(spark, d):
     return N.processed(_raw(spark, d), "note_id", "json").select("note_id", F.size("entities").alias("entities"), F.size("triples").alias("triples"), F.array_join(F.transform("entities", lambda x: F.concat_ws("|", x["value"], x["type"], F.round(x["confidence"], 3).cast("string"))), ",").alias("listed"))
 
@@ -136,7 +153,7 @@ def fact_sheet(spark, d):
     return N.fact_sheet(N.processed(_raw(spark, d), "note_id", "json"), "note_id", "a1")
 
 
-QUERIES = {f.__name__: f for f in (graph_vertices, graph_edges, graph_metadata, connected_edges, wiki_link_join, degree, common_neighbor_ratio, pagerank_fixed, influential_notes, shortest_path, betweenness, closeness, type_communities, structural_clusters, ner_postprocess, entity_type_counts, kg_process, fact_sheet)}
+QUERIES = {f.__name__: f for f in (graph_vertices, graph_edges, graph_metadata, connected_edges, parents_children, wiki_link_join, degree, common_neighbor_ratio, pagerank_fixed, influential_notes, shortest_path, betweenness, closeness, type_communities, structural_clusters, ner_postprocess, entity_type_counts, text_checks, kg_process, fact_sheet)}
 
 _VX = "vx as (select 'n' || n_nationkey as id, 'folder' as type, n_name as label from nation union all select 'c' || c_custkey, 'note', c_name from customer union all select distinct 't' || o_orderpriority[1], 'tag', o_orderpriority from orders)"
 _EX = "ex as (select 'n' || c_nationkey as source, 'c' || c_custkey as target, 'contains' as type from customer union all select distinct 'c' || o_custkey, 't' || o_orderpriority[1], 'mentions' from orders)"
@@ -153,11 +170,18 @@ def _rank_sql(n: int) -> str:
 
 _NER = "e as (select event_id, user_id as note_id, cast(json_extract(props, '$.k') as integer) as k, event_type from events), f as (select event_id, note_id, 'v' || k as value, case when k % 11 = 0 then '' else event_type end as type, k % 40 as start, k % 40 + k % 5 as \"end\", k % 10 / 9.0 as confidence from e), g as (select *, row_number() over (partition by note_id, value, type, start, \"end\" order by event_id) as r from f where value <> '' and type <> '' and start >= 0 and \"end\" <= 42 and start < \"end\" and confidence between 0 and 1), h as (select * from g where r = 1 and confidence > 0 and confidence >= 0.5)"
 
+
+
+def _checked_sql(t: str) -> str:
+    return f"case when length(trim({t})) = 0 then 'empty' when length(trim({t})) < 10 then 'short' when len(regexp_extract_all({t}, '\\w+')) < 3 then 'few words' end"
+
+
 ORACLE_SQL = {
     "graph_vertices": f"with {_VX} select * from vx",
     "graph_edges": f"with {_EX} select * from ex",
     "graph_metadata": f"with {_VX}, {_EX} select 'vertex' as kind, type, count(*) as n from vx group by 2 union all select 'edge', type, count(*) from ex group by 2",
     "connected_edges": f"with {_EX} select distinct * from ex where source in ('c1', 'c2', 'n3', 't5') or target in ('c1', 'c2', 'n3', 't5')",
+    "parents_children": f"with {_EX}, up as (select target as id, type, count(*) as parents, min(source) as first_parent from ex group by 1, 2), down as (select source as id, type, count(*) as children, min(target) as first_child from ex group by 1, 2) select coalesce(up.id, down.id) as id, coalesce(up.type, down.type) as type, coalesce(parents, 0) as parents, first_parent, coalesce(children, 0) as children, first_child from up full join down on up.id = down.id and up.type = down.type",
     "wiki_link_join": "with t as (select n_name, min(n_nationkey) as target from nation group by 1) select c_custkey, target from customer join nation n on c_nationkey = n.n_nationkey join t on t.n_name = n.n_name",
     "degree": f"with {_PE} select id, count(*) as degree from (select source as id from pe where source <> target union all select target from pe where source <> target) group by id",
     "common_neighbor_ratio": f"with {_PE}, {_UN}, d as (select source, count(*) as d from un group by 1), c as (select a.source as a, b.source as b, count(*) as c from un a join un b on a.target = b.target group by 1, 2) select un.source as a, un.target as b, round(coalesce(c, 0) / cast(greatest(da.d, db.d) as double), 6) as ratio from un left join c on c.a = un.source and c.b = un.target join d da on da.source = un.source join d db on db.source = un.target where un.source < un.target",
@@ -167,6 +191,7 @@ ORACLE_SQL = {
     "type_communities": f"with {_VX} select type, count(*) as n, min(id) as first, max(id) as last from vx group by 1",
     "ner_postprocess": f"with {_NER} select note_id, value, type, start, \"end\", round(cast(confidence as double), 6) as confidence from h",
     "entity_type_counts": f"with {_NER} select note_id, type, count(*) as n from h group by 1, 2",
+    "text_checks": f"with t as (select doc_id, coalesce(text, '') as text from documents), s as (select *, case doc_id % 4 when 0 then '  ' when 1 then string_split(text, ' ')[1] when 2 then 'antidisestablishmentarianism' else text end as short from t) select doc_id, {_checked_sql('short')} as reason, {_checked_sql('text')} as whole from s",
     "kg_process": "with e as (select event_id as note_id, json_extract_string(props, '$.k') as k, case when event_id % 70 = 0 then 0 when event_id % 30 = 0 then 1 else 2 end as kind from events) select note_id, cast(kind as integer) as entities, cast(case when kind = 2 then 1 else 0 end as integer) as triples, case kind when 0 then '' when 1 then 'z' || k || '|T3|0.8' else 'a' || k || '|T1|0.8,b' || k || '|T2|0.25' end as listed from e",
     "fact_sheet": "select event_id as note_id, 'subject' as role, 'knows' as predicate, 'b1' as other from events where json_extract_string(props, '$.k') = '1' and event_id % 70 <> 0 and event_id % 30 <> 0",
 }

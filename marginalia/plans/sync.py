@@ -67,10 +67,14 @@ def model_answers(spark, d):
 
 
 def graph_file_stats(spark, d):
-    """Saved graphs, one for each customer with orders, and the system's own: how many, their elements, the newest."""
-    files = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nodes"), F.max("o_orderdate").cast("string").alias("created"))
-    system = table(spark, d, "nation").agg(F.lit(None).cast("long").alias("o_custkey"), F.count(F.lit(1)).alias("nodes"), F.lit("1990-01-01").alias("created"))
-    return files.union(system).agg(F.count(F.lit(1)).alias("files"), F.sum("nodes").alias("nodes"), F.sum(F.col("nodes") - 1).alias("edges"), F.max("created").alias("newest"))
+    """Saved graphs, one for each order with its parts, and the system's own: how many, their elements as counted, the
+    newest."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("created"))
+    each = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count_distinct("l_partkey") + 1).alias("nodes"), F.count(F.lit(1)).alias("edges"))
+    files = o.join(each, "o_orderkey").select("nodes", "edges", "created")
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    system = nation.agg((F.count(F.lit(1)) + region.agg(F.count(F.lit(1))).scalar()).alias("nodes"), F.count("n_regionkey").alias("edges"), F.lit("1990-01-01").alias("created"))
+    return files.union(system).agg(F.count(F.lit(1)).alias("files"), F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"), F.max("created").alias("newest"))
 
 
 QUERIES = {f.__name__: f for f in (command_history, sync_queue, legacy_import, attribute_registry, attribute_defaults, command_events, model_answers, graph_file_stats)}
@@ -87,5 +91,5 @@ l as (select *, sum(case when kind in ('create', 'delete') then 1 else 0 end) ov
 select id, seq, case kind when 'create' then 'NoteCreated' when 'delete' then 'NoteDeleted' when 'select' then 'UiStateSet' else 'NoteUpdated' end as event, case kind when 'rename' then 'title' when 'write' then 'content' end as field, case when kind in ('rename', 'write') then value end as value,
 case kind when 'create' then 'NoteDeleted' when 'delete' then 'NoteCreated' when 'select' then null else 'NoteUpdated' end as undo, case when kind in ('rename', 'write') then (select arg_max(p.value, p.seq) from l p where p.id = l.id and p.life = l.life and p.kind = l.kind and p.seq < l.seq) end as undo_value from l""",
     "model_answers": """select c_custkey, case when c_custkey % 20 in (7, 13) then '[]' else '[{"value":"' || c_custkey % 20 || '","type":"CARDINAL"}]' end as json from customer""",
-    "graph_file_stats": "with f as (select count(*) as n, cast(max(o_orderdate) as varchar) as created from orders group by o_custkey union all select count(*), '1990-01-01' from nation) select count(*) as files, cast(sum(n) as bigint) as nodes, cast(sum(n - 1) as bigint) as edges, max(created) as newest from f",
+    "graph_file_stats": "with e as (select l_orderkey, count(distinct l_partkey) + 1 as nodes, count(*) as edges from lineitem group by 1), f as (select nodes, edges, cast(o_orderdate as varchar) as created from orders join e on o_orderkey = l_orderkey union all select (select count(*) from nation) + (select count(*) from region), (select count(*) from nation), '1990-01-01') select count(*) as files, cast(sum(nodes) as bigint) as nodes, cast(sum(edges) as bigint) as edges, max(created) as newest from f",
 }
