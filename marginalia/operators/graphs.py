@@ -183,7 +183,7 @@ class _Searches:
 def centralities(edges: DataFrame) -> DataFrame:
     """(id, betweenness, closeness, harmonic) of an undirected graph, exact: one breadth-first search from each vertex, the
     sources spread over tasks. Each task needs the adjacency, so its size is measured: over MOST_ENDS edge ends (4 bytes
-    each) this is an error, and sampled_centralities(), which estimates, is to be asked for by its name."""
+    each) this is an error, and sketched_closeness() or sampled_centralities(), which estimate, are to be asked for by name."""
     scratch = Scratch(edges.sparkSession)
     u = scratch.write(undirected(edges), "central-edges")
     if (size := u.count()) > MOST_ENDS:
@@ -213,6 +213,29 @@ def centralities(edges: DataFrame) -> DataFrame:
     return scratch.result(out, "centralities")
 
 
+def sketched_closeness(edges: DataFrame, log_size: int = 12) -> DataFrame:
+    """(id, closeness, harmonic) of every vertex of an undirected graph of any size, estimated: each vertex has a counting
+    sketch of the ball around it, which a round unites with those of its neighbours (one join and one sum) until no ball
+    grows; what a round adds is at its distance. A count is off by about 1.04 / sqrt(2 ** log_size) in two of three cases;
+    balls of a few hundred vertices are counted exactly."""
+    scratch = Scratch(edges.sparkSession)
+    u = scratch.write(undirected(edges), "ball-edges")
+    none = F.lit(0.0)
+    ids = u.select(F.col("source").alias("id")).distinct()
+    balls = ids.groupBy("id").agg(F.hll_sketch_agg(F.col("id"), F.lit(log_size)).alias("ball")).select("id", "ball", F.lit(1.0).alias("size"), none.alias("far"), none.alias("near"), F.lit(True).alias("grew"))
+    state, distance = scratch.write(balls, "balls"), 0
+    while not state.where("grew").isEmpty():
+        distance += 1
+        told = u.join(state.where("grew").select(F.col("id").alias("target"), "ball"), "target").select(F.col("source").alias("id"), "ball", *[F.lit(None).cast("double").alias(c) for c in ("size", "far", "near")])
+        united = told.unionByName(state.drop("grew")).groupBy("id").agg(F.hll_union_agg("ball").alias("ball"), *[F.max(c).alias(c) for c in ("size", "far", "near")])
+        more = F.greatest(F.hll_sketch_estimate("ball").cast("double") - F.col("size"), none)
+        grown = united.select("id", "ball", (F.col("size") + more).alias("size"), (F.col("far") + distance * more).alias("far"), (F.col("near") + more / distance).alias("near"), (more > 0).alias("grew"))
+        after = scratch.write(grown, "balls")
+        scratch.drop(state)
+        state = after
+    return scratch.result(state.select("id", F.coalesce(F.try_divide(F.lit(1.0), F.col("far")), none).alias("closeness"), F.col("near").alias("harmonic")), "sketched-closeness")
+
+
 def sampled_centralities(edges: DataFrame, pivots: int = PIVOTS, seed: int = 1) -> DataFrame:
     """centralities() of a graph of any size, estimated by searches from the first `pivots` vertices by a seeded hash, level by level for all of
     them at once: one join and one sum a level forward (shortest paths) and one backward (what depends on a vertex). No

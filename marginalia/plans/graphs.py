@@ -104,6 +104,11 @@ def closeness(spark, d):
     return G.centralities(_parts(spark, d)).select("id", F.round("closeness", 6).alias("closeness"), F.round("harmonic", 6).alias("harmonic"))
 
 
+def closeness_sketched(spark, d):
+    """Closeness of every vertex by counting sketches of the balls around it."""
+    return G.sketched_closeness(_parts(spark, d)).select("id", F.round("closeness", 8).alias("closeness"), F.round("harmonic", 4).alias("harmonic"))
+
+
 def type_communities(spark, d):
     return _vertices(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
@@ -153,7 +158,7 @@ def fact_sheet(spark, d):
     return N.fact_sheet(N.processed(_raw(spark, d), "note_id", "json"), "note_id", "a1")
 
 
-QUERIES = {f.__name__: f for f in (graph_vertices, graph_edges, graph_metadata, connected_edges, parents_children, wiki_link_join, degree, common_neighbor_ratio, pagerank_fixed, influential_notes, shortest_path, betweenness, closeness, type_communities, structural_clusters, ner_postprocess, entity_type_counts, text_checks, kg_process, fact_sheet)}
+QUERIES = {f.__name__: f for f in (graph_vertices, graph_edges, graph_metadata, connected_edges, parents_children, wiki_link_join, degree, common_neighbor_ratio, pagerank_fixed, influential_notes, shortest_path, betweenness, closeness, closeness_sketched, type_communities, structural_clusters, ner_postprocess, entity_type_counts, text_checks, kg_process, fact_sheet)}
 
 _VX = "vx as (select 'n' || n_nationkey as id, 'folder' as type, n_name as label from nation union all select 'c' || c_custkey, 'note', c_name from customer union all select distinct 't' || o_orderpriority[1], 'tag', o_orderpriority from orders)"
 _EX = "ex as (select 'n' || c_nationkey as source, 'c' || c_custkey as target, 'contains' as type from customer union all select distinct 'c' || o_custkey, 't' || o_orderpriority[1], 'mentions' from orders)"

@@ -78,6 +78,19 @@ def test_graph_measures(spark):
     assert path == {1: 0, 0: 1, 2: 2, 3: 2, 4: 2}
 
 
+def test_sketched_closeness_of_every_vertex(spark):
+    pick = random.Random(9)
+    rows = [(i, pick.randrange(i)) for i in range(1, 900)] + [(2000, 2001), (3000, 3000)]
+    df = spark.createDataFrame(rows, "source long, target long")
+    want = {r.id: r for r in graphs.centralities(df).collect()}
+    got = {r.id: r for r in graphs.sketched_closeness(df).collect()}
+    assert set(got) == set(want)
+    off = sorted(abs(got[i].closeness / want[i].closeness - 1) for i in want)
+    assert off[-1] < 0.08 and off[len(off) // 2] < 0.03
+    assert max(abs(got[i].harmonic / want[i].harmonic - 1) for i in want) < 0.08
+    assert got[2000].closeness == 1 and graphs.sketched_closeness(df.limit(0)).count() == 0
+
+
 def test_large_graphs_are_not_estimated_unasked(spark, monkeypatch):
     monkeypatch.setattr(graphs, "MOST_ENDS", 7)
     star = spark.createDataFrame([(0, i) for i in range(1, 5)], "source long, target long")
