@@ -42,7 +42,7 @@ from . import words as W
 from .shared import Scratch
 
 SEGMENT = 1 << 16
-LEAST_PAIRS, MOST_RULES, LEAF = 4, 50_000, 1024
+LEAST_PAIRS, MOST_RULES, LEAF = 4, 10_000, 1024
 SPACE = " \t\n\x0b\x0c\r"
 _NO_TURN = -(1 << 63)
 _S, _U, _A = 0, 1, 2
