@@ -60,10 +60,10 @@ def common_ratio(edges: DataFrame) -> DataFrame:
     degree (of equal ones the smaller id), so that a hub has few edges of its own, and each triangle is met once, at its
     lowest corner: as paths of two such edges whose ends are joined by a third."""
     scratch = Scratch(edges.sparkSession)
-    u = undirected(edges)
-    near = u.where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    deg = u.groupBy("source").agg(F.count(F.lit(1)).alias("d"))
-    both = scratch.write(near.join(deg.select(F.col("source").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("source").alias("b"), F.col("d").alias("db")), "b"), "ratio-edges")
+    near = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    near = scratch.write(near.distinct(), "ratio-pairs")
+    deg = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    both = scratch.write(near.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b"), "ratio-edges")
 
     def place(d: str, i: str) -> Column:
         return F.struct(F.col(d).alias("d"), F.col(i).alias("i"))
