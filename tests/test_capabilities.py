@@ -223,3 +223,12 @@ def test_registry_holds_the_surveyed_defaults(spark):
     assert rows["CHARACTER", "mana"] == ("ProgressBar", '{"current":50,"maximum":50}', "") and rows["EVENT", "date"][0] == "Date"
     assert rows["ITEM", "magical"] == ("Boolean", "false", "") and rows["LOCATION", "size"] == ("Text", "Medium", "")
     assert len(rows) == 70 and {k for k, _ in rows} == {"CHARACTER", "NPC", "LOCATION", "SCENE", "ITEM", "FACTION", "EVENT"}
+
+
+def test_words_that_cancel_out_still_have_a_vector():
+    from itertools import combinations
+
+    made = {w: retrieval.hashed([w])[0] for w in (f"w{i}" for i in range(300))}
+    a, b = next((a, b) for a, b in combinations(made, 2) if not (made[a] + made[b]).any())
+    both, none, other = retrieval.hashed([f"{a} {b}", "  ", "x"])
+    assert (both**2).sum() == 1 and not none.any() and (other == retrieval.hashed(["x"])[0]).all()
