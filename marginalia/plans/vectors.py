@@ -61,8 +61,8 @@ def hierarchical_edges(spark, d):
 
 
 def neighbors(spark, d):
-    """Of vector 3, over semantic and sequential edges."""
-    pairs = X.similar_pairs(_vectors(spark, d), 0.3)
+    """Of vector 3, over semantic and sequential edges; of the semantic ones only its own are made."""
+    pairs = X.similar_to(_vectors(spark, d), 3, 0.3)
     sem = pairs.select("source", "target", F.lit("semantic").alias("type"), "weight")
     seq = _vectors(spark, d).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"), F.lit("sequential").alias("type"), F.lit(1.0).alias("weight"))
     return G.neighbours(sem.union(seq), 3).select("id", "type", F.round("weight", 6).alias("weight"))
@@ -85,11 +85,8 @@ def dynamic_threshold(spark, d):
 
 
 def _walk(spark, d, steps):
-    v = _vectors(spark, d)
-    edges = X.similar_pairs(v, 0.3)
-    both = edges.union(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     s = _against_first(spark, d).select("id", V.cosine(F.col("vec"), F.col("q"), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "id").limit(20)
-    return G.walk(s, both, steps)
+    return X.similarity_walk(_vectors(spark, d), s, 0.3, steps)
 
 
 def walk_expected_fixed(spark, d):

@@ -232,3 +232,41 @@ def test_words_that_cancel_out_still_have_a_vector():
     a, b = next((a, b) for a, b in combinations(made, 2) if not (made[a] + made[b]).any())
     both, none, other = retrieval.hashed([f"{a} {b}", "  ", "x"])
     assert (both**2).sum() == 1 and not none.any() and (other == retrieval.hashed(["x"])[0]).all()
+
+
+def _vectors_of(spark, n, dim=6, seed=3):
+    v = np.random.default_rng(seed).normal(size=(n, dim))
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(n + i, [float(x) for x in v[i]]) for i in range(5)], "id long, vec array<double>")
+
+
+def test_pairs_of_blocks_meet_without_a_shuffle(spark):
+    df = _vectors_of(spark, 40)
+    plan = vectors.similar_pairs(df, 0.3, block=7)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    rows = vectors.knn(df, 4, block=7).collect()
+    assert len(rows) == 180 and [(r.target, r.score) for r in rows if r.source == 40 and r["rank"] < 3] == [(0, 1.0), (40, 1.0)]
+
+
+def test_codes_meet_in_parts_and_give_the_same(spark):
+    df = _vectors_of(spark, 60)
+    one, some = (sorted(tuple(r) for r in vectors.lsh_knn(df, df.where("id % 4 = 0"), 5, 6, bits=3, tables=6, block=b).collect()) for b in (4096, 3))
+    assert one == some and len(one) == 17 * 5 and all(r[0] == r[1] or r[2] < 1.0001 for r in one)
+
+
+@pytest.mark.parametrize("steps, least", [(1, 0.75), (2, 0.75), (5, 0.75), (100, 0.0)])
+def test_walk_over_similar_vectors_is_the_walk_over_their_edges(spark, steps, least):
+    df = _vectors_of(spark, 40)
+    seeds = spark.createDataFrame([(0, 0.75), (7, 0.5), (39, -0.25), (999, 0.5)], "id long, score double")
+    v = np.array([r.vec for r in df.orderBy("id").collect()])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = v @ v.T
+    s[s <= least] = 0
+    np.fill_diagonal(s, 0)
+    total, start = s.sum(axis=1), np.zeros(len(v))
+    start[[0, 7, 39]] = 0.75, 0.5, -0.25
+    p, met, spent = start, start != 0, start
+    for _ in range(steps - 1):
+        p = 0.85 * (s.T @ np.divide(p, total, out=np.zeros(len(v)), where=total > 0) + np.where(total == 0, p, 0)) + 0.15 * start
+        met, spent = met | (s.T @ met > 0), spent + p
+    want = {int(i): pytest.approx(spent[i] / steps, abs=1e-11) for i in np.flatnonzero(met)} | {999: 0.5}
+    assert {r.id: r.score for r in vectors.similarity_walk(df, seeds, least, steps, block=9).collect()} == want and len(want) > 3
