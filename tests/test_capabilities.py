@@ -255,7 +255,7 @@ def test_codes_meet_in_parts_and_give_the_same(spark):
 
 @pytest.mark.parametrize("steps, least", [(1, 0.75), (2, 0.75), (5, 0.75), (100, 0.0)])
 def test_walk_over_similar_vectors_is_the_walk_over_their_edges(spark, steps, least):
-    df = _vectors_of(spark, 40)
+    df = _vectors_of(spark, 40).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0 if least else 9.0)))
     seeds = spark.createDataFrame([(0, 0.75), (7, 0.5), (39, -0.25), (999, 0.5)], "id long, score double")
     v = np.array([r.vec for r in df.orderBy("id").collect()])
     v /= np.linalg.norm(v, axis=1)[:, None]
@@ -270,3 +270,16 @@ def test_walk_over_similar_vectors_is_the_walk_over_their_edges(spark, steps, le
         met, spent = met | (s.T @ met > 0), spent + p
     want = {int(i): pytest.approx(spent[i] / steps, abs=1e-11) for i in np.flatnonzero(met)} | {999: 0.5}
     assert {r.id: r.score for r in vectors.similarity_walk(df, seeds, least, steps, block=9).collect()} == want and len(want) > 3
+
+
+def test_searches_start_once_for_vertices_with_the_same_neighbours(spark, monkeypatch):
+    pick = random.Random(11)
+    e = {(a, 100 + b) for a in range(6) for b in (0, 1, 2)} | {(200 + i, 100) for i in range(30)} | {(100, 101), (300, 301)}
+    e |= {tuple(sorted((400 + pick.randrange(12), 400 + pick.randrange(12)))) for _ in range(25)} | {(400, 102)}
+    df = spark.createDataFrame(sorted(e), "source long, target long")
+    n = df.select("source").union(df.select("target")).distinct().count()
+    got = {r.id: r[1:] for r in graphs.centralities(df).collect()}
+    want = {r.id: r[1:] for r in graphs.sampled_centralities(df, n).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    star = graphs._Searches(np.append([0, 50], np.arange(51, 101)), np.append(np.arange(1, 51), np.zeros(50, np.int64)).astype(np.int32))
+    assert sorted(map(len, star.alike())) == [1, 50]
