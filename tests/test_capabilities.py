@@ -283,3 +283,14 @@ def test_searches_start_once_for_vertices_with_the_same_neighbours(spark, monkey
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
     star = graphs._Searches(np.append([0, 50], np.arange(51, 101)), np.append(np.arange(1, 51), np.zeros(50, np.int64)).astype(np.int32))
     assert sorted(map(len, star.alike())) == [1, 50]
+
+
+def test_closeness_by_bits_is_that_of_searches(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SEEN", 1)
+    monkeypatch.setattr(graphs, "GATHERED", 80)
+    pick = random.Random(12)
+    e = [(f"v{pick.randrange(150)}", f"v{pick.randrange(150)}") for _ in range(170)] + [("x", "y"), ("y", "z"), ("w", "w")]
+    df = spark.createDataFrame(e, "source string, target string")
+    want = {r.id: (pytest.approx(r.closeness), pytest.approx(r.harmonic)) for r in graphs.centralities(df).collect()}
+    assert {r.id: (r.closeness, r.harmonic) for r in graphs.closenesses(df).collect()} == want
+    assert graphs.closenesses(df.limit(0)).count() == 0
