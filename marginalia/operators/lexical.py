@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 
 K1, B = 1.2, 0.75
 SEGMENTS, BONUS = 16, 0.5
@@ -42,15 +43,21 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "doc",
 
 def bm25_tokens(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "doc", query_id: str = "query_id", query_col: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """Many queries at once: (query_id, id_col, score), terms match as whole tokens. Postings are counted by document
-    and token before any shuffle, and only query tokens are joined with."""
+    and token before any shuffle, and only query tokens are joined with. Postings and the queries' tokens are written, so
+    that texts are split once and small tables are known to be small; postings are dealt by document, so that a document's
+    scores, of which there may be one for each query, are summed where they are made."""
     wanted = queries.select(F.col(query_id), F.explode(T.words(T.preprocess(F.col(query_col)))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times"))
+    wanted = written(wanted, "query-words")
     split = docs.select(F.col(id_col), T.words(F.col(text_col)).alias("__w"))
     tokens = split.select(id_col, F.size("__w").alias("len"), F.explode("__w").alias("token"))
     freq = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    freq = written(freq, "query-postings")
     stats = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(T.word_count(F.col(text_col))).alias("mean")).alias("s"))
-    df = freq.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = freq.join(df, "token").join(wanted, "token").withColumn("__s", stats.scalar())
-    term = F.col("times") * _term(F.col("tf"), _idf(F.col("__s.n"), F.col("df")), F.col("len"), F.col("__s.mean"), k1, b)
+    df = written(freq.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "query-frequencies")
+    each = freq.repartition(id_col).join(df, "token").withColumn("__s", stats.scalar())
+    each = each.select(id_col, "token", _term(F.col("tf"), _idf(F.col("__s.n"), F.col("df")), F.col("len"), F.col("__s.mean"), k1, b).alias("__t"))
+    scored = each.join(wanted, "token")
+    term = F.col("times") * F.col("__t")
     return scored.groupBy(query_id, id_col).agg(F.sum(term).alias("score"))
 
 
