@@ -55,7 +55,7 @@ K, PERCENT = 5, 80
 MOST_L, CHAIN = 8, 4096
 ROUNDS, SPARE, WORTH = 8, 4, 20
 SIGNATURE = 1024
-BROADCAST_LISTS = 200_000  # lists, of 16 bytes each, that are broadcast with their lengths
+FEW = 200_000  # rows of some numbers each that are broadcast
 BUCKET_BYTES = 6 << 20  # of text at most, for each bucket: a million elements or fewer
 _ROWS = 60_000  # documents of a batch are numbered in 2 bytes
 _SUMMED = 0xFFFF  # stands for all documents of a batch that have an element
@@ -198,11 +198,16 @@ def _counted_bucket(table: pa.Table, lead: int) -> pa.Table:
     return pa.concat_tables([shared, own])
 
 
-_SETS_SCHEMA = "id long, batch long, place int, digest binary, n int, tokens array<bigint>, dfs array<int>"
+_SETS_SCHEMA = "id long, batch long, place int, digest binary, n int, stands boolean, tokens array<bigint>, dfs array<int>, l int, take int"
 
 
-def _assembler(table: pa.Table) -> pa.Table:
-    """A batch's documents with their shared elements, rare ones first (only for the first of equal sets)."""
+def _assembler(percent: int):
+    return lambda table: _assembled(table, percent)
+
+
+def _assembled(table: pa.Table, percent: int) -> pa.Table:
+    """A batch's documents with their shared elements, rare ones first, l and how many of them the prefix takes (only for the
+    first of equal sets, and if it can link)."""
     homes = table.filter(table["ids"].is_valid()).to_pylist()
     rows = np.frombuffer(b"".join(x for x in table["back"].to_pylist() if x), _BACK)
     home = homes[0]  # a batch that occurs twice, row for row, comes with its elements twice
@@ -221,21 +226,27 @@ def _assembler(table: pa.Table) -> pa.Table:
     tokens, dfs = W.nested(rows["token"].astype("<u8").view(np.int64), counts, pa.int64()), W.nested(rows["df"].astype(np.int32), counts, pa.int32())
     stands = np.zeros(n, bool)
     stands[home["first"]] = True
-    hidden = pa.array(~stands)
+    prefix = np.zeros((n, 2), np.int32)
+    edges = np.append(0, np.cumsum(counts))
+    for i in home["first"]:
+        prefix[i] = prefix_of(home["sizes"][i], rows["df"][edges[i] : edges[i + 1]], percent)
+    hidden = pa.array(prefix[:, 1] == 0)
     batch = pa.array([table["batch"][0].as_py()] * n, pa.int64())
-    columns = {"id": pa.array(home["ids"], pa.int64()), "batch": batch, "place": pa.array(np.arange(n), pa.int32()), "digest": pa.array(home["digests"], pa.binary()), "n": pa.array(home["sizes"], pa.int32())}
-    out = [pa.table(columns | {"tokens": pc.if_else(hidden, None, tokens), "dfs": pc.if_else(hidden, None, dfs)})]
+    columns = {"id": pa.array(home["ids"], pa.int64()), "batch": batch, "place": pa.array(np.arange(n), pa.int32()), "digest": pa.array(home["digests"], pa.binary()), "n": pa.array(home["sizes"], pa.int32()), "stands": pa.array(stands)}
+    told = {"tokens": pc.if_else(hidden, None, tokens), "dfs": pc.if_else(hidden, None, dfs), "l": pa.array(prefix[:, 0]), "take": pa.array(prefix[:, 1])}
+    out = [pa.table(columns | told)]
     for i in range(1, len(homes)):
-        out.append(pa.table(columns | {"place": pa.array(np.arange(n) + i * n, pa.int32()), "tokens": pa.nulls(n, tokens.type), "dfs": pa.nulls(n, dfs.type)}))
+        again = {"place": pa.array(np.arange(n) + i * n, pa.int32()), "stands": pa.array(np.zeros(n, bool))}
+        out.append(pa.table(columns | again | {c: pa.nulls(n, x.type) for c, x in told.items()}))
     return pa.concat_tables(out)
 
 
-def shared_elements(docs: DataFrame, k: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
+def shared_elements(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
     lead = (max(1, -(-text_bytes(docs, text_col) // bucket_bytes)) - 1).bit_length()
     mine = keyed_text(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("long"))
     sent = mine.mapInArrow(_sender(k, lead), _SENT_SCHEMA)
     back = sent.groupBy("bucket").applyInArrow(_counter(lead), _BACK_SCHEMA)
-    return back.groupBy("batch").applyInArrow(_assembler, _SETS_SCHEMA)
+    return back.groupBy("batch").applyInArrow(_assembler(percent), _SETS_SCHEMA)
 
 
 def prefix_of(n: int, dfs: np.ndarray, percent: int, weight: float = 4.0) -> tuple[int, int]:
@@ -251,20 +262,6 @@ def prefix_of(n: int, dfs: np.ndarray, percent: int, weight: float = 4.0) -> tup
     return best + 1, spare + best + 1
 
 
-def _prefixes(percent: int):
-    """Adds l and how many of the tokens the prefix takes; classes that can't link go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dfs = W.column(batch, "dfs")
-            found = [prefix_of(n, dfs[i].values.to_numpy(), percent) for i, n in enumerate(W.column(batch, "n").to_pylist())]
-            l, take = (pa.array([x[j] for x in found], pa.int32()) for j in (0, 1))
-            out = pa.RecordBatch.from_arrays([*batch.columns, l, take], names=[*batch.schema.names, "l", "take"])
-            yield out.filter(pc.greater(take, 0))
-
-    return run
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each class the bits that its shared elements hash to."""
     for batch in batches:
@@ -289,8 +286,12 @@ def _matches(percent: int, x: str, y: str):
 
 
 def _counted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with both sides' sets and `met`, how many elements their prefixes share, where that is enough."""
+    """Pairs (a, b; a table) with both sides' sets and `met`, how many elements their prefixes share, where that is enough.
+    While there are few pairs, only their own sets are sent anywhere."""
     side = classes.select("rep", "n", "l", "take", "tokens")
+    if pairs.count() <= FEW:
+        side = side.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+        pairs = F.broadcast(pairs)
     a, b = (side.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}{x}") for c in side.columns[1:]]) for x in "ab")
     met = F.size(F.array_intersect(F.slice("tokensa", F.lit(1), F.col("takea")), F.slice("tokensb", F.lit(1), F.col("takeb"))))
     return pairs.join(a, "a").join(b, "b").withColumn("met", met).where(F.col("met") >= _matches(percent, "a", "b"))
@@ -343,8 +344,7 @@ def _parted(postings: DataFrame, scratch: Scratch) -> DataFrame:
     told = scratch.write(told, "long-lists")
     size = F.col("df")
     if n := told.count():
-        small = n <= BROADCAST_LISTS
-        postings = postings.join(F.broadcast(told) if small else told, "token", "left")
+        postings = postings.join(F.broadcast(told) if n <= FEW else told, "token", "left")
         size = F.coalesce("entries", size)
     return postings.withColumn("part", F.pmod(F.xxhash64("rep", "token"), F.ceil(size / CHAIN).cast("long"))).drop("entries")
 
@@ -355,24 +355,25 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     scratch = Scratch(docs.sparkSession)
-    sets = scratch.write(shared_elements(docs, k, id_col, text_col, bucket_bytes), "sets")
-    best = sets.where("id is not null and n > 0 and tokens is not null").groupBy("digest").agg(F.min(F.struct("id", "batch", "place")).alias("m"))
+    sets = scratch.write(shared_elements(docs, k, percent, id_col, text_col, bucket_bytes), "sets")
+    best = sets.where("id is not null and n > 0 and stands").groupBy("digest").agg(F.min(F.struct("id", "batch", "place")).alias("m"))
     best = scratch.write(best.select("digest", F.col("m.id").alias("rep"), F.col("m.batch").alias("batch"), F.col("m.place").alias("place")), "classes")
-    able = sets.where(F.size("tokens") * 100 >= F.col("n") * percent)
-    able = able.join(best.select("rep", "batch", "place"), ["batch", "place"]).select("rep", "n", "tokens", "dfs")
-    classes = scratch.write(able.mapInArrow(_prefixes(percent), "rep long, n int, tokens array<bigint>, dfs array<int>, l int, take int"), "class-sets")
+    able = sets.where("id is not null and take > 0")
+    mine = ["batch", "place"]
+    copies = able.select("digest", *mine).join(best.select("digest", *[F.col(c).alias(f"of_{c}") for c in mine]), "digest").where("batch <> of_batch or place <> of_place")
+    copies = scratch.write(copies.select(*mine), "copies")  # of sets of other batches: few, where sets are many
+    able = able.join(F.broadcast(copies) if copies.count() <= FEW else copies, mine, "left_anti").select(F.col("id").alias("rep"), "n", "tokens", "dfs", "l", "take")
+    classes = scratch.write(able, "class-sets")
     named = scratch.write(sets.select("id", "digest", "n"), "named")
     scratch.drop(sets)
     postings = classes.select("rep", "n", "l", F.size("tokens").alias("m"), "dfs", F.posexplode(F.slice("tokens", F.lit(1), F.col("take"))).alias("k", "token"))
     postings = scratch.write(postings.select("token", F.get("dfs", F.col("k")).alias("df"), "rep", "n", "l", "k", "m"), "postings")
 
     postings = _parted(postings, scratch)
-    chains = []
-    for order in (("n", "rep"), (F.xxhash64("rep"), "rep")):
-        by = Window.partitionBy("token", "part").orderBy(*order)
-        step = postings.select("rep", "n", F.lag("rep").over(by).alias("prev"), F.lag("n").over(by).alias("m")).where(F.col("prev").isNotNull() & _fits(percent, "n", "m"))
-        chains.append(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")))
-    tried = scratch.write(chains[0].union(chains[1]).distinct(), "chains")
+    hashed = postings.select("token", "part", "rep", "n", F.xxhash64("rep").alias("h"))
+    before = [F.lag(F.struct("rep", "n")).over(Window.partitionBy("token", "part").orderBy(*order)).alias(f"by_{order[0]}") for order in (("n", "rep"), ("h", "rep"))]
+    step = hashed.select("rep", "n", *before).select("rep", "n", F.explode(F.array("by_n", "by_h")).alias("prev")).select("rep", "n", F.col("prev.rep").alias("prev"), F.col("prev.n").alias("m")).where(F.col("prev").isNotNull() & _fits(percent, "n", "m"))
+    tried = scratch.write(step.select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")).distinct(), "chains")
     links = scratch.write(_verified(tried, classes, percent), "chain-links")
 
     entries = postings.count()
